@@ -1 +1,211 @@
-"""placeholder"""
+"""PF04-PF06, PF13, PF15-PF18, PF20, AG09, AG10, SM01-SM05, JN13, UD01, UD02."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions import arrays as ax
+from ..functions import text as fx
+from ..operators import inference, similarity
+from .registry import Inputs, query
+
+
+@query("pf04_clean_sequence", "", """
+SELECT doc_id, md5(regexp_replace(upper(trim(regexp_replace(text, '[^ -~]', '', 'g'))), '[^ACDEFGHIKLMNPQRSTVWY]', 'X', 'g')) AS digest FROM documents""")
+def _(t):
+    ascii_text = F.regexp_replace("text", "[^ -~]", "")
+    return t.table("documents").select("doc_id", F.md5(fx.clean_sequence(ascii_text)).alias("digest"))
+
+
+@query("pf05_space_residues", "entries", """
+SELECT entry_id, md5(concat('<AA2fold> ', array_to_string(string_split(regexp_replace(sequence, '[UZOB]', 'X', 'g'), ''), ' '))) AS digest FROM entries""")
+def _(t):
+    return t.entries().select("entry_id", F.md5(fx.space_residues(F.col("sequence"))).alias("digest"))
+
+
+@query("pf06_artefact_key", "entries", """
+SELECT header, concat(CASE WHEN header = '' THEN 'protein' ELSE regexp_replace(header, '[^A-Za-z0-9_-]', '_', 'g') END, '_', substr(md5(header), 1, 8)) AS key FROM entries""")
+def _(t):
+    return t.entries().select("header", fx.artefact_key(F.col("header")).alias("key"))
+
+
+@query("pf13_entropy_confidence", "", """
+SELECT vec_id, round(1 + list_sum(list_transform(q, lambda p: greatest(p, 1e-9) * ln(greatest(p, 1e-9)))) / ln(20), 9) AS confidence FROM
+(SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS q FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[])[1:20], lambda x: abs(x)) AS a FROM embeddings))""")
+def _(t):
+    first = F.transform(F.slice("embedding", 1, 20), lambda x: F.abs(x.cast("double")))
+    rows = t.table("embeddings").select("vec_id", first.alias("a"))
+    rows = rows.withColumn("s", F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x))
+    return rows.select("vec_id", F.round(ax.entropy_confidence(F.transform("a", lambda x: x / F.col("s"))), 9).alias("confidence"))
+
+
+@query("pf15_partition_path", "annotations", """
+SELECT DISTINCT aspect, concat('runs/', lower(aspect), '/', aspect, '_manifest.json') AS path FROM annotations""")
+def _(t):
+    path = fx.partition_path("runs/{aspect_lower}/{aspect}_manifest.json", F.col("aspect"))
+    return t.annotations().select("aspect", path.alias("path")).distinct()
+
+
+@query("pf16_take", "", "SELECT vec_id, round(list_sum(list_transform(range(4, 64, 3), lambda i: CAST(embedding[i] AS DOUBLE) * i)), 6) AS total FROM embeddings")
+def _(t):
+    positions = list(range(3, 63, 3))
+    taken = ax.take(F.col("embedding"), positions, expected=20)
+    weighed = F.zip_with(taken, F.array(*[F.lit(float(i + 1)) for i in positions]), lambda x, w: x.cast("double") * w)
+    return t.table("embeddings").select("vec_id", F.round(F.aggregate(weighed, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("pf17_chunk_sequence", "entries", """
+SELECT entry_id, c AS chunk_no, substr(sequence, 1 + c * 500, 500) AS chunk FROM
+(SELECT entry_id, sequence, CAST(unnest(range(CAST(ceil(length(sequence) / 500.0) AS BIGINT))) AS INT) AS c FROM entries)""")
+def _(t):
+    return fx.chunk_sequence(t.entries(), 500)
+
+
+@query("pf18_fit_length", "", """
+SELECT vec_id, len(f) AS n, round(list_sum(f), 6) AS total, round(f[len(f)], 9) AS last FROM
+(SELECT vec_id, CASE WHEN label < 5 THEN CAST(embedding AS DOUBLE[])[1:label * 10 + 1] ELSE list_concat(CAST(embedding AS DOUBLE[]), list_transform(range(label * 10 + 1 - 64), lambda x: 0.0)) END AS f FROM embeddings WHERE label < 5 OR label > 6
+UNION ALL SELECT vec_id, CASE WHEN label * 10 + 1 <= 64 THEN CAST(embedding AS DOUBLE[])[1:label * 10 + 1] ELSE list_concat(CAST(embedding AS DOUBLE[]), list_transform(range(label * 10 + 1 - 64), lambda x: 0.0)) END FROM embeddings WHERE label IN (5, 6))""")
+def _(t):
+    wide = F.transform("embedding", lambda x: x.cast("double"))
+    rows = t.table("embeddings").select("vec_id", ax.fit_length(wide, F.col("label") * 10 + 1).alias("f"))
+    total = F.aggregate("f", F.lit(0.0), lambda a, x: a + x)
+    return rows.select("vec_id", F.size("f").cast("bigint").alias("n"), F.round(total, 6).alias("total"), F.round(F.element_at("f", -1), 9).alias("last"))
+
+
+_GRAMS = "SELECT entry_id, substr(s, i, 3) AS gram FROM (SELECT entry_id, lower(sequence) AS s, unnest(range(1, length(sequence) - 1)) AS i FROM entries)"
+_COUNTS = {"grams": _GRAMS, "counts": "SELECT entry_id, gram, count(*) AS n FROM grams GROUP BY 1, 2"}
+_VEC = {**_COUNTS, "norms": "SELECT entry_id, sqrt(sum(n * n)) AS norm FROM counts GROUP BY 1",
+        "vec": "SELECT c.entry_id, c.gram, c.n / norms.norm AS w FROM counts c JOIN norms ON norms.entry_id = c.entry_id"}
+
+
+@query("pf20_ngrams", "entries", "SELECT entry_id, gram, n FROM counts", **_COUNTS)
+def _(t):
+    return fx.ngrams(t.entries()).groupBy("entry_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ag09_gram_vector", "entries", "SELECT entry_id, gram, round(w, 9) AS w FROM vec", **_VEC)
+def _(t):
+    return similarity.gram_vector(t.entries()).withColumn("w", F.round("w", 9))
+
+
+@query("ag09_gram_vector_hashed")
+def _(t):
+    return similarity.gram_vector(t.entries(), buckets=1 << 16).withColumn("w", F.round("w", 9))
+
+
+_CENTRE = {**_VEC, "sums": "SELECT gram, sum(w) AS s FROM vec WHERE entry_id IN (SELECT entry_id FROM train_ids) GROUP BY 1",
+           "centre": "SELECT gram, s / sqrt((SELECT sum(s * s) FROM sums)) AS w FROM sums"}
+
+
+def _train(t: Inputs):
+    return t.entries().join(t.train_ids(), "entry_id", "left_semi")
+
+
+@query("ag10_centroid", "entries train_ids", "SELECT gram, round(w, 9) AS w FROM centre", **_CENTRE)
+def _(t):
+    return similarity.centroid(similarity.gram_vector(_train(t))).withColumn("w", F.round("w", 9))
+
+
+@query("sm01_centroid_similarity", "entries train_ids", """
+SELECT e.entry_id, round(coalesce(s.v, 0.0), 8) AS similarity FROM entries e LEFT JOIN (SELECT vec.entry_id, sum(vec.w * centre.w) AS v
+FROM vec JOIN centre ON centre.gram = vec.gram GROUP BY 1) s ON s.entry_id = e.entry_id WHERE e.entry_id NOT IN (SELECT entry_id FROM train_ids)""", **_CENTRE)
+def _(t):
+    candidates = t.entries().join(t.train_ids(), "entry_id", "left_anti")
+    return similarity.centroid_similarity(candidates, _train(t)).withColumn("similarity", F.round("similarity", 8))
+
+
+_COS = "SELECT a.batch_id, a.entry_id AS a, b.entry_id AS b, list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec)) / sqrt(list_dot_product(b.vec, b.vec)) AS c FROM vectors a JOIN vectors b ON a.batch_id = b.batch_id"
+
+
+@query("sm02_cosine_graph", "vectors", "SELECT batch_id, a, b, round(c, 8) AS weight FROM cs WHERE c >= 0.3", cs=_COS)
+def _(t):
+    return similarity.cosine_graph(t.vectors(), 0.3).withColumn("weight", F.round("weight", 8))
+
+
+@query("sm02_identity_graph", "vectors", "SELECT batch_id, entry_id AS a, entry_id AS b, 1.0 AS weight FROM vectors")
+def _(t):
+    return similarity.cosine_graph(t.vectors(), method="identity")
+
+
+@query("sm03_cosine_distance", "vectors", """
+SELECT batch_id, entry_id, CAST(count(*) AS INT) AS n, round(sum(d), 6) AS total, round(max(d), 8) AS far, round(min(d) FILTER (b <> entry_id), 8) AS near
+FROM (SELECT batch_id, a AS entry_id, b, CASE WHEN a = b THEN 0.0 ELSE 1 - least(1.0, greatest(-1.0, c)) END AS d FROM cs) GROUP BY 1, 2""", cs=_COS)
+def _(t):
+    rows = similarity.cosine_distance(t.vectors())
+    total = F.aggregate("distances", F.lit(0.0), lambda a, x: a + x)
+    others = F.filter("distances", lambda x: x > 0)
+    return rows.select(
+        "batch_id", "entry_id", F.size("distances").alias("n"), F.round(total, 6).alias("total"),
+        F.round(F.array_max("distances"), 8).alias("far"), F.round(F.array_min(others), 8).alias("near"),
+    )
+
+
+def _pair_sql(cut: float) -> dict[str, str]:
+    return {
+        "packed": "SELECT entry_id, count(*) AS size, string_agg(CAST(token AS VARCHAR), ',' ORDER BY token) AS f FROM sets GROUP BY 1",
+        "heads": "SELECT f, min(entry_id) AS rep, any_value(size) AS size FROM packed GROUP BY 1",
+        "rset": "SELECT s.entry_id, s.token, h.size FROM sets s JOIN heads h ON h.rep = s.entry_id",
+        "hits": "SELECT x.entry_id AS a, y.entry_id AS b, x.size AS sa, y.size AS sb, count(*) AS c FROM rset x JOIN rset y ON x.token = y.token AND x.entry_id < y.entry_id GROUP BY 1, 2, 3, 4",
+        "single": f"SELECT a, b, CAST(c AS DOUBLE) / (sa + sb - c) AS w FROM hits WHERE CAST(c AS DOUBLE) / (sa + sb - c) >= {cut} - 1e-12 UNION ALL SELECT h.rep, p.entry_id, 1.0 FROM packed p JOIN heads h ON h.f = p.f WHERE p.entry_id <> h.rep",
+        "graph": "SELECT a, b, w FROM single UNION ALL SELECT b, a, w FROM single UNION ALL SELECT entry_id, entry_id, 1.0 FROM everyone",
+    }
+
+
+_TERMS = "SELECT DISTINCT entry_id, term AS token FROM annotations"
+
+
+def _term_sets(t: Inputs):
+    return t.annotations().select("entry_id", F.col("term").alias("token")).distinct()
+
+
+@query("jn13_pair_graph", "annotations", "SELECT a, b, round(w, 9) AS weight FROM graph",
+       sets=_TERMS, everyone="SELECT DISTINCT entry_id FROM annotations", **_pair_sql(0.3))
+def _(t):
+    return similarity.pair_graph(_term_sets(t), 0.3).withColumn("weight", F.round("weight", 9))
+
+
+SHINGLE, CUT = 5, 0.5
+
+
+@query("sm04_homology_graph", "entries", "SELECT a, b, 1.0 AS weight FROM graph",
+       sets=f"SELECT DISTINCT entry_id, substr(s, i, {SHINGLE}) AS token FROM (SELECT entry_id, lower(sequence) AS s, unnest(range(1, length(sequence) - {SHINGLE - 2})) AS i FROM entries)",
+       everyone="SELECT entry_id FROM entries", **_pair_sql(CUT))
+def _(t):
+    return similarity.homology_graph(t.entries(), SHINGLE, CUT)
+
+
+@query("sm05_knn", "annotations", """
+SELECT a, b, round(w, 9) AS weight, r AS rank FROM (SELECT a, b, w, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS r FROM graph WHERE a <> b) WHERE r <= 20
+""", sets=_TERMS, everyone="SELECT DISTINCT entry_id FROM annotations", **_pair_sql(0.2))
+def _(t):
+    return similarity.knn(similarity.pair_graph(_term_sets(t), 0.2), 20).withColumn("weight", F.round("weight", 9))
+
+
+def _letter_codes():
+    def encode(texts):
+        return [np.frombuffer(x.encode("ascii"), dtype=np.uint8).astype(float).reshape(-1, 1) for x in texts]
+
+    return encode
+
+
+@query("ud01_embed", "entries train_ids", """
+SELECT entry_id, length(sequence) AS length, round(coalesce(list_sum(list_transform(string_split(sequence, ''), lambda c: CAST(ascii(c) AS DOUBLE))), 0.0), 3) AS total
+FROM entries WHERE sequence <> '' AND entry_id NOT IN (SELECT entry_id FROM train_ids)
+UNION ALL SELECT entry_id, 0, 0.0 FROM entries WHERE sequence = '' AND entry_id NOT IN (SELECT entry_id FROM train_ids)""")
+def _(t):
+    rows = inference.embed(t.entries(), _letter_codes, batch_size=16, cached=t.train_ids())
+    total = F.aggregate("vec", F.lit(0.0), lambda a, row: a + row[0])
+    return rows.select("entry_id", "length", F.round(total, 3).alias("total"))
+
+
+def _vowel_shares():
+    def run(texts):
+        return np.array([[x.count(v) / max(1, len(x)) for v in "AEIOU"] for x in texts])
+
+    return run
+
+
+@query("ud02_score", "entries", """
+SELECT entry_id, term, round(CAST(length(sequence) - length(replace(sequence, term, '')) AS DOUBLE) / greatest(1, length(sequence)), 9) AS prob
+FROM entries CROSS JOIN (SELECT unnest(['A', 'E', 'I', 'O', 'U']) AS term)""")
+def _(t):
+    return inference.score(t.entries(), _vowel_shares, list("AEIOU")).withColumn("prob", F.round("prob", 9))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .relational import not_in
 
@@ -77,7 +78,7 @@ def score(
     return df.select("entry_id", "sequence").mapInPandas(work, f"entry_id {kind}, term string, prob double")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ap_of_steps(score: pd.Series, n: pd.Series, pos: pd.Series) -> float:
     order = np.argsort(-score.to_numpy(), kind="stable")
     rows, hits = np.cumsum(n.to_numpy()[order]), np.cumsum(pos.to_numpy()[order])

@@ -45,7 +45,10 @@ def multi_hot(df: DataFrame, vocab: DataFrame, entries: DataFrame | None = None)
     full = everyone.join(sets, "entry_id", "left").withColumn(
         "_on", F.map_from_entries(F.transform(F.coalesce("_on", F.array().cast("array<bigint>")), lambda i: F.struct(i, F.lit(1))))
     )
-    slots = F.when(size > 0, F.sequence(F.lit(0).cast("bigint"), size - 1)).otherwise(F.array().cast("array<bigint>"))
+    full = full.withColumn("_size", size)
+    slots = F.when(F.col("_size") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_size") - 1)).otherwise(
+        F.array().cast("array<bigint>")
+    )
     return full.select("entry_id", F.transform(slots, lambda i: F.coalesce(F.col("_on")[i], F.lit(0))).alias("labels"))
 
 
