@@ -71,7 +71,7 @@ def _(t):
     return rows.select("vec_id", F.size("f").cast("bigint").alias("n"), F.round(total, 6).alias("total"), F.round(F.element_at("f", -1), 9).alias("last"))
 
 
-_GRAMS = "SELECT entry_id, substr(s, i, 3) AS gram FROM (SELECT entry_id, lower(sequence) AS s, unnest(range(1, length(sequence) - 1)) AS i FROM entries)"
+_GRAMS = "SELECT entry_id, unnest(list_transform(range(1, len(c) - 1), lambda i: concat(c[i], c[i + 1], c[i + 2]))) AS gram FROM (SELECT entry_id, string_split(lower(sequence), '') AS c FROM entries)"
 _COUNTS = {"grams": _GRAMS, "counts": "SELECT entry_id, gram, count(*) AS n FROM grams GROUP BY 1, 2"}
 _VEC = {**_COUNTS, "norms": "SELECT entry_id, sqrt(sum(n * n)) AS norm FROM counts GROUP BY 1",
         "vec": "SELECT c.entry_id, c.gram, c.n / norms.norm AS w FROM counts c JOIN norms ON norms.entry_id = c.entry_id"}
@@ -167,7 +167,7 @@ SHINGLE, CUT = 5, 0.5
 
 
 @query("sm04_homology_graph", "entries", "SELECT a, b, 1.0 AS weight FROM graph",
-       sets=f"SELECT DISTINCT entry_id, substr(s, i, {SHINGLE}) AS token FROM (SELECT entry_id, lower(sequence) AS s, unnest(range(1, length(sequence) - {SHINGLE - 2})) AS i FROM entries)",
+       sets="SELECT DISTINCT entry_id, unnest(list_transform(range(1, len(c) - 3), lambda i: concat(c[i], c[i + 1], c[i + 2], c[i + 3], c[i + 4]))) AS token FROM (SELECT entry_id, string_split(lower(sequence), '') AS c FROM entries)",
        everyone="SELECT entry_id FROM entries", **_pair_sql(CUT))
 def _(t):
     return similarity.homology_graph(t.entries(), SHINGLE, CUT)
