@@ -10,15 +10,22 @@ from ..schemas import FRAGMENT_ITEM
 
 
 def read_atoms(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """SC11: fixed-width atom files -> model_id (file name without extension), pos, x, y, z, conf.
+    """SC11: atom files -> model_id (file name without extension), pos, x, y, z, conf."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
+    return read_atoms_from(spark.read.text(path), name, strict)
 
-    Rows starting ``ATOM`` with atom name ``CA``; a short or unreadable row raises, and with
-    ``strict`` so does a file without any such row. One file is one protein model, so numbering its
+
+def read_atoms_from(files: DataFrame, model_id: Column, strict: bool = True) -> DataFrame:
+    """SC11 over a text scan with any naming of models.
+
+    Rows starting ``ATOM`` with atom name ``CA`` count; a short or unreadable one raises, and with
+    ``strict`` so does a model without any. One model is one file of one protein, so numbering its
     residues is a window over a bounded group.
     """
-    rows = spark.read.text(path).select(
+    rows = files.select(
         "value",
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("model_id"),
+        model_id.alias("model_id"),
+        F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
@@ -31,11 +38,11 @@ def read_atoms(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
         return F.when((F.length("value") >= 66) & value.isNotNull(), value).otherwise(broken)
 
     atoms = rows.filter(is_ca).select(
-        "model_id", "_block", "_row",
+        "model_id", "_file", "_block", "_row",
         number(31, 8).alias("x"), number(39, 8).alias("y"), number(47, 8).alias("z"),
         F.greatest(F.lit(0.0), F.least(F.lit(100.0), number(61, 6))).alias("conf"),
     )
-    w = Window.partitionBy("model_id").orderBy("_block", "_row")
+    w = Window.partitionBy("model_id").orderBy("_file", "_block", "_row")
     out = atoms.select("model_id", (F.row_number().over(w) - 1).cast("bigint").alias("pos"), "x", "y", "z", "conf")
     if strict:
         counts = rows.groupBy("model_id").agg(F.count_if(is_ca).alias("_n"))

@@ -83,7 +83,7 @@ def explode_term_cells(df: DataFrame, column: str | None = None, prefix: str = "
         )
         cutter = F.when(F.contains(text, F.lit(";")), ";").when(F.contains(text, F.lit(",")), ",").otherwise("|")
         items = F.when(listed, quoted).otherwise(F.split(text, F.concat(F.lit(r"\Q"), cutter, F.lit(r"\E"))))
-        kept = F.filter(F.transform(items, F.trim), lambda t: F.startswith(F.upper(t), F.lit(prefix)))
+        kept = F.filter(F.transform(items, lambda item: F.trim(item)), lambda t: F.startswith(F.upper(t), F.lit(prefix)))
         others = [c for c in df.columns if c not in columns]
         parts.append(df.select(*others, F.explode(kept).alias("term")))
     out = parts[0]
