@@ -174,7 +174,7 @@ _PL07 = {
     "pk": "SELECT fr.*, sum(fr.length) OVER (PARTITION BY fr.entry_id ORDER BY start, model_id) - fr.length AS off FROM fr JOIN mt ON mt.entry_id = fr.entry_id AND mt.accession = fr.accession",
     "st": "SELECT e.entry_id, CASE WHEN a.n IS NULL THEN 'metadata not found' WHEN mt.entry_id IS NULL THEN 'no length match' WHEN NOT f.ok THEN 'file not found' END AS reason FROM expected_lengths e LEFT JOIN (SELECT entry_id, count(*) AS n FROM fr GROUP BY 1) a ON a.entry_id = e.entry_id LEFT JOIN mt ON mt.entry_id = e.entry_id LEFT JOIN (SELECT entry_id, min(has) AS ok FROM pk GROUP BY 1) f ON f.entry_id = e.entry_id",
     "src": "SELECT st.entry_id, reason, CASE WHEN reason IS NULL THEN 'primary' WHEN s.entry_id IS NOT NULL THEN 'secondary' ELSE 'none' END AS source FROM st LEFT JOIN (SELECT DISTINCT entry_id FROM contacts) s ON s.entry_id = st.entry_id",
-    "atm": "SELECT entry_id, model_id, off, pos, 3.8 * pos AS x, (q * pos) % 7 AS y, (q * pos * pos) % 5 AS z, (l_discount * 1000 + pos * 7) % 100 AS conf FROM (SELECT pk.entry_id, pk.model_id, CAST(pk.off AS BIGINT) AS off, l_quantity AS q, l_discount, unnest(range(pk.length)) AS pos FROM pk JOIN src ON src.entry_id = pk.entry_id AND src.source = 'primary' JOIN lineitem ON concat_ws('/', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR)) = pk.model_id)",
+    "atm": "SELECT entry_id, model_id, off, pos, 3.8::DOUBLE * pos AS x, (q * pos) % 7 AS y, (q * pos * pos) % 5 AS z, (l_discount * 1000 + pos * 7) % 100 AS conf FROM (SELECT pk.entry_id, pk.model_id, CAST(pk.off AS BIGINT) AS off, l_quantity AS q, l_discount, unnest(range(pk.length)) AS pos FROM pk JOIN src ON src.entry_id = pk.entry_id AND src.source = 'primary' JOIN lineitem ON concat_ws('/', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR)) = pk.model_id)",
     "nc": "SELECT *, greatest(0.0, least(1.0, CASE WHEN max(conf) OVER (PARTITION BY model_id) > 1 THEN conf / 100.0 ELSE conf END)) AS c FROM atm",
     "prs": "SELECT a.entry_id, a.model_id, a.off, a.pos AS i, b.pos AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS dist, least(a.c, b.c) AS w FROM nc a JOIN nc b ON a.model_id = b.model_id AND a.pos <> b.pos",
     "nn": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_id, i ORDER BY dist, j) AS r FROM prs WHERE dist <= 10) WHERE r <= 3",
@@ -205,10 +205,10 @@ def _(t):
 
 
 @query("pl07_structure_nodes", "expected_lengths contacts", """
-SELECT entry_id, pos + off AS pos, round(conf, 6) AS conf FROM atm
-UNION ALL SELECT entry_id, i, round(max(p), 6) FROM contacts WHERE entry_id IN (SELECT entry_id FROM src WHERE source = 'secondary') GROUP BY 1, 2""", **_PL07)
+SELECT entry_id, pos + off AS pos, round(conf, 7) AS conf FROM atm
+UNION ALL SELECT entry_id, i, round(max(p), 7) FROM contacts WHERE entry_id IN (SELECT entry_id FROM src WHERE source = 'secondary') GROUP BY 1, 2""", **_PL07)
 def _(t):
-    return _structures(t).nodes.withColumn("conf", F.round("conf", 6))
+    return _structures(t).nodes.withColumn("conf", F.round("conf", 7))
 
 
 @query("pl08_check_manifests", "", f"""
