@@ -163,11 +163,12 @@ def _(t):
     return similarity.pair_graph(_term_sets(t), 0.3).withColumn("weight", F.round("weight", 9))
 
 
-SHINGLE, CUT = 5, 0.5
+SHINGLE, CUT = 12, 0.5
+LETTERS = ", ".join(f"c[i + {k}]" for k in range(SHINGLE))
 
 
 @query("sm04_homology_graph", "entries", "SELECT a, b, 1.0 AS weight FROM graph",
-       sets="SELECT DISTINCT entry_id, unnest(list_transform(range(1, len(c) - 3), lambda i: concat(c[i], c[i + 1], c[i + 2], c[i + 3], c[i + 4]))) AS token FROM (SELECT entry_id, string_split(lower(sequence), '') AS c FROM entries)",
+       sets=f"SELECT DISTINCT entry_id, unnest(list_transform(range(1, len(c) - 10), lambda i: concat({LETTERS}))) AS token FROM (SELECT entry_id, string_split(lower(sequence), '') AS c FROM entries)",
        everyone="SELECT entry_id FROM entries", **_pair_sql(CUT))
 def _(t):
     return similarity.homology_graph(t.entries(), SHINGLE, CUT)

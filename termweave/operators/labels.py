@@ -40,16 +40,21 @@ def multi_hot(df: DataFrame, vocab: DataFrame, entries: DataFrame | None = None)
     """
     size = vocab.agg(F.count(F.lit(1))).scalar()
     hits = df.select("entry_id", "term").distinct().join(vocab.select("term", "idx"), "term")
-    sets = hits.groupBy("entry_id").agg(F.collect_set("idx").alias("_on"))
+    sets = hits.groupBy("entry_id").agg(F.sort_array(F.collect_list("idx")).alias("_on"))
     everyone = (df if entries is None else entries).select("entry_id").distinct()
-    full = everyone.join(sets, "entry_id", "left").withColumn(
-        "_on", F.map_from_entries(F.transform(F.coalesce("_on", F.array().cast("array<bigint>")), lambda i: F.struct(i, F.lit(1))))
+    full = everyone.join(sets, "entry_id", "left").select(
+        "entry_id", F.coalesce("_on", F.array().cast("array<bigint>")).alias("_on"), size.cast("int").alias("_size")
     )
-    full = full.withColumn("_size", size)
-    slots = F.when(F.col("_size") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_size") - 1)).otherwise(
-        F.array().cast("array<bigint>")
+    # runs of zeros, each closed by a one, then the zeros after the last one
+    zero = F.lit(0)
+    runs = F.transform(
+        "_on",
+        lambda idx, i: F.concat(
+            F.array_repeat(zero, (idx - F.coalesce(F.get("_on", i - 1), F.lit(-1)) - 1).cast("int")), F.array(F.lit(1))
+        ),
     )
-    return full.select("entry_id", F.transform(slots, lambda i: F.coalesce(F.col("_on")[i], F.lit(0))).alias("labels"))
+    tail = F.array_repeat(zero, F.col("_size") - 1 - F.coalesce(F.get("_on", F.size("_on") - 1), F.lit(-1)).cast("int"))
+    return full.select("entry_id", F.concat(F.flatten(runs), tail).alias("labels"))
 
 
 def stratum_key(df: DataFrame, entries: DataFrame | None = None) -> DataFrame:

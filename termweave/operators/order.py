@@ -13,6 +13,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 HASH_DIGITS = 3  # 4096 hash buckets
 
 
@@ -42,10 +44,10 @@ def with_value_bucket(df: DataFrame, value: str, bounds: Sequence[float], out: s
     splits = [float("-inf"), *bounds, float("inf")]
     raw = f"{out}_raw"
     held = df.withColumn(f"{out}_in", F.col(value).cast("double"))
-    cut = Bucketizer(splits=splits, inputCol=f"{out}_in", outputCol=raw, handleInvalid="keep").transform(held)
+    dealt = Bucketizer(splits=splits, inputCol=f"{out}_in", outputCol=raw, handleInvalid="keep").transform(held)
     edge = F.get(F.array(*[F.lit(float(b)) for b in bounds]), F.col(raw).cast("int") - 1)
     index = 2 * F.col(raw).cast("int") + F.when(edge == F.col(f"{out}_in"), 0).otherwise(1)
-    return cut.withColumn(out, index).drop(raw, f"{out}_in")
+    return dealt.withColumn(out, index).drop(raw, f"{out}_in")
 
 
 def global_rank(
@@ -56,12 +58,17 @@ def global_rank(
     seed: object = None,
     out: str = "rank",
     total: str | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """1-based exact rank by (value, md5 of the id, id) within ``keys``; optionally the group size.
 
     Neither a hot key nor a hot value ends up in one task: frequent values get a bucket of their
-    own, which is split again by the hash they are ordered by.
+    own, which is split again by the hash they are ordered by. With a ``value`` the input is read
+    three times (bounds, bucket counts, rows), so it is written to shared storage once, unless it
+    is ``written`` already; keep it narrow.
     """
+    if value is not None and not written:
+        df = cut(df)
     rows = df.withColumn("_h", seeded_hash(F.col(id_col), seed))
     if value is None:
         rows = rows.withColumn("_b", F.lit(0)).withColumn("_s", _hash_bucket(F.col("_h"), HASH_DIGITS))
@@ -90,8 +97,10 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums along ``order`` within ``keys`` (order values distinct per key).
 
-    ``sums`` maps an input column to the name of its running total.
+    ``sums`` maps an input column to the name of its running total. The (aggregated) input is
+    written to shared storage once, because it is read three times.
     """
+    df = cut(df)
     rows = with_value_bucket(df, order, value_bounds(df, order), "_b")
     where = [*keys, "_b"]
     sign = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())

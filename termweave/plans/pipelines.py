@@ -156,8 +156,8 @@ def build_eval_sets(
         "aspect", "entry_id", F.coalesce("_s", F.lit(0.0)).alias("frequency"), "similarity"
     )
     scores = cut(scores)
-    by_freq = ranking.rank_buckets(scores, "frequency", fracs, ["aspect"]).select("aspect", "bucket", "entry_id")
-    by_sim = ranking.rank_buckets(scores, "similarity", fracs, ["aspect"]).select("aspect", "bucket", "entry_id")
+    by_freq = ranking.rank_buckets(scores, "frequency", fracs, ["aspect"], written=True).select("aspect", "bucket", "entry_id")
+    by_sim = ranking.rank_buckets(scores, "similarity", fracs, ["aspect"], written=True).select("aspect", "bucket", "entry_id")
     keys = ["aspect", "bucket"]
     first = cut(ranking.bucket_sample(by_freq, size, seed=seed, keys=keys))
     liked = by_sim.join(first.select("aspect", "entry_id").distinct(), ["aspect", "entry_id"], "left_semi")
