@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -27,7 +29,7 @@ class Inputs:
     def entries(self) -> DataFrame:
         """Sequence table: letters of the whole document, upper case."""
         entry = F.concat(F.lit("D"), F.col("doc_id").cast("string"))
-        return self.table("documents").select(
+        return spread(self.table("documents").select("doc_id", "source", "text"), "doc_id").select(
             entry.alias("entry_id"),
             F.concat(F.lit("sp|"), entry, F.lit("|"), F.col("source")).alias("header"),
             F.upper(F.regexp_replace("text", "[^A-Za-z]", "")).alias("sequence"),

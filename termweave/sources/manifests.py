@@ -27,7 +27,7 @@ def parse_manifests(df: DataFrame, json_col: str = "text", record: T.StructType
 def read_manifest(spark: SparkSession, path: str, record: T.StructType = MANIFEST_RECORD) -> DataFrame:
     """SC13: manifest files -> one row per record. A manifest file is read whole by one task, as JSON
     documents must be; the record-per-line sink of this package (SC16) has no such limit."""
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("manifest"), F.col("value").alias("text")
     )
     return parse_manifests(files, record=record)
@@ -36,7 +36,7 @@ def read_manifest(spark: SparkSession, path: str, record: T.StructType = MANIFES
 def manifest_meta(spark: SparkSession, path: str) -> DataFrame:
     """Metadata objects of manifest files -> manifest, meta (map of text)."""
     shape = T.StructType([T.StructField("meta", T.MapType(T.StringType(), T.StringType()))])
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("manifest"), F.from_json("value", shape)["meta"].alias("meta")
     )

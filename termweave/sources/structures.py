@@ -94,7 +94,7 @@ def read_fragments(df: DataFrame, json_col: str = "metadata") -> DataFrame:
 
 def read_fragment_files(spark: SparkSession, path: str) -> DataFrame:
     """SC12 from files: one JSON list per file, the entry id is the file name."""
-    files = spark.read.option("wholetext", True).text(path).select(
+    files = spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1).alias("entry_id"), F.col("value").alias("metadata")
     )
     return read_fragments(files)

@@ -9,6 +9,16 @@ from .. import schemas
 from ..functions.text import normalise_aspect
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a scan that has fewer partitions than cores; larger scans stay as they are.
+
+    For CPU-heavy work on wide text rows of a few small files. At scale a scan has many more
+    partitions than cores, and no shuffle is added.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """SC05: whitespace-separated table with a header -> entry_id, term, aspect (C, F or P).
 
