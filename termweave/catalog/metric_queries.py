@@ -88,9 +88,9 @@ def _(t):
     return _rounded(metrics.macro_auc(t.scored(), t.scored_entries()), "auc")
 
 
-@query("ud04_ap_udaf", "scored", "SELECT term, round(ap, 9) AS ap FROM ap", **{**_AP, "cells": "SELECT term, score, count(*) AS n, sum(label) AS pos FROM scored GROUP BY 1, 2"})
+@query("ud04_ap_udaf", "scored", "SELECT term, round(ap, 9) AS ap FROM ap", **_AP)
 def _(t):
-    return _rounded(inference.ap_udaf(t.scored()), "ap")
+    return _rounded(inference.ap_udaf(t.scored(), t.scored_entries()), "ap")
 
 
 _LOGIT = "SELECT entry_id, term, label, 8 * score - 4 AS x, CAST(label AS DOUBLE) AS y, 1.0 / (1.0 + exp(-(8 * score - 4))) AS p FROM scored"

@@ -137,7 +137,7 @@ def _(t):
     return pipelines.train_slice(t.annotations())[0]
 
 
-@query("pl05_train_slice_summary", "annotations", "SELECT stratum, CAST(q AS BIGINT) AS n, round(q / CAST(sum(q) OVER () AS DOUBLE), 9) AS share FROM more", **_QUOTA)
+@query("pl05_train_slice_summary", "annotations", "SELECT stratum, CAST(q AS BIGINT) AS n, round(q / CAST(sum(q) OVER () AS DOUBLE), 9) AS share FROM more WHERE q > 0", **_QUOTA)
 def _(t):
     return pipelines.train_slice(t.annotations())[1].withColumn("share", F.round("share", 9))
 

@@ -207,11 +207,12 @@ def _(t):
 
 
 @query("sc13_read_manifest", "annotations", "SELECT manifest, record, CAST(entry_id AS VARCHAR) AS entry_id, CAST(n AS DOUBLE) AS label, n AS length FROM r",
-       r="SELECT aspect || CAST(entry_id % 100 AS VARCHAR) AS manifest, row_number() OVER (PARTITION BY aspect, entry_id % 100 ORDER BY entry_id) - 1 AS record, entry_id, n FROM (SELECT aspect, entry_id, count(*) AS n FROM annotations GROUP BY 1, 2)")
+       r="SELECT aspect || CAST(entry_id // 100 AS VARCHAR) AS manifest, row_number() OVER (PARTITION BY aspect, entry_id // 100 ORDER BY entry_id) - 1 AS record, entry_id, n FROM (SELECT aspect, entry_id, count(*) AS n FROM annotations GROUP BY 1, 2)")
 def _(t):
     counted = t.annotations().groupBy("aspect", "entry_id").agg(F.count(F.lit(1)).alias("n"))
     record = F.struct(F.col("entry_id").cast("string").alias("entry_id"), F.array(F.col("n").cast("double")).alias("labels"), F.array("n").alias("lengths"))
-    name = F.concat("aspect", (F.col("entry_id") % 100).cast("string"))
+    # one manifest per aspect and 100 consecutive entries: manifests are bounded, their number grows
+    name = F.concat("aspect", F.floor(F.col("entry_id") / 100).cast("string"))
     packed = counted.groupBy(name.alias("manifest")).agg(F.array_sort(F.collect_list(F.struct(F.col("entry_id").alias("k"), record.alias("r")))).alias("_s"))
     body = F.to_json(F.struct(F.col("_s.r").alias("records")))
     text = F.when(F.startswith("manifest", F.lit("C")), F.to_json(F.col("_s.r"))).otherwise(body)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .metrics import score_steps
 from .relational import not_in
 
 
@@ -79,18 +80,18 @@ def score(
 
 
 @F.pandas_udf(DoubleType())
-def _ap_of_steps(score: pd.Series, n: pd.Series, pos: pd.Series) -> float:
-    order = np.argsort(-score.to_numpy(), kind="stable")
-    rows, hits = np.cumsum(n.to_numpy()[order]), np.cumsum(pos.to_numpy()[order])
-    if len(hits) == 0 or hits[-1] == 0:
-        return None
-    return float(np.sum(pos.to_numpy()[order] / hits[-1] * (hits / rows)))
+def _gain(pos: pd.Series, positives: pd.Series, hits: pd.Series, seen: pd.Series) -> float:
+    return float((pos / positives * (hits / seen)).sum())
 
 
-def ap_udaf(scored: DataFrame) -> DataFrame:
+def ap_udaf(scored: DataFrame, n_entries: int, pieces: int = 64) -> DataFrame:
     """UD04: average precision per term as a grouped pandas aggregate, to cross-check AG14.
 
-    It sees one row per distinct score, already counted by Spark, never the raw rows.
+    It sees one row per distinct score with its running totals, never the raw rows. A term's steps
+    are dealt into ``pieces`` whose partial sums are added up, so no term is held by one task.
     """
-    steps = scored.groupBy("term", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    return steps.groupBy("term").agg(_ap_of_steps("score", "n", "pos").alias("ap")).filter("ap IS NOT NULL")
+    steps = score_steps(scored, n_entries, (), descending=True).filter("_p > 0")
+    seen = F.col("_cum") + F.when(F.col("score") <= 0, F.col("_absent")).otherwise(0)
+    dealt = steps.withColumn("_seen", seen).withColumn("_piece", F.pmod(F.xxhash64("score"), F.lit(pieces)))
+    parts = dealt.groupBy("term", "_piece").agg(_gain("_pos", "_p", "_cum_pos", "_seen").alias("_g"))
+    return parts.groupBy("term").agg(F.sum("_g").alias("ap"))

@@ -118,7 +118,7 @@ def fmax(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _score_steps(scored: DataFrame, n_entries: int, keys: Sequence[str], descending: bool) -> DataFrame:
+def score_steps(scored: DataFrame, n_entries: int, keys: Sequence[str], descending: bool) -> DataFrame:
     """Distinct scores per term with their rows, positives and running totals.
 
     Ties are aggregated before the running totals; entries without a row join the group of score 0.
@@ -132,7 +132,7 @@ def _score_steps(scored: DataFrame, n_entries: int, keys: Sequence[str], descend
 
 def average_precision(scored: DataFrame, n_entries: int, keys: Sequence[str] = ()) -> DataFrame:
     """AG14: step-wise average precision per term with at least one positive; score ties are one step."""
-    run = _score_steps(scored, n_entries, keys, descending=True).filter(F.col("_p") > 0)
+    run = score_steps(scored, n_entries, keys, descending=True).filter(F.col("_p") > 0)
     seen = F.col("_cum") + F.when(F.col("score") <= 0, F.col("_absent")).otherwise(0)
     gain = F.col("_pos") / F.col("_p") * (F.col("_cum_pos") / seen)
     return run.groupBy(*keys, "term").agg(F.sum(gain).alias("ap"))
@@ -145,7 +145,7 @@ def macro_ap(scored: DataFrame, n_entries: int, keys: Sequence[str] = ()) -> Dat
 
 def roc_auc(scored: DataFrame, n_entries: int, keys: Sequence[str] = ()) -> DataFrame:
     """AG15: area under the ROC curve per term with both classes, by rank sums with ties at one half."""
-    run = _score_steps(scored, n_entries, keys, descending=False)
+    run = score_steps(scored, n_entries, keys, descending=False)
     negatives = F.lit(n_entries) - F.col("_p")
     absent_here = F.when(F.col("score") <= 0, F.col("_absent")).otherwise(0)
     absent_below = F.when(F.col("score") > 0, F.col("_absent")).otherwise(0)

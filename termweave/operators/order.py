@@ -7,6 +7,7 @@ only steer balance; the result is exact for any bounds.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -38,16 +39,22 @@ def value_bounds(df: DataFrame, value: str) -> list[float]:
 
 
 def with_value_bucket(df: DataFrame, value: str, bounds: Sequence[float], out: str) -> DataFrame:
-    """Ordered bucket of a value. Even buckets hold exactly one (frequent) value, odd ones a gap."""
-    if not bounds:
-        return df.withColumn(out, F.lit(1))
-    splits = [float("-inf"), *bounds, float("inf")]
+    """Ordered bucket of a value. Odd buckets hold exactly one (frequent) value, even ones a gap.
+
+    Every bound opens a bucket of its own that ends at the next representable number.
+    """
+    clean = F.col(value).cast("double")
+    held = df.withColumn(f"{out}_in", F.when(clean == 0, F.lit(0.0)).otherwise(clean))  # no -0.0
+    splits = [float("-inf")]
+    for bound in bounds:
+        if bound + 0.0 > splits[-1] and math.isfinite(bound):
+            splits += [bound + 0.0, math.nextafter(bound + 0.0, math.inf)]
+    splits.append(float("inf"))
+    if len(splits) < 3:
+        return df.withColumn(out, F.lit(0))
     raw = f"{out}_raw"
-    held = df.withColumn(f"{out}_in", F.col(value).cast("double"))
     dealt = Bucketizer(splits=splits, inputCol=f"{out}_in", outputCol=raw, handleInvalid="keep").transform(held)
-    edge = F.get(F.array(*[F.lit(float(b)) for b in bounds]), F.col(raw).cast("int") - 1)
-    index = 2 * F.col(raw).cast("int") + F.when(edge == F.col(f"{out}_in"), 0).otherwise(1)
-    return dealt.withColumn(out, index).drop(raw, f"{out}_in")
+    return dealt.withColumn(out, F.col(raw).cast("int")).drop(raw, f"{out}_in")
 
 
 def global_rank(
@@ -74,7 +81,7 @@ def global_rank(
         rows = rows.withColumn("_b", F.lit(0)).withColumn("_s", _hash_bucket(F.col("_h"), HASH_DIGITS))
     else:
         rows = with_value_bucket(rows, value, value_bounds(df, value), "_b")
-        split = F.when(F.col("_b") % 2 == 0, _hash_bucket(F.col("_h"), 2)).otherwise(F.lit(0))
+        split = F.when(F.col("_b") % 2 == 1, _hash_bucket(F.col("_h"), 2)).otherwise(F.lit(0))
         rows = rows.withColumn("_s", split)
     where = [*keys, "_b", "_s"]
     counts = rows.groupBy(*where).agg(F.count(F.lit(1)).alias("_n"))
