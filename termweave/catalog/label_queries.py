@@ -51,7 +51,7 @@ FROM (SELECT DISTINCT entry_id FROM annotations) e CROSS JOIN voc v LEFT JOIN hi
 def _(t):
     vocab = labels.vocabulary(t.annotations()).filter("aspect = 'P'")
     hot = labels.multi_hot(t.annotations(), vocab)
-    return hot.select("entry_id", F.array_join(F.transform("labels", lambda x: x.cast("string")), "").alias("labels"))
+    return hot.select("entry_id", F.array_join(F.col("labels").cast("array<string>"), "").alias("labels"))
 
 
 _STRATUM = "SELECT entry_id, string_agg(aspect, '' ORDER BY aspect) AS stratum FROM (SELECT DISTINCT entry_id, aspect FROM annotations) GROUP BY entry_id"

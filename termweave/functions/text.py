@@ -75,7 +75,7 @@ def partition_path(template: str, aspect: Column) -> Column:
     return F.replace(out, F.lit("{aspect}"), aspect)
 
 
-def _let(value: Column, body) -> Column:
+def bind(value: Column, body) -> Column:
     """Bind ``value`` once for use in ``body``, so nested uses do not copy its expression."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -104,9 +104,9 @@ def score_text(col: Column) -> Column:
                 up = (rest > 0) | ((rest == 0) & ((error > 0) | ((error == 0) & odd)))
                 return whole + F.when(up, 1).otherwise(0)
 
-            return _let(x * s, with_product)
+            return bind(x * s, with_product)
 
-        return _let(F.pow(F.lit(10.0), 2 - e), with_scale)
+        return bind(F.pow(F.lit(10.0), 2 - e), with_scale)
 
     def text_of(e: Column, digits: Column) -> Column:
         tail = F.regexp_replace(F.substring(digits, 2, 2), "0+$", "")
@@ -120,9 +120,9 @@ def score_text(col: Column) -> Column:
     def with_exponent(x: Column, guess: Column) -> Column:
         # log10 may be off by one next to a power of ten
         e = F.when(F.pow(F.lit(10.0), guess + 1) <= x, guess + 1).when(F.pow(F.lit(10.0), guess) > x, guess - 1)
-        return _let(
+        return bind(
             F.coalesce(e, guess),
-            lambda e: _let(
+            lambda e: bind(
                 rounded(x, e),
                 lambda k: text_of(
                     F.when(k >= 1000, e + 1).otherwise(e), F.when(k >= 1000, F.lit("100")).otherwise(k.cast("string"))
@@ -133,7 +133,7 @@ def score_text(col: Column) -> Column:
     value = col.cast("double")
     usable = value.isNotNull() & ~F.isnan(value) & (value > 0) & (value < float("inf"))
     capped = F.least(value, F.lit(1.0))
-    return F.when(usable, _let(capped, lambda x: _let(F.floor(F.log10(x)), lambda g: with_exponent(x, g))))
+    return F.when(usable, bind(capped, lambda x: bind(F.floor(F.log10(x)), lambda g: with_exponent(x, g))))
 
 
 def chunk_sequence(df: DataFrame, k: int, col: str = "sequence") -> DataFrame:

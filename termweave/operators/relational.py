@@ -124,22 +124,23 @@ def join_truth(predictions: DataFrame, labels: DataFrame) -> DataFrame:
 def deduplicate(df: DataFrame, order: Column, policy: str = "last", key: str = "entry_id", value: str = "sequence") -> DataFrame:
     """SC04: one row per key: the first or last in file order, or an error on conflicting values.
 
-    An aggregation with map-side combine: repeats of a hot key never meet in one task.
+    Only keys and positions are shuffled to find the repeated keys (usually few); the wide rows are
+    then filtered against that table, so they move only when it is too large to broadcast. Repeats
+    of a hot key are combined map-side.
     """
-    others = [c for c in df.columns if c != key]
-    row = F.struct(*others)
-    if policy in ("first", "last"):
-        pick = F.min_by(row, order) if policy == "first" else F.max_by(row, order)
-        out = df.groupBy(key).agg(pick.alias("_row"))
-    elif policy == "error":
-        out = df.groupBy(key).agg(
-            F.min_by(row, order).alias("_row"), F.min(value).alias("_lo"), F.max(value).alias("_hi")
-        )
-        clash = F.raise_error(F.concat(F.lit("conflicting rows for "), F.col(key).cast("string")))
-        out = out.withColumn(key, F.when(F.col("_lo") == F.col("_hi"), F.col(key)).otherwise(clash))
-    else:
+    if policy not in ("first", "last", "error"):
         raise ValueError(f"unknown duplicate policy {policy!r}")
-    return out.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
+    placed = df.withColumn("_ord", order)
+    pick = F.max if policy == "last" else F.min
+    found = [pick("_ord").alias("_win"), F.count(F.lit(1)).alias("_n")]
+    if policy == "error":
+        found += [F.min(F.md5(value)).alias("_lo"), F.max(F.md5(value)).alias("_hi")]
+    repeated = placed.groupBy(key).agg(*found).filter("_n > 1")
+    joined = placed.join(repeated, key, "left")
+    if policy == "error":
+        clash = F.raise_error(F.concat(F.lit("conflicting rows for "), F.col(key).cast("string")))
+        joined = joined.withColumn(key, F.when(F.col("_lo") != F.col("_hi"), clash).otherwise(F.col(key)))
+    return joined.filter(F.col("_win").isNull() | (F.col("_ord") == F.col("_win"))).select(*df.columns)
 
 
 def concat_first(dfs: Sequence[DataFrame], key: str = "entry_id") -> DataFrame:
