@@ -142,7 +142,7 @@ def pack(
         place, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {_PIECE}, sequence_id long, offset long"
     )
     full = pieces.filter(~open_).select(
-        "*", (F.monotonically_increasing_id() + (F.lit(1) << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        "*", (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     return placed.unionByName(full)
 
