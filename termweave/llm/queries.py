@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op9_packing
+from .personal import op10_personal_data
+from .quality_rules import op3_quality_rules
 from .secrets import op1_secret_scan
 from .token_files import op5_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_quality_rules": op3_quality_rules,
     "op5_token_files": op5_token_files,
     "op9_packing": op9_packing,
+    "op10_personal_data": op10_personal_data,
 }
 
 SQL: dict[str, str] = {}
