@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op6_byte_bpe
 from .packing import op9_packing
 from .personal import op10_personal_data
 from .quality_rules import op3_quality_rules
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op5_token_files": op5_token_files,
+    "op6_byte_bpe": op6_byte_bpe,
     "op9_packing": op9_packing,
     "op10_personal_data": op10_personal_data,
 }

@@ -62,11 +62,9 @@ class Encoder:
             self.words[word] = len(self.words)
         self.count, self.size = len(self.words), self.size + len(flat)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids and the offsets of each text in them; a null text has none."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        n = len(texts)
-        odd = np.zeros(n, bool)
+    def _cut(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, pa.LargeListArray]:
+        """Which texts can't be cut, and the pieces of the others."""
+        odd = np.zeros(len(texts), bool)
         if self.blank:
             odd = np.asarray(pc.match_substring_regex(texts, f"^{_WHITE}|{_WHITE}{_WHITE}|{_GLUE}"))
             empty, line = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
@@ -76,11 +74,16 @@ class Encoder:
         else:
             cut = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
             cut = pc.replace_substring_regex(cut, "([a-z])([.,])", r"\1 \2")
-        lists = pc.split_pattern(cut, " ")
+        return odd, pc.split_pattern(cut, " ")
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the offsets of each text in them; a null text has none."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd, lists = self._cut(texts)
         firsts = np.asarray(lists.offsets).astype(np.int64)
+        firsts = firsts - firsts[0]
         coded = lists.flatten().dictionary_encode()
         codes, words = np.asarray(coded.indices), coded.dictionary.to_pylist()
-        firsts = firsts - firsts[0]
         if self.blank:
             words = [w if w[:1] == "\n" else w[1:] if w[:1] == _GLUE else " " + w for w in words]
         if self.count + len(words) > CACHE_WORDS:
@@ -94,7 +97,7 @@ class Encoder:
         if self.blank:  # the line end that was put before each text
             keep = np.ones(len(flat), bool)
             keep[ends[:-1]] = False
-            flat, ends = flat[keep], ends - np.arange(n + 1)
+            flat, ends = flat[keep], ends - np.arange(len(texts) + 1)
         if odd.any():
             return self._with_whole(texts, odd, flat, ends)
         return flat, ends
