@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_byte_bpe
 from .packing import op9_packing
+from .perplexity import op2_quality_classifier
 from .personal import op10_personal_data
 from .quality_rules import op3_quality_rules
 from .secrets import op1_secret_scan
@@ -15,6 +16,7 @@ from .token_files import op5_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op5_token_files": op5_token_files,
     "op6_byte_bpe": op6_byte_bpe,
