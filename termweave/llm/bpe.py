@@ -147,7 +147,12 @@ class MergeEncoder(Encoder):
         self.blank = True
         self._reset()
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+    def _ids(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        lists = self._one_by_one(words)
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        return words, np.fromiter((i for x in lists for i in x), np.int32, int(counts.sum())), counts
+
+    def _one_by_one(self, texts: list[str]) -> list[list[int]]:
         number: dict[str, int] = {}
         lists = [[number.setdefault(w, len(number)) for w in self.words_of(t)] for t in texts]
         known: dict[int, list[int]] = {}

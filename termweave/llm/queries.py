@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_byte_bpe
+from .near_vectors import op4_embedding_near_dedup
 from .packing import op9_packing
 from .perplexity import op2_quality_classifier
 from .personal import op10_personal_data
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_token_files": op5_token_files,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_packing": op9_packing,

@@ -36,6 +36,9 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.blank = layout["normalizer"] is None
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in layout["model"]["vocab"].items():
+            self.edge[number] = token.startswith("\u0120") if self.blank else token.endswith("</w>")
         self._reset()
 
     def _reset(self) -> None:
@@ -43,23 +46,44 @@ class Encoder:
         self.starts, self.ids, self.size = np.zeros(1, np.int64), np.zeros(1 << 16, np.int32), 0
         self.count = 0
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+    def _ids(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in an order of their own, their ids and how many each has.
+
+        Plain words go many at a time as one text and are told apart by their ids: each begins with the
+        only blank, or ends with the only word end, that it has.
+        """
+        plain, others, parts, counts = [], [], [], []
+        for w in words:
+            (plain if (w[1:].isalpha() and w[0] == " " if self.blank else w.isalpha()) else others).append(w)
+        done: list[str] = []
+        for k in range(0, len(plain), 1024):
+            chunk = plain[k : k + 1024]
+            ids = np.array(self.tokenizer.encode(("" if self.blank else " ").join(chunk), add_special_tokens=False).ids, np.int32)
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) == len(chunk):
+                done += chunk
+                parts.append(ids)
+                counts.append(np.diff(at, append=len(ids)) if self.blank else np.diff(at, prepend=-1))
+            else:
+                others += chunk
+        lists = self._one_by_one(others)
+        counts.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        parts.append(np.fromiter((i for x in lists for i in x), np.int32, int(counts[-1].sum())))
+        return done + others, np.concatenate(parts), np.concatenate(counts)
+
+    def _one_by_one(self, texts: list[str]) -> list[list[int]]:
         found = []
         for k in range(0, len(texts), 512):
             found += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + 512], add_special_tokens=False)]
         return found
 
     def _remember(self, words: list[str]) -> None:
-        ids = self._encode(words)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
+        words, flat, lengths = self._ids(words)
         if self.size + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(flat)), np.int32)))
         self.ids[self.size : self.size + len(flat)] = flat
-        ends = self.size + np.cumsum(lengths)
-        self.starts = np.concatenate((self.starts[: self.count + 1], ends))
-        for word in words:
-            self.words[word] = len(self.words)
+        self.starts = np.concatenate((self.starts[: self.count + 1], self.size + np.cumsum(lengths)))
+        self.words.update(zip(words, range(self.count, self.count + len(words)), strict=True))
         self.count, self.size = len(self.words), self.size + len(flat)
 
     def _cut(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, pa.LargeListArray]:
@@ -104,7 +128,7 @@ class Encoder:
 
     def _with_whole(self, texts: pa.Array, odd: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero(odd)
-        whole = dict(zip(rows.tolist(), self._encode([texts[int(r)].as_py() for r in rows]), strict=True))
+        whole = dict(zip(rows.tolist(), self._one_by_one([texts[int(r)].as_py() for r in rows]), strict=True))
         parts = [np.asarray(whole[r], np.int32) if r in whole else flat[ends[r] : ends[r + 1]] for r in range(len(odd))]
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
