@@ -32,19 +32,30 @@ NAVIGATION = (
 )
 
 
-def good_line(
-    line: Column, boilerplate: str = BOILERPLATE, navigation: str = NAVIGATION, symbol_share: float = 0.1, capital_share: float = 0.6
+def good_lines(
+    lines: Column, boilerplate: str = BOILERPLATE, navigation: str = NAVIGATION, symbol_share: float = 0.1, capital_share: float = 0.6
 ) -> Column:
-    """Whether a line passes the punctuation, navigation and boilerplate rules."""
-    chars = F.length(F.regexp_replace(line, r"\s+", ""))
-    symbols = chars - F.length(F.regexp_replace(line, r"[\s#*$%&|<>{}\\^~=_@!]+", ""))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
-    punctuation = (symbols < symbol_share * chars) & (letters * 2 >= chars) & (
-        (letters < 12) | (capitals < capital_share * letters)
-    )
-    menu = line.rlike(rf"(?i)^\W*(?:{navigation})\W*$") | line.rlike(r"(?:\S*\s+[|>»·•]\s+){2}")
-    return punctuation & ~menu & ~line.rlike(f"(?i)(?:{boilerplate})")
+    """The lines that pass the punctuation, navigation and boilerplate rules."""
+
+    def count(line, pattern):
+        return F.length(F.regexp_replace(line, pattern, ""))
+
+    def describe(x):
+        return F.struct(
+            x.alias("line"),
+            count(x, r"\s+").alias("chars"),
+            count(x, r"[^#*$%&|<>{}\\^~=_@!]+").alias("symbols"),
+            count(x, r"[^\p{Lu}]+").alias("capitals"),
+            count(x, r"\P{L}+").alias("letters"),
+        )
+
+    def passes(d):
+        punctuation = (d["symbols"] < symbol_share * d["chars"]) & (d["letters"] * 2 >= d["chars"])
+        shouted = (d["letters"] >= 12) & (d["capitals"] >= capital_share * d["letters"])
+        menu = d["line"].rlike(rf"(?i)^\W*(?:{navigation})\W*$") | d["line"].rlike(r"\s[|>»·•]\s.*\s[|>»·•](?:\s|$)")
+        return punctuation & ~shouted & ~menu & ~d["line"].rlike(rf"(?i)\b(?:{boilerplate})")
+
+    return F.transform(F.filter(F.transform(lines, describe), passes), lambda d: d["line"])
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> tuple[Column, Column]:
@@ -54,7 +65,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> tuple[Column, Column]
     neighbours; the places are sorted again and their union is summed.
     """
     hashes = F.transform(words, lambda w: F.xxhash64(w))
-    last = F.size(words) - window + 1
+    last = F.size("_hashes") - window + 1  # named twice, so that it is computed once and not in every step
     wins = F.when(
         last >= 2, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col("_hashes"), i, window)))
     )
@@ -100,7 +111,7 @@ def clean_lines(
     df = df.withColumn("_twice", F.when(F.size(F.array_distinct("_wins")) < F.size("_wins"), F.col("_wins")))
     pairs, places, covered = _covered(F.col("_twice"))
     df = df.withColumn("_pairs", pairs).withColumn("_places", places)
-    df = df.withColumn("_good", F.filter("_lines", lambda x: good_line(x)))
+    df = df.withColumn("_good", good_lines(F.col("_lines")))
     visible = lambda c: F.length(F.regexp_replace(c, _BLANKS, ""))
     df = df.select(
         id_col,
