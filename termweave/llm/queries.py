@@ -12,6 +12,7 @@ from .packing import op9_packing
 from .perplexity import op2_quality_classifier
 from .personal import op10_personal_data
 from .quality_rules import op3_quality_rules
+from .repeats import op7_suffix_array_dedup
 from .secrets import op1_secret_scan
 from .token_files import op5_token_files
 
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_token_files": op5_token_files,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_packing": op9_packing,
     "op10_personal_data": op10_personal_data,
 }
