@@ -218,5 +218,5 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("vec_id"),
         "n_links",
         F.col("component").alias("component_id"),
-        (F.col("id") == F.col("component")).alias("kept"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op6_byte_bpe
+from .jaccard import op8_ngram_jaccard_join
 from .near_vectors import op4_embedding_near_dedup
 from .packing import op9_packing
 from .perplexity import op2_quality_classifier
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_packing": op9_packing,
     "op10_personal_data": op10_personal_data,
 }

@@ -377,8 +377,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return send_segments(docs_, given, n)
 
     def third(docs_: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs_.num_rows:
-            return None
         rows, offs, raw, gone = mark_bytes(docs_, answers, n)
         if whole_characters and len(raw):
             begins = np.flatnonzero((raw & 0xC0) != 0x80)
