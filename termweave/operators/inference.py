@@ -7,10 +7,8 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from .metrics import score_steps
+from .metrics import average_precision
 from .relational import not_in
 
 
@@ -79,19 +77,6 @@ def score(
     return df.select("entry_id", "sequence").mapInPandas(work, f"entry_id {kind}, term string, prob double")
 
 
-@F.pandas_udf(DoubleType())
-def _gain(pos: pd.Series, positives: pd.Series, hits: pd.Series, seen: pd.Series) -> float:
-    return float((pos / positives * (hits / seen)).sum())
-
-
-def ap_udaf(scored: DataFrame, n_entries: int, pieces: int = 64) -> DataFrame:
-    """UD04: average precision per term as a grouped pandas aggregate, to cross-check AG14.
-
-    It sees one row per distinct score with its running totals, never the raw rows. A term's steps
-    are dealt into ``pieces`` whose partial sums are added up, so no term is held by one task.
-    """
-    steps = score_steps(scored, n_entries, (), descending=True).filter("_p > 0")
-    seen = F.col("_cum") + F.when(F.col("score") <= 0, F.col("_absent")).otherwise(0)
-    dealt = steps.withColumn("_seen", seen).withColumn("_piece", F.pmod(F.xxhash64("score"), F.lit(pieces)))
-    parts = dealt.groupBy("term", "_piece").agg(_gain("_pos", "_p", "_cum_pos", "_seen").alias("_g"))
-    return parts.groupBy("term").agg(F.sum("_g").alias("ap"))
+def ap_udaf(scored: DataFrame, n_entries: int) -> DataFrame:
+    """UD04: average precision per term as a grouped aggregate; built-in functions are its only form."""
+    return average_precision(scored, n_entries)

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import running_totals
+from .order import running_totals, same
 
 # The threshold grid of the prediction report.
 DEFAULT_THRESHOLDS = [0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
@@ -118,24 +118,35 @@ def fmax(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def score_steps(scored: DataFrame, n_entries: int, keys: Sequence[str], descending: bool) -> DataFrame:
-    """Distinct scores per term with their rows, positives and running totals.
+def term_ranking(scored: DataFrame, n_entries: int, keys: Sequence[str] = ()) -> DataFrame:
+    """AG14/AG15 per term with a positive -> keys, term, ap, auc (NULL unless the term has both classes).
 
-    Ties are aggregated before the running totals; entries without a row join the group of score 0.
+    Rows become steps of equal score before anything is ordered, and one descending pass over the
+    steps serves both measures. A missing score is 0, and entries without a row join the step of
+    score 0. Average precision is step-wise; the area under the ROC curve counts a pair of equal
+    scores as one half.
     """
     group = [*keys, "term"]
-    steps = scored.groupBy(*group, "score").agg(F.count(F.lit(1)).alias("_n"), F.sum("label").cast("bigint").alias("_pos"))
-    totals = steps.groupBy(*group).agg(F.sum("_n").alias("_rows"), F.sum("_pos").alias("_p"))
-    run = running_totals(steps, group, "score", {"_n": "_cum", "_pos": "_cum_pos"}, descending=descending)
-    return run.join(totals, group).withColumn("_absent", F.lit(n_entries) - F.col("_rows"))
+    score = F.coalesce(F.col("score"), F.lit(0.0)).alias("score")
+    steps = scored.select(*group, score, "label").groupBy(*group, "score").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("label").cast("bigint").alias("_pos")
+    )
+    totals = steps.groupBy(*group).agg(F.sum("_n").alias("_rows"), F.sum("_pos").alias("_p")).filter("_p > 0")
+    run = same(running_totals(steps, group, "score", {"_n": "_cum", "_pos": "_cum_pos"}), totals, group)
+    absent = F.lit(n_entries) - F.col("_rows")
+    late = F.when(F.col("score") <= 0, absent).otherwise(0)
+    seen = F.col("_cum") + late
+    gain = F.col("_pos") / F.col("_p") * (F.col("_cum_pos") / seen)
+    negatives = F.lit(n_entries) - F.col("_p")
+    own = F.col("_n") - F.col("_pos") + late
+    below = negatives - (seen - F.col("_cum_pos"))
+    area = F.when(negatives > 0, F.col("_pos") * (below + 0.5 * own) / (F.col("_p") * negatives))
+    return run.groupBy(*group).agg(F.sum(gain).alias("ap"), F.sum(area).alias("auc"))
 
 
 def average_precision(scored: DataFrame, n_entries: int, keys: Sequence[str] = ()) -> DataFrame:
     """AG14: step-wise average precision per term with at least one positive; score ties are one step."""
-    run = score_steps(scored, n_entries, keys, descending=True).filter(F.col("_p") > 0)
-    seen = F.col("_cum") + F.when(F.col("score") <= 0, F.col("_absent")).otherwise(0)
-    gain = F.col("_pos") / F.col("_p") * (F.col("_cum_pos") / seen)
-    return run.groupBy(*keys, "term").agg(F.sum(gain).alias("ap"))
+    return term_ranking(scored, n_entries, keys).select(*keys, "term", "ap")
 
 
 def macro_ap(scored: DataFrame, n_entries: int, keys: Sequence[str] = ()) -> DataFrame:
@@ -144,16 +155,8 @@ def macro_ap(scored: DataFrame, n_entries: int, keys: Sequence[str] = ()) -> Dat
 
 
 def roc_auc(scored: DataFrame, n_entries: int, keys: Sequence[str] = ()) -> DataFrame:
-    """AG15: area under the ROC curve per term with both classes, by rank sums with ties at one half."""
-    run = score_steps(scored, n_entries, keys, descending=False)
-    negatives = F.lit(n_entries) - F.col("_p")
-    absent_here = F.when(F.col("score") <= 0, F.col("_absent")).otherwise(0)
-    absent_below = F.when(F.col("score") > 0, F.col("_absent")).otherwise(0)
-    own = F.col("_n") - F.col("_pos") + absent_here
-    below = (F.col("_cum") - F.col("_n")) - (F.col("_cum_pos") - F.col("_pos")) + absent_below
-    area = F.col("_pos") * (below + 0.5 * own)
-    kept = run.filter((F.col("_p") > 0) & (negatives > 0)).withColumn("_area", area / (F.col("_p") * negatives))
-    return kept.groupBy(*keys, "term").agg(F.sum("_area").alias("auc"))
+    """AG15: area under the ROC curve per term with both classes, ties at one half."""
+    return term_ranking(scored, n_entries, keys).filter("auc IS NOT NULL").select(*keys, "term", "auc")
 
 
 def macro_auc(scored: DataFrame, n_entries: int, keys: Sequence[str] = ()) -> DataFrame:

@@ -1,22 +1,21 @@
 """Exact global ranks and running totals that never put all rows, or one hot group, in one task.
 
-Rows are dealt into ordered buckets first, buckets are counted (a small, bounded table) and each
-row's position inside its bucket is shifted by the rows of the buckets before it. Bucket bounds
-only steer balance; the result is exact for any bounds.
+Spark's range partitioner deals the rows into ordered partitions by (keys, value, hash of the id, id),
+so any type with an order works, NULL and NaN included, and a hot key or value is split by the hash.
+The dealt rows are written once with the number of their partition; a row's position inside its
+partition is then shifted by the rows of its group in the partitions before, which is a table of one
+row per partition and group.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut
-
-HASH_DIGITS = 3  # 4096 hash buckets
+from ..lineage import written
 
 
 def seeded_hash(col: Column, seed: object = None) -> Column:
@@ -25,36 +24,17 @@ def seeded_hash(col: Column, seed: object = None) -> Column:
     return F.md5(text if seed is None else F.concat(text, F.lit(f"|{seed}")))
 
 
-def _hash_bucket(col: Column, digits: int) -> Column:
-    return F.conv(F.substring(col, 1, digits), 16, 10).cast("int")
-
-
-def value_bounds(df: DataFrame, value: str) -> list[float]:
-    """Approximate quantiles, a few per shuffle partition: a bounded list of numbers."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    pieces = min(max(32, 4 * parts), 10_000)
-    shares = [i / pieces for i in range(1, pieces)]
-    found = df.agg(F.percentile_approx(F.col(value).cast("double"), shares, 20 * pieces)).first()[0]
-    return sorted(set(found or []))
+def dealt(df: DataFrame, order: Sequence[str], name: str, out: str = "_p") -> DataFrame:
+    """The rows in ordered partitions by ``order``, written once, with the partition's number in ``out``."""
+    return written(df.repartitionByRange(*order).withColumn(out, F.spark_partition_id()), name)
 
 
-def with_value_bucket(df: DataFrame, value: str, bounds: Sequence[float], out: str) -> DataFrame:
-    """Ordered bucket of a value. Odd buckets hold exactly one (frequent) value, even ones a gap.
-
-    Every bound opens a bucket of its own that ends at the next representable number.
-    """
-    clean = F.col(value).cast("double")
-    held = df.withColumn(f"{out}_in", F.when(clean == 0, F.lit(0.0)).otherwise(clean))  # no -0.0
-    splits = [float("-inf")]
-    for bound in bounds:
-        if bound + 0.0 > splits[-1] and math.isfinite(bound):
-            splits += [bound + 0.0, math.nextafter(bound + 0.0, math.inf)]
-    splits.append(float("inf"))
-    if len(splits) < 3:
-        return df.withColumn(out, F.lit(0))
-    raw = f"{out}_raw"
-    dealt = Bucketizer(splits=splits, inputCol=f"{out}_in", outputCol=raw, handleInvalid="keep").transform(held)
-    return dealt.withColumn(out, F.col(raw).cast("int")).drop(raw, f"{out}_in")
+def same(left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which NULL equals NULL; the columns come from the left side."""
+    names = {c: f"_right_{c}" for c in columns}
+    renamed = right.withColumnsRenamed(names)
+    condition = reduce(Column.__and__, (left[c].eqNullSafe(renamed[n]) for c, n in names.items()))
+    return left.join(renamed, condition, how).drop(*names.values())
 
 
 def global_rank(
@@ -65,34 +45,21 @@ def global_rank(
     seed: object = None,
     out: str = "rank",
     total: str | None = None,
-    written: bool = False,
 ) -> DataFrame:
     """1-based exact rank by (value, md5 of the id, id) within ``keys``; optionally the group size.
 
-    Neither a hot key nor a hot value ends up in one task: frequent values get a bucket of their
-    own, which is split again by the hash they are ordered by. With a ``value`` the input is read
-    three times (bounds, bucket counts, rows), so it is written to shared storage once, unless it
-    is ``written`` already; keep it narrow.
+    NULL values come first and NaN last, and a NULL key is a group like any other. Keep the input
+    narrow: it is computed twice (partition bounds, rows) and its rows are written once.
     """
-    if value is not None and not written:
-        df = cut(df)
-    rows = df.withColumn("_h", seeded_hash(F.col(id_col), seed))
-    if value is None:
-        rows = rows.withColumn("_b", F.lit(0)).withColumn("_s", _hash_bucket(F.col("_h"), HASH_DIGITS))
-    else:
-        rows = with_value_bucket(rows, value, value_bounds(df, value), "_b")
-        split = F.when(F.col("_b") % 2 == 1, _hash_bucket(F.col("_h"), 2)).otherwise(F.lit(0))
-        rows = rows.withColumn("_s", split)
-    where = [*keys, "_b", "_s"]
+    keys, line = list(keys), [*([value] if value else []), "_h", id_col]
+    rows = dealt(df.withColumn("_h", seeded_hash(F.col(id_col), seed)), [*keys, *line], "ranked")
+    where = ["_p", *keys]
     counts = rows.groupBy(*where).agg(F.count(F.lit(1)).alias("_n"))
-    scope = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = F.sum("_n").over(scope.orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(
-        *where, F.coalesce(before, F.lit(0)).alias("_off"), F.sum("_n").over(scope).alias("_tot")
-    )
-    keyed = ([value] if value else []) + ["_h", id_col]
-    local = F.row_number().over(Window.partitionBy(*where).orderBy(*keyed))
-    ranked = rows.withColumn("_r", local).join(offsets, where)
+    scope = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = F.sum("_n").over(scope.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*where, F.coalesce(before, F.lit(0)).alias("_off"), F.sum("_n").over(scope).alias("_tot"))
+    local = F.row_number().over(Window.partitionBy(*where).orderBy(*line))
+    ranked = same(rows.withColumn("_r", local), offsets, where)
     picked = [*df.columns, (F.col("_off") + F.col("_r")).cast("bigint").alias(out)]
     if total:
         picked.append(F.col("_tot").cast("bigint").alias(total))
@@ -104,21 +71,19 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums along ``order`` within ``keys`` (order values distinct per key).
 
-    ``sums`` maps an input column to the name of its running total. The (aggregated) input is
-    written to shared storage once, because it is read three times.
+    ``sums`` maps an input column to the name of its running total. A NULL key is a group, a NULL
+    order value comes first ascending and last descending.
     """
-    df = cut(df)
-    rows = with_value_bucket(df, order, value_bounds(df, order), "_b")
-    where = [*keys, "_b"]
-    sign = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    keys = list(keys)
+    rows = dealt(df, [*keys, order], "totals")
+    where = ["_p", *keys]
+    turn = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     totals = rows.groupBy(*where).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    ahead = Window.partitionBy(*keys).orderBy(sign("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *where, *[F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0)).alias(f"_o_{c}") for c in sums]
-    )
-    inside = Window.partitionBy(*where).orderBy(sign(order)).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(turn("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*where, *[F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0)).alias(f"_o_{c}") for c in sums])
+    inside = Window.partitionBy(*where).orderBy(turn(order)).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.select("*", *[F.sum(c).over(inside).alias(f"_l_{c}") for c in sums])
-    joined = local.join(offsets, where)
+    joined = same(local, offsets, where)
     return joined.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(n) for c, n in sums.items()])
 
 
@@ -127,6 +92,7 @@ def ordered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.orderBy(*keys)
 
 
-def by_length(df: DataFrame, length: str = "length") -> DataFrame:
-    """SO04: similar lengths land in the same partition, sorted, without a single-task sort."""
-    return df.repartitionByRange(length).sortWithinPartitions(length)
+def by_length(df: DataFrame, length: str = "length", id_col: str = "entry_id") -> DataFrame:
+    """SO04: similar lengths land in the same partition, sorted; a frequent length is split by the id's hash."""
+    spread = F.xxhash64(F.col(id_col))
+    return df.repartitionByRange(F.col(length), spread).sortWithinPartitions(length)

@@ -174,8 +174,8 @@ def min_length(df: DataFrame, k: int, col: str = "length") -> tuple[DataFrame, D
 
 
 def noise_floor(df: DataFrame, floor: float = 0.01) -> DataFrame:
-    """PF09: drop scores below the floor, clamp the rest to 1."""
-    return df.filter(F.col("score") >= floor).withColumn("score", F.least("score", F.lit(1.0)))
+    """PF09: drop NULL and NaN scores and those below the floor, clamp the rest to 1."""
+    return df.filter((F.col("score") >= floor) & ~F.isnan("score")).withColumn("score", F.least("score", F.lit(1.0)))
 
 
 def combine_aspects(df: DataFrame) -> DataFrame:

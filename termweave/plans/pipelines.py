@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import finite
 from ..functions.text import aspect_name, score_text
-from ..lineage import cut
+from ..lineage import cut, written
 from ..operators import dag, graph, labels, metrics, quality, ranking, relational, reports, similarity
 from ..sources import sinks
 
@@ -117,9 +117,9 @@ def evaluate(
     weighed = weighed.select(
         "aspect", F.col("fmax").alias("ia_fmax"), F.col("precision").alias("ia_precision"), F.col("recall").alias("ia_recall"), F.col("tau").alias("ia_threshold")
     )
-    ap = metrics.macro_ap(clean, n_entries, keys).select("aspect", F.col("ap").alias("pr_auc"), "ap")
-    auc = metrics.macro_auc(clean, n_entries, keys).select("aspect", F.col("auc").alias("roc_auc"))
-    wide = plain.drop("tau").join(weighed, "aspect").join(ap, "aspect", "left").join(auc, "aspect", "left")
+    by_term = metrics.term_ranking(clean, n_entries, keys)
+    ranked = by_term.groupBy("aspect").agg(F.avg("ap").alias("pr_auc"), F.avg("ap").alias("ap"), F.avg("auc").alias("roc_auc"))
+    wide = plain.drop("tau").join(weighed, "aspect").join(ranked, "aspect", "left")
     names = [c for c in wide.columns if c != "aspect"]
     pairs = F.array(*[F.struct(F.lit(n).alias("metric"), finite(F.col(n)).alias("value")) for n in names])
     return wide.select("aspect", F.inline(pairs)).filter("value IS NOT NULL")
@@ -155,11 +155,11 @@ def build_eval_sets(
     scores = wide.join(means, ["aspect", "entry_id"], "left").select(
         "aspect", "entry_id", F.coalesce("_s", F.lit(0.0)).alias("frequency"), "similarity"
     )
-    scores = cut(scores)
-    by_freq = ranking.rank_buckets(scores, "frequency", fracs, ["aspect"], written=True).select("aspect", "bucket", "entry_id")
-    by_sim = ranking.rank_buckets(scores, "similarity", fracs, ["aspect"], written=True).select("aspect", "bucket", "entry_id")
+    scores = written(scores, "eval-scores")
+    by_freq = ranking.rank_buckets(scores, "frequency", fracs, ["aspect"]).select("aspect", "bucket", "entry_id")
+    by_sim = ranking.rank_buckets(scores, "similarity", fracs, ["aspect"]).select("aspect", "bucket", "entry_id")
     keys = ["aspect", "bucket"]
-    first = cut(ranking.bucket_sample(by_freq, size, seed=seed, keys=keys))
+    first = written(ranking.bucket_sample(by_freq, size, seed=seed, keys=keys), "eval-first")
     liked = by_sim.join(first.select("aspect", "entry_id").distinct(), ["aspect", "entry_id"], "left_semi")
     second = ranking.bucket_sample(by_sim, size, liked, seed=seed, keys=keys)
 

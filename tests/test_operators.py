@@ -264,7 +264,7 @@ def test_split_sizes_and_strata():
     with pytest.raises(ValueError):
         ranking.split_counts(5, {})
     with pytest.raises(ValueError):
-        ranking.bucket_fractions((1, -1, 1))
+        ranking.bucket_edges((1, -1, 1))
 
 
 def test_fallback_strict_raises(spark):

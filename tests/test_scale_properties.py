@@ -145,3 +145,59 @@ def test_incremental_finalize_resumes(spark, tmp_path):
     incremental_finalize(spark, src, out, state, closure, schema)
     both = sorted(tuple(r) for r in spark.read.parquet(out).select("entry_id", "term", "score_text").collect())
     assert both == [(1, 1, "0.5"), (1, 2, "0.5"), (7, 1, "0.25"), (7, 2, "0.25")]
+
+
+@pytest.mark.parametrize("kind", ["double", "bigint", "decimal(38,3)", "string"])
+def test_global_rank_keeps_null_and_large_values(spark, partitions, kind):
+    from decimal import Decimal
+
+    big = {"double": lambda i: [None, float("nan"), -0.0, 0.0, float("-inf"), 1.5][i % 6], "bigint": lambda i: None if i % 7 == 0 else 2**53 + i % 40,
+           "decimal(38,3)": lambda i: None if i % 7 == 0 else Decimal(10**20) + Decimal(i % 40) / 1000, "string": lambda i: None if i % 7 == 0 else f"v{i % 5}"}[kind]
+    data = [(f"e{i}", None if i % 3 == 0 else "k", big(i)) for i in range(600)]
+    df = spark.createDataFrame(data, f"entry_id string, k string, v {kind}")
+    got = {r["entry_id"]: (r["rank"], r["n"]) for r in order.global_rank(df, "entry_id", value="v", keys=["k"], total="n").collect()}
+    assert len(got) == 600
+
+    def line(r):
+        v = r[2]
+        place = (0, 0) if v is None else (2, 0) if v != v else (1, v)
+        return place, hashlib.md5(r[0].encode()).hexdigest(), r[0]
+
+    for key in (None, "k"):
+        rows = sorted((r for r in data if r[1] == key), key=line)
+        assert [got[r[0]] for r in rows] == [(i + 1, len(rows)) for i in range(len(rows))]
+
+
+def test_rank_of_one_value_is_by_hash(spark, partitions):
+    df = spark.range(500).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("entry_id"), F.lit(None).cast("double").alias("v"))
+    got = {r["entry_id"]: r["rank"] for r in order.global_rank(df, "entry_id", value="v").collect()}
+    want = sorted(got, key=lambda e: (hashlib.md5(e.encode()).hexdigest(), e))
+    assert [got[e] for e in want] == list(range(1, 501))
+
+
+def test_null_keys_stay_in_totals_and_samples(spark, partitions):
+    sums = spark.createDataFrame([(None, 1.0, 2), (None, 3.0, 5), ("a", None, 7), ("a", 2.0, 1)], "k string, v double, n int")
+    got = {(r["k"], r["v"]): r["c"] for r in order.running_totals(sums, ["k"], "v", {"n": "c"}).collect()}
+    assert got == {(None, 3.0): 5, (None, 1.0): 7, ("a", 2.0): 1, ("a", None): 8}
+    rows = spark.createDataFrame([("x", None), ("y", None), ("z", "s")], "entry_id string, stratum string")
+    assert ranking.stratified_sample(rows, 1.0).count() == 3
+    drawn = ranking.bucket_sample(spark.createDataFrame([(None, "x"), (None, "y"), ("b", "z")], "g string, entry_id string"), 2, keys=["g"])
+    assert sorted((r["g"] or "", r["entry_id"]) for r in drawn.collect()) == [("", "x"), ("", "y"), ("b", "z"), ("b", "z")]
+
+
+def test_nan_is_never_a_prediction(spark):
+    from termweave.operators import relational
+
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([("e", 1, nan), ("e", 2, 0.5), ("e", 3, None), ("e", 4, inf), ("e", 5, -inf)], "entry_id string, term int, score double")
+    assert sorted((r["term"], r["score"]) for r in relational.noise_floor(df).collect()) == [(2, 0.5), (4, 1.0)]
+    assert [r["term"] for r in ranking.top_predictions(df, 2).orderBy("term").collect()] == [2, 4]
+
+
+def test_missing_score_counts_as_zero(spark):
+    from termweave.operators import metrics
+
+    df = spark.createDataFrame([("a", 1, 0.9, 1), ("b", 1, None, 1), ("c", 1, 0.5, 0)], "entry_id string, term int, score double, label int")
+    got = metrics.term_ranking(df, 4).collect()[0]
+    assert got["ap"] == pytest.approx(0.5 * 1 + 0.5 * 2 / 4)
+    assert got["auc"] == pytest.approx((2 + 0.5) / 4)
