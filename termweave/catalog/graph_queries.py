@@ -151,11 +151,12 @@ def _(t):
     return _xyz(graph.diffuse(graph.stochastic_prior(_graph(t), _nodes(t)), _vec(t), 1, 3))
 
 
-_CROP = "SELECT label AS entry_id, CAST(max(vec_id % 97) AS BIGINT) - 40 AS length FROM embeddings GROUP BY label"
+_CROP = "SELECT label + 10 * (vec_id // 500) AS entry_id, CAST(max(vec_id % 97) AS BIGINT) - 40 AS length FROM embeddings GROUP BY 1"
 
 
 def _crop_lengths(t: Inputs):
-    return t.table("embeddings").groupBy(F.col("label").cast("bigint").alias("entry_id")).agg(
+    entry = F.col("label").cast("bigint") + 10 * F.floor(F.col("vec_id") / 500.0).cast("bigint")
+    return t.table("embeddings").groupBy(entry.alias("entry_id")).agg(
         (F.max(F.col("vec_id") % 97) - 40).alias("length")
     )
 
@@ -272,7 +273,9 @@ def _(t):
     return _r(graph.contact_graph(t.contacts(), t.contact_lengths(), k=5, min_prob=0.2, band=3), "p")
 
 
-@query("gr14_contact_graph_mutual", "contacts", "SELECT a.entry_id, a.i, a.j, round(a.p, 9) AS p FROM kp a JOIN kp b ON b.entry_id = a.entry_id AND b.i = a.j AND b.j = a.i", **_KEPT)
+@query("gr14_contact_graph_mutual", "contacts", """
+SELECT entry_id, r.i AS i, r.j AS j, round(r.p, 9) AS p FROM
+(SELECT entry_id, unnest(list({'i': i, 'j': j, 'p': p})) AS r FROM kp GROUP BY entry_id, least(i, j), greatest(i, j) HAVING count(*) = 2)""", **_KEPT)
 def _(t):
     return _r(graph.contact_graph(t.contacts(), t.contact_lengths(), k=5, min_prob=0.2, band=3, mutual=True), "p")
 

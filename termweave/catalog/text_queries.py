@@ -87,7 +87,12 @@ def _(t):
     return similarity.gram_vector(t.entries()).withColumn("w", F.round("w", 9))
 
 
-@query("ag09_gram_vector_hashed")
+_BUCKET = "(('0x' || substr(md5(gram), 1, 8))::BIGINT % 65536)"
+
+
+@query("ag09_gram_vector_hashed", "entries", "SELECT h.entry_id, h.gram, round(h.n / norms.norm, 9) AS w FROM hashed h JOIN norms ON norms.entry_id = h.entry_id",
+       **_COUNTS, hashed=f"SELECT entry_id, {_BUCKET} AS gram, CAST(sum(n) AS BIGINT) AS n FROM counts GROUP BY 1, 2",
+       norms="SELECT entry_id, sqrt(sum(n * n)) AS norm FROM hashed GROUP BY 1")
 def _(t):
     return similarity.gram_vector(t.entries(), buckets=1 << 16).withColumn("w", F.round("w", 9))
 
@@ -141,11 +146,9 @@ def _(t):
 
 def _pair_sql(cut: float) -> dict[str, str]:
     return {
-        "packed": "SELECT entry_id, count(*) AS size, string_agg(CAST(token AS VARCHAR), ',' ORDER BY token) AS f FROM sets GROUP BY 1",
-        "heads": "SELECT f, min(entry_id) AS rep, any_value(size) AS size FROM packed GROUP BY 1",
-        "rset": "SELECT s.entry_id, s.token, h.size FROM sets s JOIN heads h ON h.rep = s.entry_id",
-        "hits": "SELECT x.entry_id AS a, y.entry_id AS b, x.size AS sa, y.size AS sb, count(*) AS c FROM rset x JOIN rset y ON x.token = y.token AND x.entry_id < y.entry_id GROUP BY 1, 2, 3, 4",
-        "single": f"SELECT a, b, CAST(c AS DOUBLE) / (sa + sb - c) AS w FROM hits WHERE CAST(c AS DOUBLE) / (sa + sb - c) >= {cut} - 1e-12 UNION ALL SELECT h.rep, p.entry_id, 1.0 FROM packed p JOIN heads h ON h.f = p.f WHERE p.entry_id <> h.rep",
+        "sizes": "SELECT entry_id, count(*) AS size FROM sets GROUP BY 1",
+        "hits": "SELECT x.entry_id AS a, y.entry_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.token = y.token AND x.entry_id < y.entry_id GROUP BY 1, 2",
+        "single": f"SELECT a, b, CAST(c AS DOUBLE) / (p.size + q.size - c) AS w FROM hits JOIN sizes p ON p.entry_id = a JOIN sizes q ON q.entry_id = b WHERE CAST(c AS DOUBLE) / (p.size + q.size - c) >= {cut} - 1e-12",
         "graph": "SELECT a, b, w FROM single UNION ALL SELECT b, a, w FROM single UNION ALL SELECT entry_id, entry_id, 1.0 FROM everyone",
     }
 
@@ -178,7 +181,7 @@ def _(t):
 SELECT a, b, round(w, 9) AS weight, r AS rank FROM (SELECT a, b, w, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS r FROM graph WHERE a <> b) WHERE r <= 20
 """, sets=_TERMS, everyone="SELECT DISTINCT entry_id FROM annotations", **_pair_sql(0.2))
 def _(t):
-    return similarity.knn(similarity.pair_graph(_term_sets(t), 0.2), 20).withColumn("weight", F.round("weight", 9))
+    return similarity.knn(*similarity.representatives(_term_sets(t), 0.2), 20).withColumn("weight", F.round("weight", 9))
 
 
 def _letter_codes():

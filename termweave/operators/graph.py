@@ -16,20 +16,29 @@ from ..lineage import cut
 from .ranking import nearest, top_contacts
 from .relational import mutual as keep_mutual
 
-WIDE = 96  # vectors up to this width are summed as columns, without exploding
+WIDTH = 64  # elements of a vector that are summed as columns at once
 
 
 def vector_sum(df: DataFrame, keys: Sequence[str], vec: Column, dim: int | None = None, out: str = "vec") -> DataFrame:
-    """Element-wise sum of arrays per group, with map-side combine."""
+    """Element-wise sum of arrays per group, with map-side combine.
+
+    A vector is cut into chunks of ``WIDTH`` elements and a chunk's elements are columns of one
+    aggregation, whatever the width. The vectors of a group must have one width (``dim`` when it is
+    given); a NULL vector is left out.
+    """
     keys = list(keys)
-    if dim is not None and dim <= WIDE:
-        held = df.select(*keys, vec.alias("_v"))
-        sums = [F.sum(F.get(F.col("_v"), F.lit(i)).cast("double")).alias(f"_s{i}") for i in range(dim)]
-        return held.groupBy(*keys).agg(*sums).select(*keys, F.array(*[F.col(f"_s{i}") for i in range(dim)]).alias(out))
-    long = df.select(*keys, F.posexplode(vec).alias("_d", "_x"))
-    sums = long.groupBy(*keys, "_d").agg(F.sum(F.col("_x").cast("double")).alias("_x"))
-    packed = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_d", "_x"))).alias("_p"))
-    return packed.select(*keys, F.col("_p._x").alias(out))
+    held = df.select(*keys, vec.alias("_v")).withColumn("_n", F.size("_v")).filter("_v IS NOT NULL")
+    chunk = F.sequence(F.lit(0), F.greatest(F.floor((F.col("_n") - 1) / WIDTH), F.lit(0)).cast("int"))
+    chunks = held.select("*", F.explode(chunk).alias("_c"))
+    element = lambda i: F.get(F.col("_v"), F.col("_c") * WIDTH + i).cast("double")
+    sums = [F.sum(element(i)).alias(f"_s{i}") for i in range(WIDTH)]
+    parts = chunks.groupBy(*keys, "_c").agg(*sums, F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
+    row = F.struct("_c", F.array(*[F.col(f"_s{i}") for i in range(WIDTH)]).alias("_x"))
+    packed = parts.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_p"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+    sound = (F.col("_lo") == F.col("_hi")) & (F.lit(True) if dim is None else F.col("_hi") == dim)
+    wrong = F.raise_error(F.concat(F.lit(f"vectors of {dim or 'one'} elements expected, found "), F.col("_lo"), F.lit(" to "), F.col("_hi")))
+    whole = F.when(sound, F.slice(F.flatten("_p._x"), F.lit(1), F.col("_hi"))).otherwise(wrong.cast("array<double>"))
+    return packed.select(*keys, whole.alias(out))
 
 
 def pairs_within(coords: DataFrame, cutoff: float, carry: Sequence[str] = ()) -> DataFrame:

@@ -102,14 +102,33 @@ def test_pair_graph_matches_brute_force(spark, cut):
     assert sum(r["a"] == r["b"] for r in rows) == 80
 
 
-def test_copies_cost_one_row_each(spark):
-    same = [(i, t) for i in range(300) for t in (1, 2, 3)]
+def test_copies_are_complete_but_cost_one_row_each(spark):
+    same = [(i, t) for i in range(30) for t in (1, 2, 3)]
     near = [(1000, t) for t in (1, 2, 3, 4)]
     df = spark.createDataFrame(same + near, "entry_id INT, token INT")
-    rows = similarity.pair_graph(df, 0.5).collect()
-    # 301 diagonals, 299 copies and one near pair, mirrored
-    assert len(rows) == 301 + 2 * 299 + 2
-    assert {(r["a"], r["b"]) for r in rows if r["weight"] == 0.75} == {(0, 1000), (1000, 0)}
+    edges, members = similarity.representatives(df, 0.5)
+    assert [tuple(r) for r in edges.collect()] == [(0, 1000, 0.75)] and members.count() == 31
+    rows = {(r["a"], r["b"]): r["weight"] for r in similarity.pair_graph(df, 0.5).collect()}
+    want = {(a, b): 1.0 for a in range(30) for b in range(30)} | {(1000, 1000): 1.0}
+    assert rows == want | {x: 0.75 for a in range(30) for x in ((a, 1000), (1000, a))}
+    near = similarity.knn(edges, members, 3).collect()
+    listed = {a: [r["b"] for r in sorted(near, key=lambda r: r["rank"]) if r["a"] == a] for a in (*range(30), 1000)}
+    assert listed[0] == [1, 2, 3] and listed[2] == [0, 1, 3] and listed[20] == [0, 1, 2] and listed[1000] == [0, 1, 2]
+
+
+@pytest.mark.parametrize("width", [3, 64, 65, 1000])
+def test_vector_sum_of_any_width(spark, width):
+    from termweave.operators import graph
+
+    rows = [("a", [float(i * k) for i in range(width)]) for k in range(5)] + [(None, [1.0] * width), ("a", None)]
+    df = spark.createDataFrame(rows, "k STRING, v ARRAY<DOUBLE>")
+    got = {r["k"]: r["vec"] for r in graph.vector_sum(df, ["k"], F.col("v")).collect()}
+    assert got == {"a": [10.0 * i for i in range(width)], None: [1.0] * width}
+    with pytest.raises(Exception, match="elements expected"):
+        graph.vector_sum(df, ["k"], F.col("v"), dim=width - 1).collect()
+    mixed = df.union(spark.createDataFrame([("a", [1.0])], df.schema))
+    with pytest.raises(Exception, match="elements expected"):
+        graph.vector_sum(mixed, ["k"], F.col("v")).collect()
 
 
 def test_closure_is_idempotent_and_scores_are_monotone(spark):
