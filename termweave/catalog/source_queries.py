@@ -312,13 +312,17 @@ def _(t):
     return t.spark.read.schema("entry_id STRING, term STRING, score_text STRING").option("sep", "\t").csv(path)
 
 
-@query("sc18_write_metrics", "run_metrics", """
-SELECT CAST(run_id AS VARCHAR) AS aspect, max(value) FILTER (metric = 'click') AS click, max(value) FILTER (metric = 'view') AS view FROM run_metrics WHERE metric IN ('click', 'view') GROUP BY 1""")
+_METRICS = ("click", "error", "purchase", "signup", "view")
+
+
+@query("sc18_write_metrics", "run_metrics",
+       "SELECT CAST(run_id AS VARCHAR) AS aspect, " + ", ".join(f"max(value) FILTER (metric = '{m}') AS {m}" for m in _METRICS) + " FROM run_metrics GROUP BY 1")
 def _(t):
     path = scratch_path(t.spark, "metrics")
     best = t.run_metrics().groupBy(F.col("run_id").cast("string").alias("aspect"), "metric").agg(F.max("value").alias("value"))
-    sinks.write_metrics(best.filter(F.col("metric").isin("click", "view")), path, ["view", "click"])
-    return t.spark.read.schema("aspect STRING, click DOUBLE, view DOUBLE").option("header", True).option("sep", "\t").csv(path)
+    sinks.write_metrics(best, path, list(_METRICS))
+    schema = "aspect STRING, " + ", ".join(f"{m} DOUBLE" for m in _METRICS)
+    return t.spark.read.schema(schema).option("header", True).option("sep", "\t").csv(path)
 
 
 @query("sc19_write_subset", "entries train_ids doc_annotations", """

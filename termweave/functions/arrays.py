@@ -52,18 +52,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def norm(col: Column) -> Column:
-    """Euclidean length of an array."""
-    squares = F.transform(col, lambda x: x.cast("double") * x.cast("double"))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v))
-
-
-def unit(col: Column, eps: float = 1e-12) -> Column:
-    """Array scaled to length 1 (length floored at ``eps``)."""
-    length = F.greatest(norm(col), F.lit(eps))
-    return F.transform(col, lambda x: x.cast("double") / length)
-
-
 def bce(logit: Column, y: Column, pos_weight: Column | float = 1.0) -> Column:
     """AG20: binary cross entropy of a logit, stable form, optional positive weight."""
     weight = F.lit(pos_weight) if isinstance(pos_weight, (int, float)) else pos_weight
@@ -71,24 +59,37 @@ def bce(logit: Column, y: Column, pos_weight: Column | float = 1.0) -> Column:
     return (F.lit(1.0) - y) * logit + (F.lit(1.0) + (weight - 1.0) * y) * log_term
 
 
+def _softplus(x: Column) -> Column:
+    """``log(1 + exp(x))`` without overflow."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
 def focal(logit: Column, y: Column, gamma: float = 2.0, alpha: float = 0.25, eps: float = 1e-8) -> Column:
-    """AG21: focal loss; the probability of the true class is clamped by ``eps``."""
-    plain = bce(logit, y)
-    p_true = F.least(F.greatest(F.exp(-plain), F.lit(eps)), F.lit(1.0 - eps))
-    balance = F.lit(alpha) * y + F.lit(1.0 - alpha) * (F.lit(1.0) - y)
-    return balance * F.pow(F.lit(1.0) - p_true, F.lit(gamma)) * plain
+    """AG21: focal loss ``a_t (1 - p_t)^gamma (-log p_t)``.
+
+    For a label y the log odds of the true class are ``(2y - 1) logit``, so ``-log p_t`` is the softplus of
+    their negative; it mixes linearly for labels between 0 and 1. ``p_t`` is clamped by ``eps``.
+    """
+    surprise = y * _softplus(-logit) + (1 - y) * _softplus(logit)
+    missed = F.least(F.greatest(1 - F.exp(-surprise), F.lit(eps)), F.lit(1 - eps))
+    return ((1 - alpha) + (2 * alpha - 1) * y) * F.exp(gamma * F.ln(missed)) * surprise
 
 
 def asymmetric(
     logit: Column, y: Column, gp: float = 0.0, gn: float = 4.0, clip: float = 0.025, eps: float = 1e-8
 ) -> Column:
-    """AG22: asymmetric loss; only the logarithm of the negative part sees the shifted probability."""
-    p = F.least(F.greatest(sigmoid(logit), F.lit(eps)), F.lit(1.0 - eps))
-    shifted = F.least(p + clip, F.lit(1.0)) if clip > 0 else p
-    positive = y * F.ln(p)
-    negative = (F.lit(1.0) - y) * F.ln(F.greatest(F.lit(1.0) - shifted, F.lit(eps)))
-    if gp > 0:
-        positive = positive * F.pow(F.lit(1.0) - p, F.lit(gp))
-    if gn > 0:
-        negative = negative * F.pow(p, F.lit(gn))
-    return -(positive + negative)
+    """AG22: asymmetric loss ``-y (1 - p)^gp log p - (1 - y) p^gn log(1 - min(p + clip, 1))``.
+
+    Both powers are of clamped probabilities, written through logarithms; the shift by ``clip`` enters
+    only the logarithm of the negative term.
+    """
+    low, high = math.log(eps), math.log1p(-eps)
+
+    def bounded(log_p: Column) -> Column:
+        return F.least(F.greatest(log_p, F.lit(low)), F.lit(high))
+
+    log_yes, log_no = bounded(-_softplus(-logit)), bounded(-_softplus(logit))
+    rest = F.greatest(1 - F.exp(log_yes) - max(clip, 0.0), F.lit(eps))
+    hit = -y * F.exp(max(gp, 0.0) * log_no) * log_yes
+    miss = -(1 - y) * F.exp(max(gn, 0.0) * log_yes) * F.ln(rest)
+    return hit + miss

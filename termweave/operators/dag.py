@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import written
 from .ranking import top_terms
 
 
 def reach(edges: DataFrame) -> DataFrame:
     """All (term, ancestor) pairs of a DAG given ``child, parent`` rows.
 
-    Path doubling: each round joins the pair table with itself, so a DAG of depth d needs about
-    log2(d) rounds instead of d. Every round is written to the shared checkpoint folder, which
-    both cuts lineage and survives lost executors; only two row counts reach the driver.
+    Path doubling over a frontier: the pairs found last are joined with all pairs so far, so a DAG of
+    depth d needs about log2(d) rounds and a pair is extended once. Pairs that end at a root (the
+    hottest ancestors) are marked and never shuffled to meet a partner. Every round is written as
+    Parquet to the shared folder; only the number of its pairs reaches the driver.
     """
-    pairs = cut(edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct())
-    size = pairs.count()
-    while True:
-        onward = pairs.select(F.col("term").alias("ancestor"), F.col("ancestor").alias("_next"))
-        longer = pairs.join(onward, "ancestor").select("term", F.col("_next").alias("ancestor"))
-        grown = cut(pairs.union(longer).distinct())
-        grown_size = grown.count()
-        if grown_size == size:
-            return grown
-        pairs, size = grown, grown_size
+    links = edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct()
+    inner = links.select(F.col("term").alias("ancestor")).distinct().withColumn("_up", F.lit(True))
+    fresh = written(links.join(inner, "ancestor", "left").select("term", "ancestor", F.coalesce("_up", F.lit(False)).alias("_up")), "closure")
+    pairs = fresh
+    while fresh.count():
+        onward = pairs.select(F.col("term").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("_up").alias("_on"))
+        longer = fresh.filter("_up").drop("_up").join(onward, "ancestor").select(
+            "term", F.col("_next").alias("ancestor"), F.col("_on").alias("_up")
+        )
+        fresh = written(longer.distinct().join(pairs.select("term", "ancestor"), ["term", "ancestor"], "left_anti"), "closure")
+        pairs = pairs.unionByName(fresh)
+    return pairs.select("term", "ancestor")
 
 
 def ancestors(edges: DataFrame, terms: DataFrame, same_aspect: bool = True) -> DataFrame:
