@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..lineage import scratch_path
 from ..operators import dag, labels, similarity
 from ..plans import pipelines
-from ..streaming.incremental import incremental_finalize
+from ..streaming.incremental import incremental_finalize, read_finished
 from .metric_queries import MODES, _curve_sql
 from .quality_queries import _ALL, _DQ06, _records
 from .ranking_queries import _QUOTA
@@ -242,7 +242,7 @@ def _(t):
     base = scratch_path(t.spark, "stream")
     schema = "entry_id BIGINT, term BIGINT, score DOUBLE"
     rows = t.aspect_predictions().select("entry_id", "term", "score")
-    rows.repartition(3, "entry_id").write.parquet(f"{base}/in")
+    rows.repartition(3).write.parquet(f"{base}/in")  # an entry's rows come in several batches
     closure = dag.ancestors(t.ontology_edges(), t.ontology_terms())
     incremental_finalize(t.spark, f"{base}/in", f"{base}/out", f"{base}/state", closure, schema, k=10, max_files=1)
-    return t.spark.read.parquet(f"{base}/out").drop("batch_id")
+    return read_finished(t.spark, f"{base}/out")

@@ -151,19 +151,22 @@ def test_frequency_score_does_not_depend_on_partitioning(spark, partitions):
 
 
 def test_incremental_finalize_resumes(spark, tmp_path):
+    from termweave.streaming.incremental import read_finished
+
     schema = "entry_id BIGINT, term BIGINT, score DOUBLE"
     src, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
     closure = spark.createDataFrame([(2, 1)], "term BIGINT, ancestor BIGINT")
-    spark.createDataFrame([(1, 2, 0.5)], schema).coalesce(1).write.mode("append").parquet(src)
-    incremental_finalize(spark, src, out, state, closure, schema)
-    first = sorted(tuple(r) for r in spark.read.parquet(out).select("entry_id", "term", "score_text").collect())
-    assert first == [(1, 1, "0.5"), (1, 2, "0.5")]
-    # a later file repeats entry 1 (finished already) and brings entry 7
-    spark.createDataFrame([(1, 2, 0.9), (7, 2, 0.25)], schema).coalesce(1).write.mode("append").parquet(src)
-    incremental_finalize(spark, src, out, state, closure, schema)
-    incremental_finalize(spark, src, out, state, closure, schema)
-    both = sorted(tuple(r) for r in spark.read.parquet(out).select("entry_id", "term", "score_text").collect())
-    assert both == [(1, 1, "0.5"), (1, 2, "0.5"), (7, 1, "0.25"), (7, 2, "0.25")]
+
+    def arrives(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        incremental_finalize(spark, src, out, state, closure, schema)
+        incremental_finalize(spark, src, out, state, closure, schema)  # nothing new: nothing changes
+        return sorted(tuple(r) for r in read_finished(spark, out).select("entry_id", "term", "score_text").collect())
+
+    assert arrives([(1, 2, 0.5), (1, 3, float("nan"))]) == [(1, 1, "0.5"), (1, 2, "0.5")]
+    # late rows of entry 1 count together with the earlier ones; entry 7 is new
+    both = arrives([(1, 2, 0.25), (1, 1, 0.75), (7, 2, 0.25)])
+    assert both == [(1, 1, "0.75"), (1, 2, "0.5"), (7, 1, "0.25"), (7, 2, "0.25")]
 
 
 @pytest.mark.parametrize("kind", ["double", "bigint", "decimal(38,3)", "string"])
