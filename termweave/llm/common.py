@@ -98,7 +98,7 @@ def to_blocks(docs: DataFrame, columns: list[str], blocks: int, id_col: str, tex
     ``rows`` holds the rows of one block that one task has met, as a compressed Arrow stream; it takes
     about two thirds of the bytes that the rows themselves would take in a shuffle.
     """
-    narrow = docs.select(block_of(F.col(id_col), blocks, F.col(text_col)).alias("block"), *columns)
+    narrow = docs.select(block_of(F.col(id_col), blocks, F.col(text_col)).alias("__block"), *columns)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))

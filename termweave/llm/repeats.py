@@ -16,7 +16,7 @@ all documents share is one row a block. Strings are compared byte by byte; hashe
 
 Matches never cross documents. A null text is empty. Rows with equal ids never remove from each other;
 a row without id counts as later than all others. Repeated rows give repeated results; an empty table
-gives an empty result; other columns are kept.
+gives an empty result; other columns are kept, but for those with a result's name (see ``prefix``).
 """
 
 from __future__ import annotations
@@ -357,18 +357,20 @@ def mark_bytes(docs: pa.Table, answers: pa.Table, buckets: int) -> tuple[pa.Tabl
     return rows, offs, raw, np.cumsum(gone[:-1]) > 0
 
 
-_RESULT = "n_bytes long, n_removed long, n_spans long, kept binary"
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, prefix: str = ""
+) -> DataFrame:
     """All columns of each row, its ``n_bytes``, ``n_removed``, ``n_spans`` and the ``kept`` bytes.
 
     ``whole_characters``: a character goes only if all its bytes go, so that ``kept`` is text again.
+    ``prefix`` stands before the names of the four results; a column that has such a name is replaced.
     """
-    columns = [id_col, text_col, *(c for c in docs.columns if c not in (id_col, text_col))]
+    results = [prefix + c for c in ("n_bytes", "n_removed", "n_spans", "kept")]
+    columns = [id_col, text_col, *(c for c in docs.columns if c not in (id_col, text_col, *results))]
     n = block_count(docs, text_col, BLOCK_BYTES)
     blocks = to_blocks(docs, columns, n, id_col, text_col, level=9)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    kinds = ", ".join(f"`{c}` {k}" for c, k in zip(results, ("long", "long", "long", "binary"), strict=True))
 
     def first(docs_: pa.Table) -> pa.Table:
         return list_minimizers(docs_, n)
@@ -396,7 +398,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 pa.array(np.diff(spans)),
                 pa.array([left[a:b] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist(), strict=True)], pa.binary()),
             ],
-            [*rows.column_names, "n_bytes", "n_removed", "n_spans", "kept"],
+            [*rows.column_names, *results],
         )
 
     lists = blocks.groupBy("block").applyInArrow(first, "block int, bucket int, names binary, twice binary")
@@ -405,7 +407,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         second, "block int, bucket int, names binary, sizes binary, strings binary, least binary"
     )
     answers = sent.groupBy("bucket").applyInArrow(resolve_bucket, "block int, bucket int, names binary, least binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(third, f"{fields}, {_RESULT}")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(third, f"{fields}, {kinds}")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
