@@ -46,8 +46,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = remove_repeats(docs, whole_characters=True)
-    text = F.when(F.col("text").isNotNull(), F.decode("kept", "UTF-8"))
+    left = remove_repeats(docs, whole_characters=True, prefix="_repeat_")
+    text = F.when(F.col("text").isNotNull(), F.decode("_repeat_kept", "UTF-8"))
     return _retext(left.withColumn("text", text), docs.columns)
 
 
