@@ -39,8 +39,7 @@ def test_classifier_keeps_trusted(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     before = texts(stages[1])
-    want = {d for d, _, c in groups(sorted(before.items())) if d == c or d == -1}
-    assert {i or -1 for i in texts(stages[2])} == want | ({-1} if 0 in before else set())
+    assert set(texts(stages[2])) == {d for d, _, c in groups(sorted(before.items())) if d == c}
 
 
 def test_repeats_are_cut(stages):
@@ -49,7 +48,7 @@ def test_repeats_are_cut(stages):
     gone = {i: n for i, _, n, _, _ in cuts(sorted(before.items()))}
     for i, t in before.items():
         lost = len(t.encode()) - len(after[i].encode())
-        assert gone[i or -1] - 6 * 40 <= lost <= gone[i or -1]
+        assert gone[i] - 6 * 40 <= lost <= gone[i]
         assert (lost == 0) == (after[i] == t)
 
 

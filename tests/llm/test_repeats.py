@@ -26,12 +26,12 @@ def brute(rows):
             if least[raw[k : k + 50]] < (late if i is None else i):
                 gone[k : k + 50] = True
         spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if len(raw) else 0
-        out.append((i or -1, len(raw), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
+        out.append((-1 if i is None else i, len(raw), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
     return sorted(out)
 
 
 def result(df):
-    return sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in df.collect())
+    return sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in df.collect())
 
 
 @pytest.mark.parametrize("length", [2, 4, 50])
@@ -73,5 +73,5 @@ def test_whole_characters(docs):
 
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op7_suffix_array_dedup"](spark, SF).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op7_suffix_array_dedup"](spark, SF).collect())
     assert got == brute(rows)
