@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import global_rank
+
 
 def terms_per_entry(df: DataFrame, by_aspect: bool = False) -> DataFrame:
     """AG01: sorted distinct terms per entry with their multiplicities (``counts``, same order).
@@ -25,12 +27,9 @@ def term_frequency(df: DataFrame, by_aspect: bool = True) -> DataFrame:
 
 
 def vocabulary(df: DataFrame) -> DataFrame:
-    """AG03: distinct terms per aspect in sorted order with a zero-based index.
-
-    Only the distinct terms (bounded by the ontology) are ranked.
-    """
-    w = Window.partitionBy("aspect").orderBy("term")
-    return df.select("aspect", "term").distinct().withColumn("idx", (F.row_number().over(w) - 1).cast("bigint"))
+    """AG03: distinct terms per aspect in sorted order with a zero-based index, ranked in range partitions."""
+    ranked = global_rank(df.select("aspect", "term").distinct(), "term", value="term", keys=["aspect"], out="_r")
+    return ranked.select("aspect", "term", (F.col("_r") - 1).alias("idx"))
 
 
 def multi_hot(df: DataFrame, vocab: DataFrame, entries: DataFrame | None = None) -> DataFrame:

@@ -143,13 +143,24 @@ def deduplicate(df: DataFrame, order: Column, policy: str = "last", key: str = "
     return joined.filter(F.col("_win").isNull() | (F.col("_ord") == F.col("_win"))).select(*df.columns)
 
 
-def concat_first(dfs: Sequence[DataFrame], key: str = "entry_id") -> DataFrame:
-    """ST05: tables one after another; the first row of a key wins (ties inside a table by value)."""
+def concat_first(dfs: Sequence[DataFrame], key: str = "entry_id", order: Sequence[str] = ()) -> DataFrame:
+    """ST05: tables one after another; the first row of a key wins.
+
+    ``order`` names columns of every table that give its rows their place in the file (they are not in
+    the result); without it rows of one table are ordered by value. Only keys and places are shuffled
+    to find the winners.
+    """
+    order = list(order)
     tagged = [df.withColumn("_t", F.lit(i)) for i, df in enumerate(dfs)]
     rows = reduce(lambda a, b: a.unionByName(b), tagged)
-    others = [c for c in dfs[0].columns if c != key]
-    best = rows.groupBy(key).agg(F.min(F.struct("_t", *others)).alias("_row"))
-    return best.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
+    others = [c for c in dfs[0].columns if c != key and c not in order]
+    if not order:
+        best = rows.groupBy(key).agg(F.min(F.struct("_t", *others)).alias("_row"))
+        return best.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
+    place = F.struct("_t", *order)
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min(place).alias("_first"))
+    kept = rows.withColumn("_place", place).join(first, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_place") == F.col("_first")))
+    return kept.select(key, *others)
 
 
 def union_distinct(dfs: Sequence[DataFrame]) -> DataFrame:

@@ -10,18 +10,21 @@ from ..schemas import MANIFEST_RECORD
 
 
 def parse_manifests(df: DataFrame, json_col: str = "text", record: T.StructType = MANIFEST_RECORD) -> DataFrame:
-    """Manifest texts (``manifest``, JSON) -> manifest, record (position), and the record's fields.
+    """Manifest texts (``manifest``, JSON) -> manifest, record (position), the fields of ``record``, and
+    ``record_json`` with the whole record, so that fields the schema does not name are kept.
 
     A manifest is a JSON list, or an object with a ``records`` list; anything else is an error.
     """
-    wrapped = T.StructType([T.StructField("records", T.ArrayType(record))])
+    raw = T.ArrayType(T.StringType())
     text = F.trim(F.col(json_col))
-    as_list = F.from_json(text, T.ArrayType(record), {"mode": "FAILFAST"})
-    as_object = F.from_json(text, wrapped, {"mode": "FAILFAST"})["records"]
+    as_list = F.from_json(text, raw, {"mode": "FAILFAST"})
+    as_object = F.from_json(text, T.StructType([T.StructField("records", raw)]), {"mode": "FAILFAST"})["records"]
     bad = F.raise_error(F.concat(F.lit("not a manifest: "), F.col("manifest").cast("string")))
     records = F.when(F.startswith(text, F.lit("[")), as_list).when(F.startswith(text, F.lit("{")), as_object)
-    records = F.when(records.isNotNull(), records).otherwise(F.from_json(bad.cast("string"), T.ArrayType(record)))
-    return df.select("manifest", F.posexplode(records).alias("record", "r")).select("manifest", F.col("record").cast("bigint").alias("record"), "r.*")
+    records = F.when(records.isNotNull(), records).otherwise(F.from_json(bad.cast("string"), raw))
+    single = df.select("manifest", F.posexplode(records).alias("record", "record_json"))
+    parsed = single.withColumn("r", F.from_json("record_json", record, {"mode": "FAILFAST"}))
+    return parsed.select("manifest", F.col("record").cast("bigint").alias("record"), "r.*", "record_json")
 
 
 def read_manifest(spark: SparkSession, path: str, record: T.StructType = MANIFEST_RECORD) -> DataFrame:

@@ -95,15 +95,33 @@ def write_term_lists(annotations: DataFrame, path: str) -> None:
     term_lists(annotations).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def batch_plan_path(manifest: str, size: int, folder: str | None = None, split: str | None = None) -> str:
+    """SC22: where the batch plan of a manifest lies: beside it under its own name, or in ``folder`` under
+    the split's name; relative folders start at the manifest's."""
+    parent, _, name = manifest.rpartition("/")
+    if folder is None:
+        return f"{parent}/{name.rsplit('.', 1)[0]}_batches_bs{size}" if parent else f"{name.rsplit('.', 1)[0]}_batches_bs{size}"
+    root = folder if folder.startswith("/") or ":/" in folder or not parent else f"{parent}/{folder}"
+    return f"{root}/{split + '_' if split else ''}batches_bs{size}"
+
+
 def write_batches(batches: DataFrame, path: str) -> None:
     """SC22: batch plan as Parquet."""
     batches.select("batch_id", "pos", "entry_id").write.mode("overwrite").parquet(path)
 
 
-def read_batches(spark: SparkSession, path: str, build=None) -> DataFrame:
-    """SC22: an existing batch plan is reused; otherwise ``build()`` is written first."""
-    if not _exists(spark, path):
-        if build is None:
-            raise FileNotFoundError(path)
-        write_batches(build(), path)
+def read_batches(spark: SparkSession, path: str, build=None, size: int | None = None) -> DataFrame:
+    """SC22: a finished batch plan is reused; otherwise ``build()`` is written first.
+
+    A plan counts as finished when its writer has committed it, and with ``size`` when no batch is
+    larger. Without ``build`` an unusable plan is an error.
+    """
+    if _exists(spark, f"{path}/_SUCCESS"):
+        plan = spark.read.parquet(path)
+        widest = plan.agg(F.max("pos")).first()[0] if size is not None else None
+        if widest is None or widest < size:
+            return plan
+    if build is None:
+        raise FileNotFoundError(f"no usable batch plan in {path}")
+    write_batches(build(), path)
     return spark.read.parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.text import normalise_aspect
+from .arrays import ingest_arrays
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -66,6 +67,19 @@ def read_term_weights(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_p", parts).select(F.get("_p", F.lit(0)).alias("term"), weight.alias("ia"))
 
 
+def read_weight_vector(spark: SparkSession, path: str, vocab: DataFrame, key: str = "weights") -> DataFrame:
+    """SC07, vector form: ``.npy`` or ``.npz`` files (array ``key``) by vocabulary index -> term, ia.
+
+    ``vocab`` has ``term, idx``; a term beyond the vector, or a weight that is no number, has weight 0. An
+    archive without the key is an error.
+    """
+    found = ingest_arrays(spark, path, key)
+    wrong = F.raise_error(F.concat(F.lit("no weights in "), F.col("artefact"), F.lit(": "), F.col("error")))
+    values = F.when(F.col("error").isNull(), F.col("values")).otherwise(wrong.cast("array<double>"))
+    weights = found.select(F.posexplode(values).alias("idx", "ia"))
+    return vocab.join(weights, "idx", "left").select("term", F.coalesce(F.nanvl("ia", F.lit(0.0)), F.lit(0.0)).alias("ia"))
+
+
 def term_column(columns: list[str]) -> list[str]:
     """Columns that hold term lists: ``go_terms``, else names with ``go`` in them or ending in ``terms``."""
     if "go_terms" in columns:

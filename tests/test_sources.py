@@ -73,19 +73,21 @@ def test_ontology(spark, tmp_path, rows):
     assert rows(edges) == [("GO:0001", "GO:0003", "is_a"), ("GO:0002", "GO:0001", "part_of")]
 
 
-ATOMS = (
-    "ATOM      1  N   MET A   1      16.000   7.000 -17.000  1.00 57.91           N\n"
-    "ATOM      2  CA  MET A   1      17.330   7.577 -17.222  1.00 57.91           C\n"
-    "ATOM      3  C   MET A   1      18.000   8.000 -18.000  1.00 57.91           C\n"
-    "ATOM      4  CA  ALA A   2      19.000   9.000 -19.000  1.00 42.00           C\n"
+def _atom(serial, name, residue, number, x, y, z, b, record="ATOM"):
+    """One fixed-width atom row."""
+    return f"{record:<6}{serial:>5} {name:^4} {residue:>3} B{number:>4}    {x:>8.3f}{y:>8.3f}{z:>8.3f}{1.0:>6.2f}{b:>6.2f}\n"
+
+
+ATOMS = "".join(
+    [_atom(1, "CA", "GLY", 11, 0.125, -3.5, 40.0, 88.5), _atom(2, "CB", "GLY", 11, 1.0, -3.0, 41.0, 88.5), _atom(3, "CA", "TRP", 12, -7.25, 2.0, 36.5, 61.25)]
 )
 
 
 def test_atoms(spark, tmp_path, rows):
     found = rows(structures.read_atoms(spark, _write(tmp_path / "P1.pdb", ATOMS)))
-    assert found == [("P1", 0, 17.33, 7.577, -17.222, 57.91), ("P1", 1, 19.0, 9.0, -19.0, 42.0)]
+    assert found == [("P1", 0, 0.125, -3.5, 40.0, 88.5), ("P1", 1, -7.25, 2.0, 36.5, 61.25)]
     with pytest.raises(Exception, match="unreadable atom row"):
-        structures.read_atoms(spark, _write(tmp_path / "P2.pdb", "ATOM      2  CA  MET A   1      17.330\n")).collect()
+        structures.read_atoms(spark, _write(tmp_path / "P2.pdb", ATOMS.splitlines()[0][:40] + "\n")).collect()
     with pytest.raises(Exception, match="no CA atoms in model P3"):
         structures.read_atoms(spark, _write(tmp_path / "P3.pdb", "REMARK x\n")).collect()
 
@@ -157,3 +159,45 @@ def test_synthetic_is_independent_of_partitioning(spark, rows):
     assert one == many
     assert all(20 <= len(s) <= 60 and 1 <= len(t) <= 3 for _, s, t in one)
     assert one != rows(synthetic.synthetic_entries(spark, 50, seed=4))
+
+
+def test_weight_vector(spark, tmp_path, rows):
+    import numpy as np
+
+    vocab = spark.createDataFrame([("GO:1", 0), ("GO:2", 1), ("GO:3", 2), ("GO:4", 3)], "term STRING, idx INT")
+    np.savez(tmp_path / "w.npz", weights=np.array([0.5, np.nan, 2.0]), other=np.zeros(1))
+    assert rows(tables.read_weight_vector(spark, str(tmp_path), vocab)) == [("GO:1", 0.5), ("GO:2", 0.0), ("GO:3", 2.0), ("GO:4", 0.0)]
+    with pytest.raises(Exception, match="no weights in w"):
+        tables.read_weight_vector(spark, str(tmp_path), vocab, "absent").collect()
+
+
+def test_manifest_keeps_unknown_fields(spark):
+    df = spark.createDataFrame([("m", '[{"entry_id": "a", "prior": {"index": 3}}]')], "manifest STRING, text STRING")
+    row = manifests.parse_manifests(df).collect()[0]
+    assert row["entry_id"] == "a" and json.loads(row["record_json"])["prior"]["index"] == 3
+
+
+def test_batch_plan_path_and_reuse(spark, tmp_path):
+    assert sinks.batch_plan_path("/d/train.json", 32) == "/d/train_batches_bs32"
+    assert sinks.batch_plan_path("/d/train.json", 32, "plans", "val") == "/d/plans/val_batches_bs32"
+    assert sinks.batch_plan_path("/d/train.json", 32, "/plans") == "/plans/batches_bs32"
+    path, made = str(tmp_path / "plan"), []
+
+    def build(size):
+        made.append(size)
+        return spark.range(6).selectExpr(f"id div {size} AS batch_id", f"id % {size} AS pos", "string(id) AS entry_id")
+
+    for size, want in ((3, [3]), (3, [3]), (2, [3, 2])):
+        assert sinks.read_batches(spark, path, lambda n=size: build(n), size).count() == 6
+        assert made == want
+    (tmp_path / "plan" / "_SUCCESS").unlink()
+    with pytest.raises(FileNotFoundError):
+        sinks.read_batches(spark, path)
+
+
+def test_concat_first_by_place(spark, rows):
+    from termweave.operators import relational
+
+    a = spark.createDataFrame([("x", "late", 2), ("x", "early", 1), ("y", "a", 3)], "entry_id STRING, v STRING, line INT")
+    b = spark.createDataFrame([("x", "other", 0), ("z", "b", 1)], "entry_id STRING, v STRING, line INT")
+    assert rows(relational.concat_first([a, b], order=["line"])) == [("x", "early"), ("y", "a"), ("z", "b")]
