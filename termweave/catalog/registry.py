@@ -113,11 +113,15 @@ class Inputs:
         return held.select("entry_id", (F.row_number().over(w) - 1).cast("bigint").alias("pos"), "vec_id", "vec")
 
     def coords(self) -> DataFrame:
-        at = lambda i: F.element_at("vec", i).cast("double")
-        return self.residues().select(
-            "entry_id", "pos", (100 * at(1)).alias("x"), (100 * at(2)).alias("y"), (100 * at(3)).alias("z"),
-            F.least(F.lit(100.0), 400 * F.abs(at(4))).alias("conf"),
-        )
+        """Positions and confidence from sums over the four quarters of the whole vector."""
+
+        def quarter(i: int):
+            part = F.slice("vec", 16 * i + 1, 16)
+            return F.aggregate(part, F.lit(0.0), lambda total, x: total + x.cast("double"))
+
+        axis = lambda i, name: F.round(25 * quarter(i), 6).alias(name)
+        conf = F.round(F.least(F.lit(100.0), 100 * F.abs(quarter(3))), 6).alias("conf")
+        return self.residues().select("entry_id", "pos", axis(0, "x"), axis(1, "y"), axis(2, "z"), conf)
 
     def contacts(self) -> DataFrame:
         """Contact probabilities of 64-residue entries, one entry per supplier."""
@@ -174,7 +178,8 @@ VIEWS = {
     "ia": "SELECT p_partkey AS term, p_retailprice / 1000.0 AS ia FROM part",
     "vectors": "SELECT CAST(floor(vec_id / 32.0) AS BIGINT) AS batch_id, vec_id AS entry_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings",
     "residues": "SELECT label + 10 * CAST(floor(vec_id / 500.0) AS BIGINT) AS entry_id, CAST(row_number() OVER (PARTITION BY label + 10 * CAST(floor(vec_id / 500.0) AS BIGINT) ORDER BY vec_id) - 1 AS BIGINT) AS pos, vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings",
-    "coords": "SELECT entry_id, pos, 100 * vec[1] AS x, 100 * vec[2] AS y, 100 * vec[3] AS z, least(100.0, 400 * abs(vec[4])) AS conf FROM residues",
+    "coords": """SELECT entry_id, pos, round(25 * list_sum(v[1:16]), 6) AS x, round(25 * list_sum(v[17:32]), 6) AS y, round(25 * list_sum(v[33:48]), 6) AS z,
+        round(least(100.0, 100 * abs(list_sum(v[49:64]))), 6) AS conf FROM (SELECT entry_id, pos, CAST(vec AS DOUBLE[]) AS v FROM residues)""",
     "contacts": "SELECT l_suppkey AS entry_id, l_partkey % 64 AS i, l_orderkey % 64 AS j, least(1.0, max(l_extendedprice) / 100000.0) AS p FROM lineitem GROUP BY l_suppkey, l_partkey % 64, l_orderkey % 64",
     "contact_lengths": "SELECT s_suppkey AS entry_id, CAST(64 AS BIGINT) AS length FROM supplier",
     "fragments": "SELECT l_orderkey AS entry_id, concat(CAST(l_orderkey AS VARCHAR), '-', CAST(l_suppkey % 3 AS VARCHAR)) AS accession, l_linenumber AS frag_no, 10 * l_linenumber AS start_pos, 10 * l_linenumber + CAST(l_quantity AS INT) % 12 AS end_pos, CAST(l_quantity AS INT) % 12 + 1 AS length FROM lineitem",

@@ -30,10 +30,16 @@ def _(t):
 
 @query("pf13_entropy_confidence", "", """
 SELECT vec_id, round(1 + list_sum(list_transform(q, lambda p: greatest(p, 1e-9) * ln(greatest(p, 1e-9)))) / ln(20), 9) AS confidence FROM
-(SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS q FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[])[1:20], lambda x: abs(x)) AS a FROM embeddings))""")
+(SELECT vec_id, list_transform(a, lambda x: x / list_sum(a)) AS q FROM
+(SELECT vec_id, list_transform(range(20), lambda j: list_sum(list_transform(range(j, len(v), 20), lambda i: abs(v[i + 1])))) AS a FROM
+(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)))""")
 def _(t):
-    first = F.transform(F.slice("embedding", 1, 20), lambda x: F.abs(x.cast("double")))
-    rows = t.table("embeddings").select("vec_id", first.alias("a"))
+    # all components, dealt into twenty bins
+    def bin_sum(j):
+        own = F.filter("embedding", lambda x, i: i % 20 == j)
+        return F.aggregate(own, F.lit(0.0), lambda total, x: total + F.abs(x.cast("double")))
+
+    rows = t.table("embeddings").select("vec_id", F.array(*[bin_sum(j) for j in range(20)]).alias("a"))
     rows = rows.withColumn("s", F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x))
     return rows.select("vec_id", F.round(ax.entropy_confidence(F.transform("a", lambda x: x / F.col("s"))), 9).alias("confidence"))
 
