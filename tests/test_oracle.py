@@ -13,7 +13,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query_matches_sql(spark, con, name):
     ok, text = compare(spark, con, SF_DIR, name)
     assert ok, text
