@@ -12,7 +12,7 @@ from .near_vectors import op4_embedding_near_dedup
 from .packing import op9_packing
 from .perplexity import op2_quality_classifier
 from .personal import op10_personal_data
-from .quality_rules import op3_quality_rules
+from .quality_rules import BOILERPLATE, NAVIGATION, op3_quality_rules
 from .repeats import op7_suffix_array_dedup
 from .secrets import op1_secret_scan
 from .token_files import op5_token_files
@@ -30,4 +30,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_personal_data": op10_personal_data,
 }
 
-SQL: dict[str, str] = {}
+_QUOTED = {"boilerplate": BOILERPLATE.replace("'", "''"), "navigation": NAVIGATION.replace("'", "''")}
+
+#: SQL for the queries that SQL can express; the others are tested against brute force in tests/llm.
+SQL: dict[str, str] = {
+    "op3_quality_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 8], ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 7)) AS i FROM w WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY 1),
+l AS (SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+m AS (SELECT doc_id, x, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS chars, length(regexp_replace(x, '[^#*$%&|<>{{}}\\^~=_@!]+', '', 'g')) AS symbols,
+  length(regexp_replace(x, '[^\p{{Lu}}]+', '', 'g')) AS capitals, length(regexp_replace(x, '[^\p{{L}}]+', '', 'g')) AS letters FROM l),
+g AS (SELECT doc_id, sum(chars) AS n FROM m WHERE symbols < 0.1 * chars AND letters * 2 >= chars AND NOT (letters >= 12 AND capitals >= 0.6 * letters)
+  AND NOT regexp_matches(x, '(?i)^\W*(?:{_QUOTED["navigation"]})\W*$') AND NOT regexp_matches(x, '\s[|>»·•]\s.*\s[|>»·•](?:\s|$)')
+  AND NOT regexp_matches(x, '(?i)\b(?:{_QUOTED["boilerplate"]})') GROUP BY 1),
+s AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM l GROUP BY 1),
+o AS (SELECT d.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(s.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, CAST(coalesce(g.n, 0) AS BIGINT) AS kept_chars
+  FROM d JOIN w ON w.doc_id = d.doc_id LEFT JOIN rep ON rep.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id)
+SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed, NOT (n_words < 20 OR n_repeat_words * 100 > n_words * 30) AND kept_chars >= 0.5 * word_chars AS kept FROM o""",
+    "op4_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+o AS (SELECT v.vec_id, coalesce(n, 0) AS n_links, least(v.vec_id, coalesce(c, v.vec_id)) AS component_id FROM v
+  LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY 1) x ON x.a = v.vec_id LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) y ON y.a = v.vec_id)
+SELECT *, vec_id = component_id AS kept FROM o""",
+    "op7_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 49)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS m FROM w) WHERE m < doc_id),
+n AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM hit),
+sp AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n) GROUP BY 1, 2),
+st AS (SELECT doc_id, count(*) AS spans, CAST(sum(b - a) AS BIGINT) AS removed, max(b) AS last FROM sp GROUP BY 1),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS s, a AS e FROM sp
+  UNION ALL SELECT d.doc_id, coalesce(last, 0), length(h) // 2 FROM d LEFT JOIN st ON st.doc_id = d.doc_id),
+k AS (SELECT d.doc_id, string_agg(substr(h, 2 * s + 1, 2 * (e - s)), '' ORDER BY s) AS kept FROM gap JOIN d ON d.doc_id = gap.doc_id GROUP BY 1)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k ON k.doc_id = d.doc_id LEFT JOIN st ON st.doc_id = d.doc_id""",
+    "op8_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, c = x.k AND c = y.k AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.k + y.k - c) - 1e-9),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+o AS (SELECT w.doc_id, least(w.doc_id, coalesce(m, w.doc_id)) AS class_id, coalesce(t, 0) AS n_links, least(w.doc_id, coalesce(c, w.doc_id)) AS component_id FROM w
+  LEFT JOIN (SELECT a, count(*) AS t, min(b) FILTER (same) AS m FROM l GROUP BY 1) x ON x.a = w.doc_id LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY 1) y ON y.a = w.doc_id)
+SELECT *, doc_id = component_id AS kept FROM o""",
+}
