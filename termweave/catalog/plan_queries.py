@@ -7,9 +7,11 @@ from ..operators import dag, labels, similarity
 from ..plans import pipelines
 from ..streaming.incremental import incremental_finalize, read_finished
 from .metric_queries import MODES, _curve_sql
-from .quality_queries import _ALL, _DQ06, _records
+from .quality_queries import (
+    _ALL, _DQ06, _LANGUAGES, _edge_rows, _meta, _pair_prior_inputs, _records, _score_term_inputs, _term_prior_inputs,
+)
 from .ranking_queries import _QUOTA
-from .registry import Inputs, query
+from .registry import SQL, Inputs, query
 from .text_queries import _CENTRE
 
 _FINAL = "SELECT entry_id, term, score, format('{:.3g}', least(score, 1.0)) AS score_text FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY score DESC, term) AS r FROM spread WHERE score >= 0.01) WHERE r <= 10"
@@ -211,13 +213,27 @@ def _(t):
     return _structures(t).nodes.withColumn("conf", F.round("conf", 7))
 
 
+_OTHER_CHECKS = ("dq04_check_term_prior", "dq05_check_pair_prior", "dq08_check_edges", "dq09_check_score_terms", "dq10_check_partitions", "dq11_check_meta")
+
+
 @query("pl08_check_manifests", "", f"""
 SELECT * FROM iss UNION ALL SELECT * FROM ({_DQ06}) UNION ALL
-SELECT manifest, '', 'width_not_configured', '16..16' FROM (SELECT DISTINCT manifest FROM rec WHERE fault <> 'missing')""", **_ALL)
+SELECT manifest, '', 'width_not_configured', '16..16' FROM (SELECT DISTINCT manifest FROM rec WHERE fault <> 'missing')"""
+       + "".join(f" UNION ALL SELECT manifest, record, code, detail FROM ({SQL[name]})" for name in _OTHER_CHECKS), **_ALL)
 def _(t):
     records = _records(t)
     known = records.select("manifest").unionByName(t.table("nation").select(F.col("n_name").alias("manifest")))
-    return pipelines.check_manifests(records, known, configured_width=64)
+    return pipelines.check_manifests(
+        records,
+        known,
+        configured_width=64,
+        term_prior=_term_prior_inputs(t),
+        pair_prior=_pair_prior_inputs(t),
+        edges=_edge_rows(t),
+        score_terms=_score_term_inputs(t),
+        partitions=(t.table("documents").select(F.col("lang").alias("manifest")), _LANGUAGES),
+        meta=(_meta(t), "MF"),
+    )
 
 
 @query("pl09_run_report", "trials", """

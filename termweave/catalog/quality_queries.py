@@ -76,12 +76,16 @@ UNION ALL SELECT manifest, '', 'term_prior_size', concat(CAST(n AS VARCHAR), ' v
 """, vz="SELECT p_brand AS manifest, count(*) AS n FROM part GROUP BY 1", lz="SELECT p_brand AS manifest, count(DISTINCT p_partkey) - CASE WHEN max(p_size) >= 50 THEN 1 ELSE 0 END AS label_size FROM part GROUP BY 1",
     pr="SELECT p_brand AS manifest, count(*) FILTER (greatest(p_partkey % 83, p_partkey % 79) >= n) AS o, count(*) FILTER (p_size = 7) AS b, any_value(n) AS n, any_value(label_size) AS label_size FROM part JOIN vz ON vz.manifest = p_brand JOIN lz ON lz.manifest = p_brand GROUP BY p_brand")
 def _(t):
+    return quality.check_term_prior(*_term_prior_inputs(t))
+
+
+def _term_prior_inputs(t: Inputs):
     part = t.table("part")
     vocab = part.select(F.col("p_brand").alias("manifest"), F.col("p_partkey").alias("idx"))
     sizes = part.groupBy(F.col("p_brand").alias("manifest")).agg(
         (F.count_distinct("p_partkey") - F.when(F.max("p_size") >= 50, 1).otherwise(0)).alias("label_size")
     )
-    return quality.check_term_prior(_term_prior(t), vocab, sizes)
+    return _term_prior(t), vocab, sizes
 
 
 @query("dq05_check_pair_prior", "", """
@@ -91,13 +95,17 @@ UNION ALL SELECT c_mktsegment, CAST(c_custkey AS VARCHAR), 'pair_index_out_of_bo
 """, sz="SELECT c_mktsegment AS manifest, count(*) AS n FROM customer GROUP BY 1",
     pr="SELECT c_mktsegment AS manifest, count(*) FILTER (greatest(o_orderkey % 307, o_custkey % 311) >= n) AS o, count(*) FILTER (o_totalprice < 2000) AS b FROM orders JOIN customer ON c_custkey = o_custkey JOIN sz ON sz.manifest = c_mktsegment GROUP BY 1")
 def _(t):
+    return quality.check_pair_prior(*_pair_prior_inputs(t))
+
+
+def _pair_prior_inputs(t: Inputs):
     customers = t.table("customer")
     weight = F.when(F.col("o_totalprice") < 2000, F.lit(float("inf"))).otherwise(F.lit(1.0))
     pairs = t.table("orders").join(customers, F.col("c_custkey") == F.col("o_custkey")).select(
         F.col("c_mktsegment").alias("manifest"), (F.col("o_orderkey") % 307).alias("i"), (F.col("o_custkey") % 311).alias("j"), weight.alias("weight")
     )
     members = customers.select(F.col("c_mktsegment").alias("manifest"), F.col("c_custkey").alias("record"), F.col("c_custkey").alias("prior_index"))
-    return quality.check_pair_prior(pairs, members)
+    return pairs, members
 
 
 @query("dq06_check_label_sizes", "", _DQ06, rec=_REC)
@@ -124,29 +132,39 @@ SELECT manifest, record, 'edge_index_shape' AS code, '' AS detail FROM e WHERE k
 UNION ALL SELECT manifest, record, 'edge_weight_count', '1' FROM e WHERE k = 2 UNION ALL SELECT manifest, record, 'edge_weight_nonfinite', '' FROM e WHERE k = 3
 """, e="SELECT o_orderstatus AS manifest, CAST(o_orderkey AS VARCHAR) AS record, CASE WHEN o_custkey % 17 = 0 THEN 1 WHEN o_custkey % 19 = 0 THEN 2 WHEN o_custkey % 23 = 0 THEN 3 ELSE 0 END AS k FROM orders")
 def _(t):
+    return quality.check_edges(_edge_rows(t))
+
+
+def _edge_rows(t: Inputs):
     c = F.col("o_custkey")
     k = F.when(c % 17 == 0, 1).when(c % 19 == 0, 2).when(c % 23 == 0, 3).otherwise(0)
     two = F.array(c, F.col("o_orderkey"))
-    rows = t.table("orders").select(
+    return t.table("orders").select(
         F.col("o_orderstatus").alias("manifest"), F.col("o_orderkey").alias("record"),
         F.when(k == 1, F.array(two)).otherwise(F.array(two, two)).alias("edge_index"),
         F.when(k == 2, F.array(F.lit(0.5))).when(k == 3, F.array(F.lit(0.5), F.lit(float("nan")))).otherwise(F.array(F.lit(0.5), F.lit(1.0))).alias("edge_weight"),
     )
-    return quality.check_edges(rows)
 
 
 @query("dq09_check_score_terms", "", """
 SELECT '' AS manifest, CAST(p_partkey AS VARCHAR) AS record, 'term_not_scored' AS code, '' AS detail FROM part WHERE p_partkey NOT IN (SELECT l_partkey + l_suppkey FROM lineitem)
 UNION ALL SELECT DISTINCT '', CAST(l_partkey + l_suppkey AS VARCHAR), 'term_unknown', '' FROM lineitem WHERE l_partkey + l_suppkey NOT IN (SELECT p_partkey FROM part)""")
 def _(t):
+    return quality.check_score_terms(*_score_term_inputs(t))
+
+
+def _score_term_inputs(t: Inputs):
     scores = t.table("lineitem").select((F.col("l_partkey") + F.col("l_suppkey")).alias("term"))
-    return quality.check_score_terms(t.table("part").select(F.col("p_partkey").alias("term")), scores)
+    return t.table("part").select(F.col("p_partkey").alias("term")), scores
+
+
+_LANGUAGES = ["en", "fr", "de", "es", "it", "pt"]
 
 
 @query("dq10_check_partitions", "", """
 SELECT m AS manifest, '' AS record, 'partition_missing' AS code, '' AS detail FROM (SELECT unnest(['en', 'fr', 'de', 'es', 'it', 'pt']) AS m) WHERE m NOT IN (SELECT lang FROM documents)""")
 def _(t):
-    return quality.check_partitions(t.table("documents").select(F.col("lang").alias("manifest")), ["en", "fr", "de", "es", "it", "pt"])
+    return quality.check_partitions(t.table("documents").select(F.col("lang").alias("manifest")), _LANGUAGES)
 
 
 def _issues(t: Inputs):
@@ -169,11 +187,14 @@ def _(t):
 SELECT n_name AS manifest, '' AS record, 'aspect_mismatch' AS code, CASE WHEN n_regionkey = 0 THEN 'MF' ELSE 'BP' END AS detail FROM nation WHERE n_regionkey <> 0
 UNION ALL SELECT n_name, '', 'num_functions_missing', '' FROM nation WHERE n_nationkey % 4 = 0""")
 def _(t):
-    meta = t.table("nation").select(
+    return quality.check_meta(_meta(t), "MF")
+
+
+def _meta(t: Inputs):
+    return t.table("nation").select(
         F.col("n_name").alias("manifest"), F.when(F.col("n_regionkey") == 0, "MF").otherwise("BP").alias("aspect"),
         F.when(F.col("n_nationkey") % 4 != 0, F.lit(528)).alias("num_functions"),
     )
-    return quality.check_meta(meta, "MF")
 
 
 @query("pf07_length_issues", "entries", """

@@ -238,9 +238,22 @@ def structure_graphs(
 
 
 def check_manifests(
-    records: DataFrame, manifests: DataFrame | None = None, configured_width: int | None = None, extra: Sequence[DataFrame] = ()
+    records: DataFrame,
+    manifests: DataFrame | None = None,
+    configured_width: int | None = None,
+    term_prior: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+    pair_prior: tuple[DataFrame, DataFrame] | None = None,
+    edges: DataFrame | None = None,
+    score_terms: tuple[DataFrame, DataFrame] | None = None,
+    partitions: tuple[DataFrame, Sequence[str]] | None = None,
+    meta: tuple[DataFrame, str] | None = None,
 ) -> DataFrame:
-    """PL08: issue rows of all record checks, with those of the prior checks passed as ``extra``."""
+    """PL08: issue rows of all checks over manifests in one table.
+
+    Records are always checked (DQ01-DQ03, DQ06, DQ07). Given the inputs of the check of that name, so
+    are term priors (DQ04), pair priors (DQ05), edge lists (DQ08), the vocabulary against scored terms
+    (DQ09), expected partitions (DQ10) and manifest metadata (DQ11).
+    """
     known = records.select("manifest") if manifests is None else manifests
     parts = [
         quality.check_embeddings(records),
@@ -249,7 +262,17 @@ def check_manifests(
         quality.check_label_sizes(records, known),
         quality.check_width(records.filter(F.col("embedding").isNotNull()), configured_width),
     ]
-    return quality.union_issues([*parts, *extra])
+    for inputs, check in (
+        (term_prior, quality.check_term_prior),
+        (pair_prior, quality.check_pair_prior),
+        ((edges,) if edges is not None else None, quality.check_edges),
+        (score_terms, quality.check_score_terms),
+        (partitions, quality.check_partitions),
+        (meta, quality.check_meta),
+    ):
+        if inputs is not None:
+            parts.append(check(*inputs))
+    return quality.union_issues(parts)
 
 
 def run_report(
