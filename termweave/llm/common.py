@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..lineage import scratch_path
 
 #: Most text that one numpy step handles at once inside a task.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs - offs[0], raw[offs[0] : offs[-1]]
 
 
+def give_back() -> None:
+    """Return Arrow's free memory: a worker lives on, and other operators need the room."""
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in pieces of about ``most`` bytes of text; a longer text is alone."""
     if not batch.num_rows:
@@ -59,6 +64,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
         stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(start, stop - start)
         start, before = stop, int(ends[stop - 1])
+    give_back()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -124,6 +130,7 @@ def to_blocks(docs: DataFrame, columns: list[str], blocks: int, id_col: str, tex
 
 def from_blocks(packed: pa.ChunkedArray) -> pa.Table:
     """The rows of a block, by id and then text, so that their order is the same in every pass."""
+    give_back()
     tables = [pa.ipc.open_stream(x.as_buffer()).read_all() for chunk in packed.chunks for x in chunk]
     rows = pa.concat_tables(tables).combine_chunks()
     names = rows.column_names[:2]

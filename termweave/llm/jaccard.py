@@ -37,7 +37,7 @@ WORDS, TOKENS, DEPTH = 5, 64, 3
 SMALL = 64
 #: Classes and shingles of a chunk of a component.
 CHUNK, CHUNK_SHINGLES = 1024, 4 << 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

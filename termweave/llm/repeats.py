@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import block_count, buffers, from_blocks, ragged, table, to_blocks
 
 LENGTH, SEED = 50, 26
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _LAST = np.iinfo(np.int64).max
 
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from .common import ragged
 
 #: Words a worker remembers; beyond it starts anew.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 400_000
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 #: Marks a piece that no blank precedes; texts that hold it are encoded as one.
 _GLUE = "\x01"
