@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -86,6 +86,11 @@ class Piece:
         return [(i, n, r) for i, n, r in zip(own, self.links.tolist(), self.ids[self.root].tolist(), strict=True)]
 
 
+def own_piece() -> Column:
+    """The piece of its cell that owns a row; repeated rows are dealt like others."""
+    return F.pmod(F.xxhash64("id", "row", F.lit(3)), F.col("pieces"))
+
+
 def range_join(
     vectors: DataFrame, cosine: float, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label"
 ) -> DataFrame:
@@ -97,22 +102,23 @@ def range_join(
     huge = F.lit(float("inf"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < huge)) & F.exists("v", lambda x: x != 0)
     sound = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & sound
-    slim = slim.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    good = slim.filter("sound").select("id", F.concat_ws("|", F.size("v").cast("string"), "label").alias("label"), "v")
+    slim = slim.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("row", F.monotonically_increasing_id())
+    good = slim.filter("sound").select("id", "row", F.concat_ws("|", F.size("v").cast("string"), "label").alias("label"), "v")
     sizes = save(good.groupBy("label").agg(F.count("*").alias("n")), "vector-labels")
     sizes = sizes.withColumn("cells", F.least(F.ceil(F.col("n") / CELL), F.lit(PIVOTS)).cast("int"))
-    salted = good.join(sizes, "label").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 4096)).cast("int"))
-    # Pivots: of a thin deterministic sample of each label, the first by hash.
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / (F.col("cells") * 8)).cast("long"))
-    thin = salted.filter(F.pmod(F.xxhash64("id", F.lit(7)), step) == 0)
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(11)), "id")
-    pivots = thin.withColumn("rank", F.row_number().over(order)).filter("rank <= cells")
+    salted = good.join(sizes, "label").withColumn("salt", F.pmod(F.xxhash64("id", "row"), F.ceil(F.col("n") / 4096)).cast("int"))
+    # Pivots: the first distinct vectors of each label by hash, over all its rows; at least one.
+    hashed = good.withColumn("h", F.xxhash64("v", F.lit(11)))
+    order = Window.partitionBy("label").orderBy("h")
+    firsts = hashed.select("label", "h").distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PIVOTS)
+    pivots = hashed.join(firsts.join(sizes, "label").filter("rank <= cells"), ["label", "h"])
+    pivots = save(pivots.groupBy("label", "rank").agg(F.first("v").alias("v"), F.first("n").alias("n")), "vector-pivots")
     spots = F.sequence(F.lit(0), (F.ceil(F.col("n") / 4096) - 1).cast("int"))
     pivots = pivots.select("label", F.explode(spots).alias("salt"), "rank", "v").toDF("label", "salt", "rank", "v")
 
     def deal(rows: pa.Table, near: pa.Table) -> pa.Table:
         schema = pa.schema(
-            [("label", pa.string()), ("cell", pa.int32()), ("home", pa.bool_()), ("id", pa.int64()), ("v", pa.binary())]
+            [("label", pa.string()), ("cell", pa.int32()), ("home", pa.bool_()), ("id", pa.int64()), ("row", pa.int64()), ("v", pa.binary())]
         )
         if not rows.num_rows:
             return schema.empty_table()
@@ -129,20 +135,21 @@ def range_join(
                 pa.array(cell.astype(np.int32)),
                 pa.array(np.arange(len(row)) < len(raw)),
                 rows.column("id").combine_chunks().take(pa.array(row)),
+                rows.column("row").combine_chunks().take(pa.array(row)),
                 packed.take(pa.array(row)),
             ],
             schema,
         )
 
     keys = ["label", "salt"]
-    dealt = salted.select(*keys, "id", "v").groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInArrow(
-        deal, "label string, cell int, home boolean, id long, v binary"
+    dealt = salted.select(*keys, "id", "row", "v").groupBy(*keys).cogroup(pivots.groupBy(*keys)).applyInArrow(
+        deal, "label string, cell int, home boolean, id long, row long, v binary"
     )
     dealt = save(dealt, "vector-cells")
     owned = dealt.filter("home").groupBy("label", "cell").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
     every = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    own = F.col("home") & (F.col("piece") == F.pmod(F.xxhash64("id", F.lit(3)), F.col("pieces")))
-    passing = dealt.join(owned, ["label", "cell"]).select("label", "cell", "home", "id", "v", "pieces", every.alias("piece"))
+    own = F.col("home") & (F.col("piece") == own_piece())
+    passing = dealt.join(owned, ["label", "cell"]).select("label", "cell", "home", "id", "row", "v", "pieces", every.alias("piece"))
     passing = passing.select("label", "cell", "piece", F.coalesce(own, F.lit(False)).alias("own"), "id", "v")
     width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     passing = passing.repartition(width, "label", "cell", "piece").sortWithinPartitions("label", "cell", "piece", F.desc("own"))

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from termweave.llm import near_vectors as N
 from termweave.llm.queries import QUERIES
@@ -76,3 +77,15 @@ def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     got = {r.vec_id: (r.n_links, r.component_id) for r in QUERIES["op4_embedding_near_dedup"](spark, SF).collect()}
     assert got == brute(rows, 0.98)
+
+
+def test_labels_of_repeated_rows(spark):
+    rows = [(k, [1.0, float(k)], k) for k in range(12) for _ in range(200)]
+    got = {tuple(r) for r in N.range_join(frame(spark, rows), 0.98).collect()}
+    assert got == {(k, 199, k) for k in range(12)}
+
+
+def test_repeated_rows_are_dealt_to_all_pieces(spark):
+    rows = spark.range(1000).select(F.lit(1).cast("long").alias("id"), F.col("id").alias("row"), F.lit(8).alias("pieces"))
+    sizes = [r["count"] for r in rows.groupBy(N.own_piece()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 250
