@@ -236,21 +236,36 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows and columns with every span of the text replaced by its kind in brackets."""
+    """The same rows and columns with every span of the text replaced by its kind in brackets.
+
+    Overlapping spans are masked as one, with the kind of the longest.
+    """
     weights = train(save(candidates(docs, text_col), "personal"))
     columns = docs.columns
     df = candidates(docs, text_col, columns)
     spans = chosen(F.col("candidates"), weights)
     by_start = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     text = F.col(text_col)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("made"))
+    fields = ("made", "at", "start", "end", "kind", "longest")  # the text up to ``at``, and the span that is still open
+    state_of = lambda *x: F.struct(*(c.alias(n) for c, n in zip(x, fields, strict=True)))
+    first = state_of(*(F.lit(x) for x in ("", 0, 0, 0, "", 0)))
+
+    def closed(state):
+        gap = F.substring(text, state["at"] + 1, state["start"] - state["at"])
+        mask = F.concat(state["made"], gap, F.lit("["), F.upper(state["kind"]), F.lit("]"))
+        return F.when(state["kind"] == "", state["made"]).otherwise(mask)
 
     def step(state, s):
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        made = F.concat(state["made"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.when(s["start"] >= state["at"], F.struct(s["end"].alias("at"), made.alias("made"))).otherwise(state)
+        size = s["end"] - s["start"]
+        kind = F.when(size > state["longest"], s["kind"]).otherwise(state["kind"])
+        wider = state_of(
+            state["made"], state["at"], state["start"], F.greatest(state["end"], s["end"]), kind, F.greatest(state["longest"], size)
+        )
+        return F.when(s["start"] < state["end"], wider).otherwise(
+            state_of(closed(state), state["end"], s["start"], s["end"], s["kind"], size)
+        )
 
-    end = lambda s: F.concat(s["made"], F.substring(text, s["at"] + 1, F.length(text)))
+    end = lambda s: F.concat(closed(s), F.substring(text, s["end"] + 1, F.length(text)))
     df = df.withColumn("_spans", by_start)
     masked = F.when(text.isNull() | (F.size("_spans") == 0), text).otherwise(F.aggregate("_spans", first, step, end))
     return df.select(*(masked.alias(c) if c == text_col else F.col(c) for c in columns))

@@ -79,3 +79,13 @@ def test_redact_and_edges(docs):
     ]
     assert out.filter("text IS NULL").count() == 1
     assert P.redact(df.limit(0)).count() == 0
+
+
+def test_overlapping_spans_are_masked_whole(docs):
+    rows = [
+        (1, "to +4915112345678@sms.example.org now"), (2, "to 10.20.30.40@mail.example.org now"), (3, "to 4111111111111111@pay.example.org now"),
+        (4, "to x@10.20.30.40 and +1 (555) 555-0100."),
+    ]
+    assert {r.doc_id: r.text for r in P.redact(docs(rows)).collect()} == {
+        1: "to [EMAIL] now", 2: "to [EMAIL] now", 3: "to [EMAIL] now", 4: "to [EMAIL] and [PHONE].",
+    }
