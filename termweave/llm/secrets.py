@@ -25,12 +25,13 @@ _KEYWORD = r"(password|passwd|secret|token|api_?key)"
 _ASSIGN = re.compile(rf"(?ai:{_KEYWORD[1:-1]})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 
-#: Strings that look random but are no secrets: identifiers in the usual notation, dates, placeholders.
+#: Parts of a run that look random but are no secrets: identifiers in the usual notation, placeholders,
+#: dates. Windows that overlap such a part are not looked at; the rest of the run is.
 ALLOW = (
     r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}",
-    r"[0-9_/+=-]+",
-    r"(?i).*(?:example|placeholder|changeme|dummy|sample|xxxx|lorem).*",
-    r"(?i).*(?:0123456789|abcdefgh|qwerty).*",
+    r"^[0-9_/+=-]+$",
+    r"(?i)example|placeholder|changeme|dummy|sample|x{4,}|lorem",
+    r"(?i)0123456789|abcdefgh|qwerty",
 )
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -92,6 +93,29 @@ def _classes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return tuple(found)
 
 
+def _mixed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which runs are more than a word or a number."""
+    digits, lowers, uppers = _classes(raw, starts, ends)
+    return (digits > 0) & (lowers + uppers > 0) | (lowers > 2) & (uppers > 2)
+
+
+def _without(
+    raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, allowed: list[re.Pattern], window: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """What is left of the runs, in pieces of at least ``window``, beside the parts that are allowed."""
+    pieces = []
+    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
+        run, at = raw[start:end].tobytes().decode(), 0
+        for a, b in sorted(m.span() for p in allowed for m in p.finditer(run)):
+            if a - at >= window:
+                pieces.append((start + at, start + a))
+            at = max(at, b)
+        if end - start - at >= window:
+            pieces.append((start + at, end))
+    both = np.array(pieces, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def scan_texts(
     texts: pa.Array, window: int = 20, hex_bits: float = 3.0, base64_bits: float = 3.9, allow: tuple[str, ...] = ALLOW
 ) -> list[list[tuple[str, int, int]]]:
@@ -124,13 +148,10 @@ def scan_texts(
     starts, ends = _runs(_TOKEN[raw], breaks)
     long = ends - starts >= window
     starts, ends = starts[long], ends[long]
-    digits, lowers, uppers = _classes(raw, starts, ends)
-    mixed = (digits > 0) & (lowers + uppers > 0) | (lowers > 2) & (uppers > 2)
-    allowed = [re.compile(p) for p in allow]
-    for k in np.flatnonzero(mixed):
+    mixed = _mixed(raw, starts, ends)
+    starts, ends = _without(raw, starts[mixed], ends[mixed], [re.compile(p) for p in allow], window)
+    for k in np.flatnonzero(_mixed(raw, starts, ends)):
         found = raw[starts[k] : ends[k]].tobytes()
-        if any(p.fullmatch(found.decode()) for p in allowed):
-            continue
         lower = found.lower()
         kind, bits = ("entropy_hex", hex_bits) if not lower.strip(b"0123456789abcdef") else ("entropy_base64", base64_bits)
         if (at := high_entropy(lower if kind == "entropy_hex" else found, window, bits)) is not None:

@@ -78,3 +78,13 @@ def test_query(spark):
         spans = base(texts[r.doc_id])
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in spans) for k in S.BASE_KINDS)
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_keys_beside_allowed_words_are_found():
+    key = "h7Gk29sLqPz4Xw8VbNm3Tr6Y"
+    rows = [f"example_db={key}", f"config/sample/{key}", f"{key}/{key}/dummy/{key}", f"123e4567-e89b-12d3-a456-426614174000/{key}"]
+    for text, found in zip(rows, S.scan_texts(pa.array(rows)), strict=True):
+        covered = {i for k, a, b in found if k == "entropy_base64" for i in range(a, b)}
+        assert all(set(range(m.start(), m.end())) <= covered for m in re.finditer(key, text)), text
+        assert not any(set(range(m.start(), m.end())) & covered for m in re.finditer("example|sample|dummy|123e4567", text)), text
+    assert S.scan_texts(pa.array(["my-example-key-1", "xxxxxxxxxxxxxxxxxxxxxxxxAb1"])) == [[], []]
