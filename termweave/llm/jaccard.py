@@ -48,15 +48,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def runs_needed(threshold: float, recall: float, depth: int = DEPTH, tokens: int = TOKENS) -> int:
+def runs_needed(threshold: float, recall: float, depth: int = DEPTH, tokens: int = TOKENS, least: int = 0) -> int:
     """Runs after which a pair at the threshold has met in a bucket with probability ``recall``.
 
     A pair lives through one more split if one of its common tokens is sampled and lives on from there.
+    How many tokens are common varies; pairs with fewer than ``least`` are lost in every run alike.
     """
-    chance, lives = 1 / (threshold * tokens), 1.0
+    chance, lives = 1 / (threshold * tokens), np.ones(tokens + 1)
+    common = np.arange(tokens + 1)
     for _ in range(depth):
-        lives = 1 - (1 - chance * lives) ** (tokens * threshold)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - lives)))
+        lives = 1 - (1 - chance * lives) ** common
+    lives[:least] = 0.0
+    share, runs = common_tokens(threshold, tokens), 1
+    if share[:least].sum() >= 1 - recall:
+        raise ValueError(f"no number of runs reaches {recall} with {least} common tokens asked for")
+    while (share * (1 - lives) ** runs).sum() > 1 - recall:
+        runs += 1
+    return runs
+
+
+def common_tokens(threshold: float, tokens: int = TOKENS) -> np.ndarray:
+    """Probabilities that a pair at the threshold has 0, 1, ... common tokens."""
+    return np.array([math.comb(tokens, k) * threshold**k * (1 - threshold) ** (tokens - k) for k in range(tokens + 1)])
+
+
+def least_common(threshold: float, recall: float, tokens: int = TOKENS) -> int:
+    """Common tokens that all but a hundredth of the loss left by ``recall`` have at the threshold."""
+    return max(1, int(np.searchsorted(np.cumsum(common_tokens(threshold, tokens)), (1 - recall) / 100)))
 
 
 def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -187,9 +205,8 @@ def _pairs(path: np.ndarray, ids: np.ndarray, tokens: np.ndarray, least: int) ->
 
 def candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Links (a, b) between classes that the runs propose."""
-    runs, chance = runs_needed(threshold, recall), 1 / (threshold * TOKENS)
-    spread = math.sqrt(threshold * (1 - threshold) * TOKENS)
-    least = max(1, math.floor(threshold * TOKENS - 3.5 * spread))
+    least, chance = least_common(threshold, recall), 1 / (threshold * TOKENS)
+    runs = runs_needed(threshold, recall, least=least)
     width = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signs = classes.select("id", "tokens")
     found: DataFrame | None = None
@@ -265,7 +282,7 @@ def _verify(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 
 def similarity_join(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.99
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.9999
 ) -> DataFrame:
     """(id, class_id, n_links, component) of every row.
 

@@ -1,3 +1,4 @@
+import inspect
 import random
 import re
 from collections import defaultdict
@@ -98,3 +99,15 @@ def test_query(spark):
     got = sorted((r.doc_id, r.n_links, r.component_id) for r in QUERIES["op8_ngram_jaccard_join"](spark, SF).collect())
     want = brute(rows)
     assert got == want
+
+
+def test_defaults_reach_the_recall(docs, prose):
+    """The production defaults, signature filter included, lose at most one pair in 10,000 at the threshold."""
+    recall = inspect.signature(J.similarity_join).parameters["recall"].default
+    least = J.least_common(0.8, recall)
+    assert recall >= 0.9999 and 0 < J.common_tokens(0.8)[:least].sum() < 1e-5
+    assert J.runs_needed(0.8, recall, least=least) >= J.runs_needed(0.8, recall)
+    rng = random.Random(8)
+    texts = [prose(i, 150) for i in range(12)]
+    rows = list(enumerate(texts)) + [(100 + i, edited(texts[i % 12], rng, rng.randint(1, 4))) for i in range(60)]
+    assert result(J.similarity_join(docs(rows))) == brute(rows)
