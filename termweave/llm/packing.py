@@ -122,7 +122,11 @@ def pack(
     open_ = F.col("length") < capacity
     tokens = pieces.agg(F.sum(F.when(open_, F.col("length")))).first()[0] or 0
     groups = max(1, round(tokens / (group_windows * capacity)))
-    key = F.pmod(F.xxhash64(F.col(id_col), "start", "ids_crc32"), F.lit(groups))
+    pieces = pieces.withColumn("_like", F.xxhash64(F.col(id_col), "start", "ids_crc32"))
+    # Pieces with many copies are spread by their position in the written table.
+    many = pieces.filter(open_).groupBy("_like").count().filter(F.col("count") > group_windows)
+    salt = F.when(F.col("_copies").isNotNull(), F.col("_row"))
+    key = F.pmod(F.xxhash64("_like", salt), F.lit(groups))
 
     def place(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(id_col, "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -137,7 +141,10 @@ def pack(
         rows = rows.set_column(rows.schema.get_field_index("sequence_id"), "sequence_id", pa.array(base + number))
         return rows.append_column("offset", pa.array(offset))
 
-    grouped = pieces.filter(open_).withColumn("sequence_id", key)
+    marked = pieces.withColumn("_row", F.monotonically_increasing_id()).filter(open_)
+    marked = marked.join(many.select("_like", F.col("count").alias("_copies")), "_like", "left")
+    grouped = marked.withColumn("sequence_id", key).drop("_like", "_row", "_copies")
+    pieces = pieces.drop("_like")
     placed = grouped.groupBy("sequence_id").applyInArrow(
         place, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {_PIECE}, sequence_id long, offset long"
     )

@@ -138,3 +138,12 @@ def test_packing_edges(spark, docs, prose):
     twice = packing.pack(docs([(None, "a b"), (None, "a b"), (7, "c")]), P.path("word_bpe_49k.json")).collect()
     assert len(twice) == 3 and len({(r.sequence_id, r.offset) for r in twice}) == 3
     assert packing.pack(docs([(1, "a")]).limit(0), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_repeated_rows_are_spread_over_groups(spark):
+    rows = spark.createDataFrame([(None, None)] * 600, "doc_id long, text string")
+    got = packing.pack(rows, P.path("word_bpe_49k.json"), capacity=4, rest=4, group_windows=2).collect()
+    groups = {}
+    for r in got:
+        groups[r.sequence_id >> 20] = groups.get(r.sequence_id >> 20, 0) + 1
+    assert sum(groups.values()) == 600 and len(groups) > 30 and max(groups.values()) < 60
