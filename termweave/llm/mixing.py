@@ -168,8 +168,10 @@ def mix(
         (F.col("_b") - F.col("_a")).alias("length"),
         (F.col("_a") - F.col("block") * block_words).alias("at"),
     )
-    pieces = cut.join(schedule(targets, block_words), ["place", "block"])
-    return Mixture(documents, targets, pieces.select("slot", "at", "row", "id", "place", "epoch", "start", "length"))
+    # Written, as Spark takes exploded rows for few and would broadcast them.
+    pieces = cut.join(save(schedule(targets, block_words), "slots"), ["place", "block"])
+    pieces = pieces.select("slot", "at", "row", "id", "place", "epoch", "start", "length")
+    return Mixture(documents, targets, save(pieces, "pieces"))
 
 
 def mixed_texts(mixture: Mixture) -> DataFrame:
