@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.text import aspect_name
 from ..lineage import scratch_path
 from ..operators import dag, labels, similarity
 from ..plans import pipelines
@@ -18,25 +19,37 @@ _FINAL = "SELECT entry_id, term, score, format('{:.3g}', least(score, 1.0)) AS s
 _NF = "SELECT entry_id, term, max(score) AS score FROM aspect_predictions WHERE score >= 0.01 GROUP BY 1, 2"
 
 
+def _vocabulary_sql(notes: str, limit: str) -> dict[str, str]:
+    """Vocabulary, prior and closure of all aspects from the frequencies of ``notes`` (aspect, term)."""
+    return {
+        "fq": f"SELECT o.aspect, a.term, count(*) AS n FROM {notes} a JOIN ontology_terms o ON o.term = a.term GROUP BY 1, 2",
+        "top": f"SELECT aspect, term FROM (SELECT *, row_number() OVER (PARTITION BY aspect ORDER BY n DESC, term) AS r FROM fq) WHERE r <= {limit}",
+        "mem": "SELECT aspect, term FROM top UNION SELECT top.aspect, a.ancestor FROM top JOIN anc a ON a.term = top.term",
+        "voc": "SELECT aspect, term, row_number() OVER (PARTITION BY aspect ORDER BY term) - 1 AS idx FROM mem",
+        "adj": "SELECT DISTINCT m.aspect, e.parent, e.child FROM ontology_edges e JOIN mem m ON m.term = e.child JOIN mem p ON p.term = e.parent AND p.aspect = m.aspect WHERE e.child <> e.parent",
+        "cl": "SELECT child AS term, parent AS ancestor FROM adj UNION SELECT cl.term, adj.parent FROM cl JOIN adj ON adj.child = cl.ancestor",
+        "own": "SELECT DISTINCT a.aspect, a.entry_id, a.term FROM doc_annotations a JOIN mem ON mem.aspect = a.aspect AND mem.term = a.term",
+        "pos": "SELECT * FROM own UNION SELECT own.aspect, own.entry_id, cl.ancestor FROM own JOIN cl ON cl.term = own.term",
+        "tgt": "SELECT pos.aspect, entry_id, count(*) AS n, CAST(sum(idx) AS BIGINT) AS total FROM pos JOIN voc ON voc.aspect = pos.aspect AND voc.term = pos.term GROUP BY 1, 2",
+    }
+
+
+def _targets_summary():
+    total = F.aggregate("targets", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return F.size("targets").cast("bigint").alias("n_targets"), total.alias("total")
+
+
 @query("pl01_prepare_manifests", "doc_annotations ontology_terms ontology_edges anc entries", """
-SELECT e.entry_id, 'C' AS aspect, length(e.sequence) AS length, CASE WHEN s.r <= e1 THEN 'train' WHEN s.r <= e2 THEN 'val' ELSE 'test' END AS split,
-coalesce(p.n, 0) AS n_targets, coalesce(p.total, 0) AS total FROM entries e JOIN ids s ON s.entry_id = e.entry_id
-LEFT JOIN (SELECT entry_id, count(*) AS n, CAST(sum(idx) AS BIGINT) AS total FROM pos JOIN voc ON voc.term = pos.term GROUP BY 1) p ON p.entry_id = e.entry_id, edges
-""", ann="SELECT * FROM doc_annotations WHERE aspect = 'C'",
-    ids="SELECT entry_id, row_number() OVER (ORDER BY md5(concat(entry_id, '|1337')), entry_id) AS r FROM (SELECT DISTINCT entry_id FROM ann)",
-    edges="SELECT CAST(floor(n * 0.8) AS BIGINT) + CASE WHEN rest >= 1 THEN 1 ELSE 0 END AS e1, CAST(floor(n * 0.8) AS BIGINT) + CAST(floor(n * 0.1) AS BIGINT) + rest AS e2 FROM (SELECT n, n - CAST(floor(n * 0.8) AS BIGINT) - 2 * CAST(floor(n * 0.1) AS BIGINT) AS rest FROM (SELECT count(*) AS n FROM ids))",
-    fq="SELECT a.term, count(*) AS n FROM ann a JOIN ontology_terms o ON o.term = a.term AND o.aspect = 'C' GROUP BY 1",
-    top="SELECT term FROM fq ORDER BY n DESC, term LIMIT 200",
-    mem="SELECT term FROM top UNION SELECT a.ancestor FROM top JOIN anc a ON a.term = top.term",
-    voc="SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM mem",
-    adj="SELECT DISTINCT child, parent FROM ontology_edges WHERE child <> parent AND child IN (SELECT term FROM mem) AND parent IN (SELECT term FROM mem)",
-    cl="SELECT child AS term, parent AS ancestor FROM adj UNION SELECT cl.term, adj.parent FROM cl JOIN adj ON adj.child = cl.ancestor",
-    own="SELECT DISTINCT entry_id, term FROM ann WHERE term IN (SELECT term FROM mem)",
-    pos="SELECT * FROM own UNION SELECT own.entry_id, cl.ancestor FROM own JOIN cl ON cl.term = own.term")
+SELECT s.entry_id, s.aspect, length(e.sequence) AS length, CASE WHEN s.r <= e1 THEN 'train' WHEN s.r <= e2 THEN 'val' ELSE 'test' END AS split,
+coalesce(p.n, 0) AS n_targets, coalesce(p.total, 0) AS total FROM ids s JOIN edges x ON x.aspect = s.aspect JOIN entries e ON e.entry_id = s.entry_id
+LEFT JOIN tgt p ON p.entry_id = s.entry_id AND p.aspect = s.aspect
+""", ann="SELECT a.* FROM doc_annotations a JOIN ontology_terms o ON o.term = a.term AND o.aspect = a.aspect",
+    ids="SELECT aspect, entry_id, row_number() OVER (PARTITION BY aspect ORDER BY md5(concat(entry_id, '|1337')), entry_id) AS r FROM (SELECT DISTINCT aspect, entry_id FROM doc_annotations)",
+    edges="SELECT aspect, a + CASE WHEN rest >= 1 THEN 1 ELSE 0 END AS e1, a + b + rest AS e2 FROM (SELECT aspect, a, b, n - a - 2 * b AS rest FROM (SELECT aspect, count(*) AS n, CAST(floor(count(*) * 0.8) AS BIGINT) AS a, CAST(floor(count(*) * 0.1) AS BIGINT) AS b FROM ids GROUP BY 1))",
+    **_vocabulary_sql("ann", "200"))
 def _(t):
-    done = pipelines.prepare_manifests(t.entries(), t.doc_annotations(), t.ontology_terms(), t.ontology_edges(), "C", top_k=200)
-    total = F.aggregate("targets", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return done.manifest.select("entry_id", "aspect", "length", "split", F.size("targets").cast("bigint").alias("n_targets"), total.alias("total"))
+    done = pipelines.prepare_manifests(t.entries(), t.doc_annotations(), t.ontology_terms(), t.ontology_edges(), top_k=200)
+    return done.manifest.select("entry_id", "aspect", "length", "split", *_targets_summary())
 
 
 @query("pl02_finalize_predictions", "anc aspect_predictions", _FINAL, nf=_NF,
@@ -114,25 +127,66 @@ def _drawn(prefix: str, bk: str, pf: str | None) -> dict[str, str]:
 _BUCKET = "SELECT aspect, entry_id, CASE WHEN r <= CAST(floor(n * (1 / 3.0::DOUBLE)) AS BIGINT) THEN 'low' WHEN r <= CAST(floor(n * (1 / 3.0::DOUBLE + 1 / 3.0::DOUBLE)) AS BIGINT) THEN 'med' ELSE 'high' END AS bucket FROM (SELECT *, row_number() OVER (PARTITION BY aspect ORDER BY {0}, md5(entry_id), entry_id) AS r, count(*) OVER (PARTITION BY aspect) AS n FROM sc)"
 
 
-@query("pl04_build_eval_sets", "entries train_ids taxonomy doc_annotations", """
-SELECT CASE d.aspect WHEN 'F' THEN 'MF' WHEN 'P' THEN 'BP' ELSE 'CC' END AS aspect, set_name, draw_no, d.entry_id, coalesce(x.tax_id, '') AS tax_id, round(sc.frequency, 8) AS go_freq_score, round(sc.similarity, 7) AS similarity_score FROM
-(SELECT aspect, concat('go_freq_', bucket) AS set_name, draw_no, entry_id FROM fout UNION ALL SELECT aspect, concat('sim_', bucket), draw_no, entry_id FROM sout) d
-JOIN sc ON sc.aspect = d.aspect AND sc.entry_id = d.entry_id LEFT JOIN taxonomy x ON x.entry_id = d.entry_id
-""", **_CENTRE,
+_TOP_K = "CASE aspect WHEN 'P' THEN 1024 ELSE 528 END"
+_TRAIN_NOTES = "SELECT a.* FROM doc_annotations a WHERE entry_id IN (SELECT entry_id FROM train_ids)"
+_DRAWN = _CENTRE | dict(
     sim="SELECT e.entry_id, round(coalesce(s.v, 0.0), 9) AS similarity FROM entries e LEFT JOIN (SELECT vec.entry_id, sum(vec.w * centre.w) AS v FROM vec JOIN centre ON centre.gram = vec.gram GROUP BY 1) s ON s.entry_id = e.entry_id WHERE e.entry_id NOT IN (SELECT entry_id FROM train_ids)",
     tf="SELECT aspect, term, count(*) AS f FROM doc_annotations WHERE entry_id IN (SELECT entry_id FROM train_ids) GROUP BY 1, 2",
     mean="SELECT a.aspect, a.entry_id, round(avg(ln(1 + coalesce(f, 0))), 9) AS s FROM doc_annotations a LEFT JOIN tf ON tf.aspect = a.aspect AND tf.term = a.term WHERE a.entry_id NOT IN (SELECT entry_id FROM train_ids) GROUP BY 1, 2",
     sc="SELECT a.aspect, sim.entry_id, coalesce(mean.s, 0.0) AS frequency, sim.similarity FROM sim CROSS JOIN (SELECT unnest(['F', 'P', 'C']) AS aspect) a LEFT JOIN mean ON mean.aspect = a.aspect AND mean.entry_id = sim.entry_id",
     vs="SELECT CAST(floor(n * 0.1) AS BIGINT) + CASE WHEN n - CAST(floor(n * 0.8) AS BIGINT) - 2 * CAST(floor(n * 0.1) AS BIGINT) >= 2 THEN 1 ELSE 0 END AS val FROM (SELECT count(*) AS n FROM train_ids)",
     fb=_BUCKET.format("frequency"), sb=_BUCKET.format("similarity"), **_drawn("f", "fb", None),
-    fpool="SELECT DISTINCT aspect, entry_id FROM fout", **_drawn("s", "sb", "fpool"))
-def _(t):
+    fpool="SELECT DISTINCT aspect, entry_id FROM fout", **_drawn("s", "sb", "fpool"),
+    sets="SELECT aspect, concat('go_freq_', bucket) AS set_name, draw_no, entry_id FROM fout UNION ALL SELECT aspect, concat('sim_', bucket), draw_no, entry_id FROM sout",
+)
+
+
+def _train_notes(t: Inputs):
+    return t.doc_annotations().join(t.train_ids(), "entry_id", "left_semi")
+
+
+def _selection_inputs(t: Inputs):
     train = t.entries().join(t.train_ids(), "entry_id", "left_semi")
-    train_notes = t.doc_annotations().join(t.train_ids(), "entry_id", "left_semi")
-    sets = pipelines.build_eval_sets(train, t.entries(), train_notes, t.doc_annotations(), t.taxonomy())
+    return train, t.entries(), _train_notes(t), t.doc_annotations(), t.taxonomy()
+
+
+@query("pl04_build_eval_sets", "entries train_ids taxonomy doc_annotations", """
+SELECT CASE d.aspect WHEN 'F' THEN 'MF' WHEN 'P' THEN 'BP' ELSE 'CC' END AS aspect, set_name, draw_no, d.entry_id, coalesce(x.tax_id, '') AS tax_id, round(sc.frequency, 8) AS go_freq_score, round(sc.similarity, 7) AS similarity_score FROM
+sets d JOIN sc ON sc.aspect = d.aspect AND sc.entry_id = d.entry_id LEFT JOIN taxonomy x ON x.entry_id = d.entry_id
+""", **_DRAWN)
+def _(t):
+    sets = pipelines.eval_selection(*_selection_inputs(t)).withColumn("aspect", aspect_name(F.col("aspect")))
     return sets.withColumn("go_freq_score", F.round("go_freq_score", 8)).withColumn("similarity_score", F.round("similarity_score", 7))
 
 
+@query("pl04_eval_vocabulary", "doc_annotations train_ids ontology_terms ontology_edges anc", "SELECT aspect, term, idx FROM voc",
+       notes=_TRAIN_NOTES, **_vocabulary_sql("notes", _TOP_K))
+def _(t):
+    return pipelines.eval_priors(_train_notes(t), t.ontology_terms(), t.ontology_edges())[0]
+
+
+@query("pl04_eval_priors", "doc_annotations train_ids ontology_terms ontology_edges anc",
+       "SELECT aspect, parent, child, round(1.0 / count(*) OVER (PARTITION BY aspect, parent), 9) AS weight FROM adj",
+       notes=_TRAIN_NOTES, **_vocabulary_sql("notes", _TOP_K))
+def _(t):
+    return pipelines.eval_priors(_train_notes(t), t.ontology_terms(), t.ontology_edges())[1].withColumn("weight", F.round("weight", 9))
+
+
+@query("pl04_eval_manifests", "entries train_ids taxonomy doc_annotations ontology_terms ontology_edges anc", """
+SELECT d.aspect, set_name, draw_no, d.entry_id, concat(d.entry_id, '_', substr(md5(d.entry_id), 1, 8)) AS embedding,
+concat('priors/', CASE d.aspect WHEN 'F' THEN 'mf' WHEN 'P' THEN 'bp' ELSE 'cc' END) AS prior, coalesce(g.n, 0) AS n_targets, coalesce(g.total, 0) AS total, z.n AS num_functions, 64 AS feature_dim
+FROM sets d LEFT JOIN tgt g ON g.aspect = d.aspect AND g.entry_id = d.entry_id JOIN (SELECT aspect, count(*) AS n FROM voc GROUP BY 1) z ON z.aspect = d.aspect
+""", notes=_TRAIN_NOTES, **_vocabulary_sql("notes", _TOP_K), **_DRAWN)
+def _(t):
+    path = scratch_path(t.spark, "eval-sets")
+    sets = pipelines.build_eval_sets(*_selection_inputs(t), t.ontology_terms(), t.ontology_edges(), feature_dim=64)
+    pipelines.write_eval_sets(sets, _train_notes(t), path)
+    kinds = "draw_no BIGINT, entry_id STRING, embedding STRING, prior STRING, targets ARRAY<BIGINT>, num_functions BIGINT, feature_dim INT, aspect STRING, set_name STRING"
+    return t.spark.read.schema(kinds).json(f"{path}/manifests").select(
+        "aspect", "set_name", "draw_no", "entry_id", "embedding", "prior", *_targets_summary(), "num_functions", "feature_dim"
+    )
+
+
 @query("pl05_train_slice", "annotations", """
 SELECT s.entry_id, s.stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(concat(CAST(entry_id AS VARCHAR), '|0')), entry_id) AS r FROM st) s JOIN more m ON m.stratum = s.stratum WHERE s.r <= m.q""", **_QUOTA)
 def _(t):
@@ -189,7 +243,7 @@ def _structures(t: Inputs):
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), (F.col("l_suppkey") % 3).cast("string")).alias("accession"),
         _model().alias("model_id"), (10 * F.col("l_linenumber")).alias("start"), (F.col("l_quantity").cast("int") % 12 + 1).alias("length"),
     )
-    contacts = t.contacts().filter("p >= 0.9").select("entry_id", F.col("i").alias("src"), F.col("j").alias("dst"), F.col("p").alias("weight"))
+    contacts = t.contacts().select("entry_id", F.col("i").alias("src"), F.col("j").alias("dst"), F.col("p").alias("weight"))
     nodes = t.contacts().groupBy("entry_id", F.col("i").alias("pos")).agg(F.max("p").alias("conf"))
     return pipelines.structure_graphs(t.expected_lengths(), frags, _fragment_atoms(t), contacts, nodes, k=4)
 
@@ -201,7 +255,7 @@ def _(t):
 
 @query("pl07_structure_edges", "expected_lengths contacts", """
 SELECT entry_id, i + off AS src, j + off AS dst, round(w, 9) AS weight FROM nn UNION SELECT entry_id, j + off, i + off, round(w, 9) FROM nn
-UNION ALL SELECT entry_id, i, j, round(p, 9) FROM contacts WHERE p >= 0.9 AND entry_id IN (SELECT entry_id FROM src WHERE source = 'secondary')""", **_PL07)
+UNION ALL SELECT entry_id, i, j, round(p, 9) FROM contacts WHERE entry_id IN (SELECT entry_id FROM src WHERE source = 'secondary')""", **_PL07)
 def _(t):
     return _structures(t).edges.withColumn("weight", F.round("weight", 9))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,11 +60,15 @@ def descendants(edges: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def close_vocabulary(
-    frequencies: DataFrame, edges: DataFrame, terms: DataFrame, top_k: int | None, closure: DataFrame | None = None
+    frequencies: DataFrame,
+    edges: DataFrame,
+    terms: DataFrame,
+    top_k: int | Mapping[str, int] | None,
+    closure: DataFrame | None = None,
 ) -> DataFrame:
     """GR03: per aspect the ``top_k`` most frequent known terms and their same-aspect ancestors.
 
-    ``frequencies`` has ``term, n``; the aspect is the ontology's.
+    ``frequencies`` has ``term, n``; the aspect is the ontology's. ``top_k`` may differ by aspect.
     """
     known = frequencies.select("term", "n").join(terms, "term")
     chosen = top_terms(known, top_k).select("aspect", "term")

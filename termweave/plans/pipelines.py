@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import finite
-from ..functions.text import aspect_name, score_text
+from ..functions.text import artefact_key, aspect_name, score_text
 from ..lineage import cut, written
 from ..operators import dag, graph, labels, metrics, quality, ranking, relational, reports, similarity
 from ..sources import sinks
@@ -17,6 +17,7 @@ from ..sources import sinks
 RATIOS = {"train": 0.8, "val": 0.1, "test": 0.1}
 # Vocabulary sizes per aspect of the evaluation sets.
 TOP_K = {"F": 528, "P": 1024, "C": 528}
+ASPECTS = tuple(TOP_K)
 
 
 class Prepared(NamedTuple):
@@ -28,6 +29,15 @@ class Prepared(NamedTuple):
     splits: DataFrame
 
 
+class EvalSets(NamedTuple):
+    """Result of :func:`build_eval_sets`; all tables are keyed by aspect, the last two by set as well."""
+
+    vocab: DataFrame
+    priors: DataFrame
+    selection: DataFrame
+    manifests: DataFrame
+
+
 class StructureGraphs(NamedTuple):
     """Result of :func:`structure_graphs`."""
 
@@ -36,39 +46,52 @@ class StructureGraphs(NamedTuple):
     source: DataFrame
 
 
+def vocabulary_targets(annotations: DataFrame, vocab: DataFrame, adjacency: DataFrame) -> DataFrame:
+    """JN05 and GR05 for all aspects at once -> aspect, entry_id, targets: the sorted vocabulary indices of an
+    entry's terms, ancestors within the vocabulary included.
+
+    ``annotations`` has ``aspect, entry_id, term``, ``vocab`` ``aspect, term, idx``. A term counts under
+    its own aspect; it has one, so the closure along the adjacency needs no aspect.
+    """
+    known = annotations.join(vocab.select("aspect", "term"), ["aspect", "term"], "left_semi")
+    positive = dag.propagate_labels(known, dag.vocab_closure(adjacency))
+    indexed = positive.join(vocab.select("aspect", "term", "idx"), "term")
+    return indexed.groupBy("aspect", "entry_id").agg(F.sort_array(F.collect_list("idx")).alias("targets"))
+
+
 def prepare_manifests(
     sequences: DataFrame,
     annotations: DataFrame,
     terms: DataFrame,
     edges: DataFrame,
-    aspect: str,
+    aspects: Sequence[str] = ASPECTS,
     ratios: Mapping[str, float] = RATIOS,
     seed: object = 1337,
-    top_k: int | None = None,
+    top_k: int | Mapping[str, int] | None = None,
     artefacts: DataFrame | None = None,
 ) -> Prepared:
-    """PL01: splits, vocabulary, adjacency and manifest records of one aspect.
+    """PL01: splits, vocabulary, adjacency and manifest records of all aspects in one plan.
 
-    A record has ``entry_id, split, aspect, length, targets`` (sorted vocabulary indices, ancestors
-    included) and the artefact columns of ``artefacts``; an entry without its artefact raises.
+    Everything is keyed by aspect: an aspect has its own entries (those it annotates), split, vocabulary
+    and indices; the closure of the ontology is computed once. A record has ``entry_id, split, aspect,
+    length, targets`` (sorted vocabulary indices, ancestors included) and the artefact columns of
+    ``artefacts``; an entry without its artefact raises.
     """
-    held = relational.restrict(annotations, sequences, aspect)
-    entries = sequences.join(held.select("entry_id"), "entry_id", "left_semi")
-    freq = labels.term_frequency(held, by_aspect=False)
-    members = dag.close_vocabulary(freq, edges, terms.filter(F.col("aspect") == aspect), top_k, dag.ancestors(edges, terms))
-    members = cut(members)
-    vocab = labels.vocabulary(members)
+    held = relational.restrict(annotations, sequences).filter(F.col("aspect").isin(*aspects))
+    inside = terms.filter(F.col("aspect").isin(*aspects))
+    freq = labels.term_frequency(held.join(inside.select("aspect", "term"), ["aspect", "term"], "left_semi"), by_aspect=False)
+    members = cut(dag.close_vocabulary(freq, edges, inside, top_k, dag.ancestors(edges, terms)))
+    vocab = written(labels.vocabulary(members), "vocabulary")
     adjacency = dag.vocab_adjacency(members, edges)
-    known = held.join(members.select("term"), "term", "left_semi")
-    positive = dag.propagate_labels(known, dag.vocab_closure(adjacency))
-    indexed = positive.join(vocab.select("term", "idx"), "term")
-    targets = indexed.groupBy("entry_id").agg(F.sort_array(F.collect_list("idx")).alias("targets"))
-    splits = ranking.split(entries, ratios, seed)
-    records = entries.select("entry_id", F.length("sequence").cast("bigint").alias("length"), F.lit(aspect).alias("aspect"))
+    targets = vocabulary_targets(held, vocab, adjacency)
+    lengths = sequences.select("entry_id", F.length("sequence").cast("bigint").alias("length"))
+    records = held.select("aspect", "entry_id").distinct().join(lengths, "entry_id").select("entry_id", "length", "aspect")
+    splits = ranking.split(records, ratios, seed, ["aspect"])
     if artefacts is not None:
         records = relational.assemble(records, {"artefact": artefacts}, on_missing="error")
-    records = records.join(targets, "entry_id", "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<bigint>")))
-    manifest = sinks.manifest_records(records, splits, list(ranking.SPLITS))
+    records = records.join(targets, ["aspect", "entry_id"], "left")
+    records = records.withColumn("targets", F.coalesce("targets", F.array().cast("array<bigint>")))
+    manifest = sinks.manifest_records(records, splits, list(ranking.SPLITS), keys=["aspect"])
     return Prepared(manifest, vocab, adjacency, splits)
 
 
@@ -125,7 +148,16 @@ def evaluate(
     return wide.select("aspect", F.inline(pairs)).filter("value IS NOT NULL")
 
 
-def build_eval_sets(
+def eval_priors(
+    train_annotations: DataFrame, terms: DataFrame, edges: DataFrame, top_k: int | Mapping[str, int] | None = TOP_K
+) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary (aspect, term, idx) and sparse prior (aspect, parent, child, weight; each parent's row
+    sums to 1) of the evaluation sets, from the frequencies of the training annotations (GR03, GR04)."""
+    members = cut(dag.close_vocabulary(labels.term_frequency(train_annotations, by_aspect=False), edges, terms, top_k))
+    return written(labels.vocabulary(members), "vocabulary"), dag.vocab_adjacency(members, edges)
+
+
+def eval_selection(
     train_sequences: DataFrame,
     full_sequences: DataFrame,
     train_annotations: DataFrame,
@@ -134,9 +166,9 @@ def build_eval_sets(
     fracs: Sequence[float] | None = None,
     ratios: Mapping[str, float] = RATIOS,
     seed: object = 0,
-    aspects: Sequence[str] = ("F", "P", "C"),
+    aspects: Sequence[str] = ASPECTS,
 ) -> DataFrame:
-    """PL04: six evaluation sets per aspect (annotation frequency and similarity, low/med/high)
+    """Six evaluation sets per aspect (annotation frequency and similarity, low/med/high)
     -> aspect, set_name, draw_no, entry_id, tax_id, go_freq_score, similarity_score.
 
     Sets of one kind come from disjoint buckets, so the pool of already chosen entries only matters
@@ -145,7 +177,7 @@ def build_eval_sets(
     """
     train_ids = train_sequences.select("entry_id").distinct()
     candidates = relational.not_in(full_sequences, train_ids)
-    size = ranking.split_size(train_ids.count(), ratios)
+    size = train_ids.agg(ranking.split_size(F.count(F.lit(1)), ratios)).scalar()
     similar = similarity.centroid_similarity(candidates, train_sequences).withColumn("similarity", F.round("similarity", 9))
     freq = labels.term_frequency(train_annotations).withColumnRenamed("n", "_f")
     counted = relational.restrict(full_annotations, candidates).groupBy("aspect", "entry_id", "term").agg(F.count(F.lit(1)).alias("_c"))
@@ -169,11 +201,68 @@ def build_eval_sets(
     drawn = named(first, "go_freq_").unionByName(named(second, "sim_"))
     joined = relational.with_taxonomy(drawn.join(scores, ["aspect", "entry_id"]), taxonomy)
     return joined.select(
-        aspect_name(F.col("aspect")).alias("aspect"), "set_name", "draw_no", "entry_id", "tax_id",
+        "aspect", "set_name", "draw_no", "entry_id", "tax_id",
         F.col("frequency").alias("go_freq_score"), F.col("similarity").alias("similarity_score"),
     )
 
 
+def eval_manifests(selection: DataFrame, annotations: DataFrame, vocab: DataFrame, priors: DataFrame, feature_dim: int) -> DataFrame:
+    """Manifest records of all sets -> aspect, set_name, draw_no, entry_id, embedding, prior, targets,
+    num_functions, feature_dim.
+
+    Targets are those of :func:`vocabulary_targets`, computed once per selected (aspect, entry) however
+    many sets and draws it is in; ``num_functions`` is the size of the aspect's vocabulary.
+    """
+    chosen = selection.select("aspect", "entry_id").distinct()
+    own = annotations.join(chosen, ["aspect", "entry_id"], "left_semi")
+    targets = vocabulary_targets(own, vocab, priors)
+    sizes = vocab.groupBy("aspect").agg(F.count(F.lit(1)).alias("num_functions"))
+    rows = selection.select("aspect", "set_name", "draw_no", "entry_id").join(targets, ["aspect", "entry_id"], "left").join(sizes, "aspect", "left")
+    name = F.lower(aspect_name(F.col("aspect")))
+    return rows.select(
+        "aspect", "set_name", "draw_no", "entry_id", artefact_key(F.col("entry_id")).alias("embedding"),
+        F.concat(F.lit("priors/"), name).alias("prior"), F.coalesce("targets", F.array().cast("array<bigint>")).alias("targets"),
+        F.coalesce("num_functions", F.lit(0)).alias("num_functions"), F.lit(feature_dim).alias("feature_dim"),
+    )
+
+
+def build_eval_sets(
+    train_sequences: DataFrame,
+    full_sequences: DataFrame,
+    train_annotations: DataFrame,
+    full_annotations: DataFrame,
+    taxonomy: DataFrame,
+    terms: DataFrame,
+    edges: DataFrame,
+    fracs: Sequence[float] | None = None,
+    ratios: Mapping[str, float] = RATIOS,
+    seed: object = 0,
+    aspects: Sequence[str] = ASPECTS,
+    top_k: int | Mapping[str, int] | None = TOP_K,
+    feature_dim: int = 1280,
+) -> EvalSets:
+    """PL04: vocabulary, priors, selection and manifests of all 18 evaluation sets, in tables keyed by
+    aspect and set; write them with :func:`write_eval_sets`."""
+    vocab, priors = eval_priors(train_annotations, terms, edges, top_k)
+    selection = eval_selection(
+        train_sequences, full_sequences, train_annotations, full_annotations, taxonomy, fracs, ratios, seed, aspects
+    )
+    selection = written(selection, "eval-selection")
+    return EvalSets(vocab, priors, selection, eval_manifests(selection, full_annotations, vocab, priors, feature_dim))
+
+
+def write_eval_sets(sets: EvalSets, train_annotations: DataFrame, path: str) -> None:
+    """SC16, SC20, SC21: manifests and selections below aspect and set folders, vocabulary and prior below
+    aspect folders, the training terms, and the index of the manifests."""
+    sinks.write_term_lists(train_annotations, f"{path}/raw/train_split_cache")
+    for name, table in (("priors/terms", sets.vocab), ("priors/adjacency", sets.priors)):
+        table.write.mode("overwrite").partitionBy("aspect").parquet(f"{path}/{name}")
+    sets.manifests.write.mode("overwrite").partitionBy("aspect", "set_name").json(f"{path}/manifests")
+    sinks.write_selection(sets.selection, f"{path}/selections")
+    listed = sets.manifests.groupBy("aspect", "set_name").agg(F.count(F.lit(1)).alias("records"), F.any_value("num_functions").alias("num_functions"))
+    listed.coalesce(1).write.mode("overwrite").json(f"{path}/manifest_index")
+
+
 def train_slice(annotations: DataFrame, fraction: float = 0.15, seed: object = 0) -> tuple[DataFrame, DataFrame]:
     """PL05: exact stratified sample of the annotated entries by their set of aspects, and its summary.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,21 +15,24 @@ def write_splits(splits: DataFrame, path: str) -> None:
     splits.select("entry_id", "split").write.mode("overwrite").partitionBy("split").option("header", True).csv(path)
 
 
-def manifest_records(records: DataFrame, splits: DataFrame, wanted: list[str], on_empty: str = "empty") -> DataFrame:
-    """SC16 rows: records with their split. With ``on_empty="all"`` a wanted split without records
-    gets all of them (this leaks training rows into it, hence not the default)."""
-    placed = records.join(splits.select("entry_id", "split"), "entry_id")
+def manifest_records(
+    records: DataFrame, splits: DataFrame, wanted: list[str], on_empty: str = "empty", keys: Sequence[str] = ()
+) -> DataFrame:
+    """SC16 rows: records with their split, by itself within each of ``keys``. With ``on_empty="all"`` a
+    wanted split without records gets all of them (this leaks training rows into it, hence not the default)."""
+    keys = list(keys)
+    placed = records.join(splits.select(*keys, "entry_id", "split"), [*keys, "entry_id"])
     if on_empty == "empty":
         return placed
     if on_empty != "all":
         raise ValueError(f"unknown policy {on_empty!r}")
-    names = placed.select("split").distinct()
-    spark = records.sparkSession
-    lost = spark.createDataFrame([(w,) for w in wanted], "split string").join(names, "split", "left_anti")
-    missing = [row["split"] for row in lost.collect()]  # at most the wanted split names
-    if not missing:
-        return placed
-    every = records.withColumn("split", F.explode(F.array(*[F.lit(m) for m in missing])))
+    names = F.explode(F.array(*map(F.lit, wanted))).alias("split")
+    groups = records.select(*keys, names).distinct()
+    missing = groups.join(placed.select(*keys, "split").distinct(), [*keys, "split"], "left_anti")
+    # at most the wanted names in a group: a record carries them as one list
+    lost = missing.groupBy(*keys).agg(F.collect_list("split").alias("_lost"))
+    held = records.join(lost, keys) if keys else records.withColumn("_lost", lost.select("_lost").scalar())
+    every = held.withColumn("split", F.explode("_lost"))
     return placed.unionByName(every.select(*placed.columns))
 
 

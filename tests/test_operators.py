@@ -258,15 +258,35 @@ def test_best_and_final(spark, rows):
     assert got == [("r", "pr_auc", 0.3, 0.3), ("r", "train/loss", 0.4, 0.4)]
 
 
-def test_split_sizes_and_strata():
-    assert ranking.split_counts(11, {"train": 0.8, "val": 0.1, "test": 0.1}) == {"train": 9, "val": 1, "test": 1}
-    assert ranking.split_counts(19, {"train": 0.8, "val": 0.1, "test": 0.1}) == {"train": 16, "val": 2, "test": 1}
+def test_split_sizes_and_strata(spark):
+    def sizes(n, **ratios):
+        row = spark.range(n).agg(*[c.alias(name) for name, c in ranking.split_sizes(F.count(F.lit(1)), ratios).items()])
+        return tuple(row.first())
+
+    assert sizes(11, train=0.8, val=0.1, test=0.1) == (9, 1, 1)
+    assert sizes(19, train=0.8, val=0.1, test=0.1) == (16, 2, 1)
+    assert sizes(0, train=0.8, val=0.1, test=0.1) == (0, 0, 0)
+    assert sizes(5, train=1, val=1, test=1) == (2, 2, 1)
+    assert sizes(2, train=1, val=3, test=3) == (0, 1, 1)
     with pytest.raises(ValueError):
-        ranking.split_counts(5, {})
+        sizes(5)
     with pytest.raises(ValueError):
         ranking.bucket_edges((1, -1, 1))
 
 
+def test_split_by_key_and_a_train_split_that_takes_a_row(spark):
+    df = spark.createDataFrame([("a", f"p{i}") for i in range(10)] + [("b", "q1"), ("b", "q2")], "aspect STRING, entry_id STRING")
+    got = ranking.split(df, {"train": 0.2, "val": 0.4, "test": 0.4}, 1, ["aspect"])
+    counts = {(r["aspect"], r["split"]): r["count"] for r in got.groupBy("aspect", "split").count().collect()}
+    assert counts == {("a", "train"): 2, ("a", "val"): 4, ("a", "test"): 4, ("b", "train"): 1, ("b", "test"): 1}
+
+
+def test_top_terms_with_a_number_for_each_aspect(spark, rows):
+    freq = spark.createDataFrame([(a, t, n) for a in "CFP" for t, n in ((1, 5), (2, 7), (3, 7))], "aspect STRING, term INT, n INT")
+    assert rows(ranking.top_terms(freq, {"C": 1, "F": 2}), "aspect", "term") == [("C", 2), ("F", 2), ("F", 3), ("P", 1), ("P", 2), ("P", 3)]
+    assert ranking.top_terms(freq, {"C": 0}).count() == ranking.top_terms(freq, 0).count() == 9
+
+
 def test_fallback_strict_raises(spark):
     entries = spark.createDataFrame([("a",)], "entry_id STRING")
     primary = spark.createDataFrame([], "entry_id STRING, n_items BIGINT, length_ok BOOLEAN, file_ok BOOLEAN")
