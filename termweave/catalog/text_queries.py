@@ -185,9 +185,9 @@ def _(t):
 
 @query("sm05_knn", "annotations", """
 SELECT a, b, round(w, 9) AS weight, r AS rank FROM (SELECT a, b, w, row_number() OVER (PARTITION BY a ORDER BY w DESC, b) AS r FROM graph WHERE a <> b) WHERE r <= 20
-""", sets=_TERMS, everyone="SELECT DISTINCT entry_id FROM annotations", **_pair_sql(0.2))
+""", sets=_TERMS, everyone="SELECT DISTINCT entry_id FROM annotations", **_pair_sql(1e-9))
 def _(t):
-    return similarity.knn(*similarity.representatives(_term_sets(t), 0.2), 20).withColumn("weight", F.round("weight", 9))
+    return similarity.knn(*similarity.nearest_representatives(_term_sets(t), 20), 20).withColumn("weight", F.round("weight", 9))
 
 
 def _letter_codes():

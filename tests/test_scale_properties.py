@@ -111,11 +111,26 @@ def test_copies_are_complete_but_cost_one_row_each(spark):
     rows = {(r["a"], r["b"]): r["weight"] for r in similarity.pair_graph(df, 0.5).collect()}
     want = {(a, b): 1.0 for a in range(30) for b in range(30)} | {(1000, 1000): 1.0}
     assert rows == want | {x: 0.75 for a in range(30) for x in ((a, 1000), (1000, a))}
-    near = similarity.knn(edges, members, 3).collect()
+    near = similarity.knn(*similarity.nearest_representatives(df, 3), 3).collect()
     listed = {a: [r["b"] for r in sorted(near, key=lambda r: r["rank"]) if r["a"] == a] for a in (*range(30), 1000)}
     assert listed[0] == [1, 2, 3] and listed[2] == [0, 1, 3] and listed[20] == [0, 1, 2] and listed[1000] == [0, 1, 2]
 
 
+@pytest.mark.parametrize(("k", "rounds"), [(1, (0.5, 0.2, 0.05)), (4, (0.9,)), (25, ()), (200, (0.3,))])
+def test_nearest_neighbours_match_brute_force_without_a_cut(spark, k, rounds):
+    rng = np.random.default_rng(5)
+    sets = {e: frozenset(int(v) for v in rng.zipf(1.6, size=rng.integers(1, 12)) % 60) for e in range(120)}
+    sets |= {200 + e: sets[e % 4] for e in range(20)} | {300: frozenset([1000]), 301: frozenset(range(2000, 2300)), 302: frozenset(range(2000, 2310))}
+    df = spark.createDataFrame([(e, t) for e, s in sets.items() for t in s], "entry_id INT, token INT")
+    near, members = similarity.nearest_representatives(df, k, rounds)
+    got = sorted((r["a"], r["rank"], r["b"], round(r["weight"], 9)) for r in similarity.knn(near, members, k).collect())
+    want = []
+    for a, s in sets.items():
+        others = sorted((-len(s & t) / len(s | t), b) for b, t in sets.items() if b != a and s & t)
+        want += [(a, i, b, round(-w, 9)) for i, (w, b) in enumerate(others[:k], 1)]
+    assert got == sorted(want)
+
+
 @pytest.mark.parametrize("width", [3, 64, 65, 1000])
 def test_vector_sum_of_any_width(spark, width):
     from termweave.operators import graph
