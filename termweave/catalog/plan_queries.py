@@ -314,5 +314,5 @@ def _(t):
     rows = t.aspect_predictions().select("entry_id", "term", "score")
     rows.repartition(3).write.parquet(f"{base}/in")  # an entry's rows come in several batches
     closure = dag.ancestors(t.ontology_edges(), t.ontology_terms())
-    incremental_finalize(t.spark, f"{base}/in", f"{base}/out", f"{base}/state", closure, schema, k=10, max_files=1)
-    return read_finished(t.spark, f"{base}/out")
+    incremental_finalize(t.spark, f"{base}/in", f"{base}/out", f"{base}/state", closure, schema, max_files=1)
+    return read_finished(t.spark, f"{base}/out", k=10)

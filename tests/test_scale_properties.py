@@ -182,6 +182,32 @@ def test_incremental_finalize_resumes(spark, tmp_path):
     # late rows of entry 1 count together with the earlier ones; entry 7 is new
     both = arrives([(1, 2, 0.25), (1, 1, 0.75), (7, 2, 0.25)])
     assert both == [(1, 1, "0.75"), (1, 2, "0.5"), (7, 1, "0.25"), (7, 2, "0.25")]
+    # a batch writes the keys that it holds and nothing of the history
+    third = arrives([(9, 5, 0.125)])
+    assert third == [*both, (9, 5, "0.125")]
+    batches = spark.read.parquet(out).groupBy("batch_id").count().collect()
+    assert {r["batch_id"]: r["count"] for r in batches} == {0: 2, 1: 4, 2: 1}
+
+
+def test_a_retried_batch_writes_its_rows_once(spark, tmp_path):
+    import shutil
+
+    from termweave.streaming.incremental import read_finished
+
+    schema = "entry_id BIGINT, term BIGINT, score DOUBLE"
+    src, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    closure = spark.createDataFrame([(2, 1), (3, 1)], "term BIGINT, ancestor BIGINT")
+    for rows in ([(1, 2, 0.5)], [(1, 3, 0.75), (1, 2, 0.125)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        incremental_finalize(spark, src, out, state, closure, schema)
+    want = sorted(tuple(r) for r in read_finished(spark, out).collect())
+    assert [r[:3] for r in want] == [(1, 1, 0.75), (1, 2, 0.5), (1, 3, 0.75)]
+    # the second batch fails after its output, before its commit: it runs again
+    (tmp_path / "state" / "commits" / "1").unlink()
+    (tmp_path / "state" / "commits" / ".1.crc").unlink(missing_ok=True)
+    shutil.rmtree(out + "/batch_id=1")
+    incremental_finalize(spark, src, out, state, closure, schema)
+    assert sorted(tuple(r) for r in read_finished(spark, out).collect()) == want
 
 
 @pytest.mark.parametrize("kind", ["double", "bigint", "decimal(38,3)", "string"])
