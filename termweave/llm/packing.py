@@ -35,25 +35,36 @@ def differencing(sizes: list[int], ways: int) -> list[list[int]]:
     """Item numbers of each of ``ways`` parts with near-equal sums.
 
     A partial partition is a vector of part sums, falling; the heap gives the two with the largest
-    spread, and one is added to the other in opposite order.
+    spread, and one is added to the other in opposite order. A merge keeps only its two sides and the order
+    of its sums; the parts are told once, from the last merge down.
     """
-    heap = []
+    if not sizes:
+        return [[] for _ in range(ways)]
+    heap, merges = [], []
     for item, size in enumerate(sizes):
         sums = np.zeros(ways, np.int64)
         sums[0] = size
-        heap.append((-size, item, sums, [[item], *([] for _ in range(ways - 1))]))
+        heap.append((-size, item, sums))
     heapq.heapify(heap)
-    made = len(sizes)
     while len(heap) > 1:
-        _, _, sums, parts = heapq.heappop(heap)
-        _, _, other, others = heap[0]
+        _, a, sums = heapq.heappop(heap)
+        _, b, other = heap[0]
         sums = sums + other[::-1]
-        parts = [a + b for a, b in zip(parts, reversed(others), strict=True)]
         order = np.argsort(-sums, kind="stable")
-        sums, parts = sums[order], [parts[i] for i in order]
-        heapq.heapreplace(heap, (int(sums[-1] - sums[0]), made, sums, parts))
-        made += 1
-    return heap[0][3] if heap else [[] for _ in range(ways)]
+        sums = sums[order]
+        heapq.heapreplace(heap, (int(sums[-1] - sums[0]), len(sizes) + len(merges), sums))
+        merges.append((a, b, order))
+    window = {heap[0][1]: np.arange(ways)}  # of each part of a partition, where it ends up
+    for number in range(len(sizes) + len(merges) - 1, len(sizes) - 1, -1):
+        a, b, order = merges[number - len(sizes)]
+        ends = window.pop(number)
+        placed = np.empty(ways, np.int64)
+        placed[order] = ends
+        window[a], window[b] = placed, placed[::-1]
+    parts: list[list[int]] = [[] for _ in range(ways)]
+    for item in range(len(sizes)):
+        parts[int(window[item][0])].append(item)
+    return parts
 
 
 def windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -122,11 +133,8 @@ def pack(
     open_ = F.col("length") < capacity
     tokens = pieces.agg(F.sum(F.when(open_, F.col("length")))).first()[0] or 0
     groups = max(1, round(tokens / (group_windows * capacity)))
-    pieces = pieces.withColumn("_like", F.xxhash64(F.col(id_col), "start", "ids_crc32"))
-    # Pieces with many copies are spread by their position in the written table.
-    many = pieces.filter(open_).groupBy("_like").count().filter(F.col("count") > group_windows)
-    salt = F.when(F.col("_copies").isNotNull(), F.col("_row"))
-    key = F.pmod(F.xxhash64("_like", salt), F.lit(groups))
+    # Equal pieces, of repeated rows, are told apart by their place in the written table.
+    key = F.pmod(F.xxhash64(F.col(id_col), "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
 
     def place(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(id_col, "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
@@ -141,10 +149,7 @@ def pack(
         rows = rows.set_column(rows.schema.get_field_index("sequence_id"), "sequence_id", pa.array(base + number))
         return rows.append_column("offset", pa.array(offset))
 
-    marked = pieces.withColumn("_row", F.monotonically_increasing_id()).filter(open_)
-    marked = marked.join(many.select("_like", F.col("count").alias("_copies")), "_like", "left")
-    grouped = marked.withColumn("sequence_id", key).drop("_like", "_row", "_copies")
-    pieces = pieces.drop("_like")
+    grouped = pieces.filter(open_).withColumn("sequence_id", key)
     placed = grouped.groupBy("sequence_id").applyInArrow(
         place, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, {_PIECE}, sequence_id long, offset long"
     )
