@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +49,26 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offs - offs[0], raw[offs[0] : offs[-1]]
 
 
+#: What a worker keeps between tasks of one operator; called when another one needs the room.
+KEPT: list[Callable[[], None]] = []
+
+
+#: Of the C library; None where it is not glibc.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def give_back() -> None:
-    """Return Arrow's free memory: a worker lives on, and other operators need the room."""
+    """Return free memory of Arrow and of the C heap: a worker lives on, and other operators need the room."""
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def make_room() -> None:
+    """Drop what other operators' tasks have left in this worker."""
+    for drop in KEPT:
+        drop()
+    give_back()
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -124,13 +142,15 @@ def to_blocks(docs: DataFrame, columns: list[str], blocks: int, id_col: str, tex
                 found.append(int(numbers[part[0]]))
                 packed.append(sink.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(packed, pa.binary())], ["block", "rows"])
+            del rest, found, packed
+            make_room()
 
     return narrow.mapInArrow(deal, "block int, rows binary")
 
 
 def from_blocks(packed: pa.ChunkedArray) -> pa.Table:
     """The rows of a block, by id and then text, so that their order is the same in every pass."""
-    give_back()
+    make_room()
     tables = [pa.ipc.open_stream(x.as_buffer()).read_all() for chunk in packed.chunks for x in chunk]
     rows = pa.concat_tables(tables).combine_chunks()
     names = rows.column_names[:2]

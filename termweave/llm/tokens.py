@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import ragged
+from .common import KEPT, ragged
 
 #: Words a worker remembers; beyond it starts anew.
 CACHE_WORDS = 400_000
@@ -144,3 +144,6 @@ def with_end(flat: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarra
     """The ids with one end id after each text."""
     out = np.insert(flat, ends[1:], end_id) if len(ends) > 1 else flat
     return out, ends + np.arange(len(ends))
+
+
+KEPT.append(_ENCODERS.clear)
