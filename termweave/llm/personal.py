@@ -238,14 +238,14 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The same rows and columns with every span of the text replaced by its kind in brackets.
 
-    Overlapping spans are masked as one, with the kind of the longest.
+    Overlapping spans are masked as one, with the kind of the longest. Candidates are found once and
+    written with their rows; a row travels as one struct, so no column's name can clash.
     """
-    weights = train(save(candidates(docs, text_col), "personal"))
-    columns = docs.columns
-    df = candidates(docs, text_col, columns)
-    spans = chosen(F.col("candidates"), weights)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    df = save(candidates(rows, "text", ["row"]), "personal")
+    spans = chosen(F.col("candidates"), train(df))
     by_start = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    text = F.col(text_col)
+    text = F.col("row")[text_col]
     fields = ("made", "at", "start", "end", "kind", "longest")  # the text up to ``at``, and the span that is still open
     state_of = lambda *x: F.struct(*(c.alias(n) for c, n in zip(x, fields, strict=True)))
     first = state_of(*(F.lit(x) for x in ("", 0, 0, 0, "", 0)))
@@ -266,9 +266,9 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         )
 
     end = lambda s: F.concat(closed(s), F.substring(text, s["end"] + 1, F.length(text)))
-    df = df.withColumn("_spans", by_start)
-    masked = F.when(text.isNull() | (F.size("_spans") == 0), text).otherwise(F.aggregate("_spans", first, step, end))
-    return df.select(*(masked.alias(c) if c == text_col else F.col(c) for c in columns))
+    df = df.select("row", by_start.alias("spans"))
+    masked = F.when(text.isNull() | (F.size("spans") == 0), text).otherwise(F.aggregate("spans", first, step, end))
+    return df.select(*(masked.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,3 +89,11 @@ def test_overlapping_spans_are_masked_whole(docs):
     assert {r.doc_id: r.text for r in P.redact(docs(rows)).collect()} == {
         1: "to [EMAIL] now", 2: "to [EMAIL] now", 3: "to [EMAIL] now", 4: "to [EMAIL] and [PHONE].",
     }
+
+
+def test_redact_keeps_columns_with_the_names_it_uses(docs):
+    clash = {c: F.lit(c) for c in ("_text", "_card", "_base", "candidates", "_spans", "row", "spans", "text2")}
+    df = docs([(1, "mail a@b.cd now"), (2, None)]).withColumns(clash)
+    out = P.redact(df)
+    assert out.dtypes == df.dtypes
+    assert {r.doc_id: (r.text, *(r[c] for c in clash)) for r in out.collect()} == {1: ("mail [EMAIL] now", *clash), 2: (None, *clash)}

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from test_jaccard import brute as groups
@@ -61,3 +62,27 @@ def test_personal_data_is_masked(stages):
 
 def test_packing_holds_all_ids(stages):
     check_pieces(stages[5].collect(), texts(stages[4]))
+
+
+def test_all_stages_on_hard_rows(spark, docs, prose):
+    """Null texts and ids, repeated rows, an empty text and columns with the stages' own names."""
+    same = prose(1, 60)
+    rows = [(i, prose(i, 60)) for i in range(30)] + [(50, same), (50, same), (None, prose(70, 60)), (None, None), (60, None), (61, "")]
+    names = ("_gone", "_text", "candidates", "_repeat_kept", "_block", "id", "component")
+    df = docs(rows).withColumns({c: F.lit(7) for c in names})
+    now = df
+    for name, stage in C.STAGES[:4]:
+        now = C.save(stage(spark, now, SF), name)
+        assert now.dtypes == df.dtypes, name
+        assert now.filter(" OR ".join(f"{c} <> 7" for c in names)).count() == 0
+    kept = now.collect()
+    assert {r.doc_id for r in kept} >= {None, 60} and sum(r.doc_id == 50 for r in kept) in (0, 2)
+    pieces = C.STAGES[4][1](spark, now, SF)
+    assert pieces.count() >= len(kept)
+
+
+def test_an_empty_table(spark, docs):
+    now = docs([(1, "a")]).limit(0)
+    for name, stage in C.STAGES:
+        now = C.save(stage(spark, now, SF), name)
+        assert now.count() == 0, name
