@@ -26,7 +26,7 @@ from termweave.llm.repeats import remove_repeats
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is not among ``ids``, with columns in their order."""
     gone = ids.select(F.col("doc_id").alias("_gone")).dropna().distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def _retext(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -46,8 +46,11 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = remove_repeats(docs, whole_characters=True, prefix="_repeat_")
-    text = F.when(F.col("text").isNotNull(), F.decode("_repeat_kept", "UTF-8"))
+    prefix = "_repeat_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    left = remove_repeats(docs, whole_characters=True, prefix=prefix)
+    text = F.when(F.col("text").isNotNull(), F.decode(f"{prefix}kept", "UTF-8"))
     return _retext(left.withColumn("text", text), docs.columns)
 
 
