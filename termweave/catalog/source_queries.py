@@ -377,8 +377,9 @@ def _(t):
 @query("sc22_read_batches", "entries", "SELECT batch_id, pos, entry_id FROM b", b=_BATCH)
 def _(t):
     path = scratch_path(t.spark, "batches")
-    sinks.read_batches(t.spark, path, lambda: ranking.length_batches(_lengths(t), 32))
-    return sinks.read_batches(t.spark, path)
+    lengths = _lengths(t)
+    sinks.read_batches(t.spark, path, lambda: ranking.length_batches(lengths, 32), 32, lengths)
+    return sinks.read_batches(t.spark, path, None, 32, lengths)
 
 
 @query("sc23_read_predicted_ids", "predictions", "SELECT DISTINCT CAST(entry_id AS VARCHAR) AS entry_id FROM predictions")

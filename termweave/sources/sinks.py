@@ -110,23 +110,47 @@ def batch_plan_path(manifest: str, size: int, folder: str | None = None, split:
     return f"{root}/{split + '_' if split else ''}batches_bs{size}"
 
 
-def write_batches(batches: DataFrame, path: str) -> None:
-    """SC22: batch plan as Parquet."""
-    batches.select("batch_id", "pos", "entry_id").write.mode("overwrite").parquet(path)
-
-
-def read_batches(spark: SparkSession, path: str, build=None, size: int | None = None) -> DataFrame:
+def plan_fingerprint(entries: DataFrame, size: int, drop_last: bool = False) -> str:
+    """What a batch plan is made of: its size and a mark of all ids and lengths, in whatever order."""
+    mark = F.xxhash64("entry_id", "length")
+    found = entries.agg(F.count(F.lit(1)), F.bit_xor(mark), F.sum(mark.cast("decimal(38,0)"))).first()
+    return "|".join(str(x) for x in (size, drop_last, *found))
+
+
+def write_batches(batches: DataFrame, path: str, fingerprint: str | None = None) -> None:
+    """SC22: batch plan as Parquet; the fingerprint is a constant column, so it is committed with the plan."""
+    columns = batches.select("batch_id", "pos", "entry_id", F.lit(fingerprint).cast("string").alias("_plan"))
+    columns.write.mode("overwrite").parquet(path)
+
+
+def read_batches(
+    spark: SparkSession,
+    path: str,
+    build=None,
+    size: int | None = None,
+    entries: DataFrame | None = None,
+    drop_last: bool = False,
+) -> DataFrame:
     """SC22: a finished batch plan is reused; otherwise ``build()`` is written first.
 
-    A plan counts as finished when its writer has committed it, and with ``size`` when no batch is
-    larger. Without ``build`` an unusable plan is an error.
+    A plan counts as finished when its writer has committed it. With ``entries`` (``entry_id, length``) and
+    ``size`` it must have been made of just these; a plan of another manifest, other lengths or another
+    size is made anew. With ``size`` alone no batch may be larger. Without ``build`` an unusable plan is an error.
     """
+    if entries is not None and size is None:
+        raise ValueError("the entries of a plan are compared together with its size")
+    wanted = plan_fingerprint(entries, size, drop_last) if entries is not None else None
     if _exists(spark, f"{path}/_SUCCESS"):
         plan = spark.read.parquet(path)
-        widest = plan.agg(F.max("pos")).first()[0] if size is not None else None
-        if widest is None or widest < size:
-            return plan
+        if wanted is not None:
+            made = plan.select("_plan").first() if "_plan" in plan.columns else None
+            usable = made is not None and made[0] == wanted
+        else:
+            widest = plan.agg(F.max("pos")).first()[0] if size is not None else None
+            usable = widest is None or widest < size
+        if usable:
+            return plan.drop("_plan")
     if build is None:
         raise FileNotFoundError(f"no usable batch plan in {path}")
-    write_batches(build(), path)
-    return spark.read.parquet(path)
+    write_batches(build(), path, wanted)
+    return spark.read.parquet(path).drop("_plan")

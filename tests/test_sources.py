@@ -195,6 +195,30 @@ def test_batch_plan_path_and_reuse(spark, tmp_path):
         sinks.read_batches(spark, path)
 
 
+def test_a_batch_plan_belongs_to_its_entries(spark, tmp_path):
+    path, made = str(tmp_path / "plan"), []
+
+    def plan(rows, size, drop_last=False):
+        df = spark.createDataFrame(rows, "entry_id STRING, length INT")
+
+        def build():
+            made.append(size)
+            return df.selectExpr("0L AS batch_id", "0L AS pos", "entry_id")
+
+        return sorted(r["entry_id"] for r in sinks.read_batches(spark, path, build, size, df, drop_last).collect())
+
+    first = [("a", 3), ("b", 5), ("c", 5)]
+    assert plan(first, 4) == plan(first[::-1], 4) == ["a", "b", "c"] and made == [4]
+    for rows, size, drop in (([("a", 3), ("b", 4), ("c", 5)], 4, False), (first, 4, False), (first, 2, False), (first, 2, True), ([*first, ("c", 5)], 2, True)):
+        before = len(made)
+        plan(rows, size, drop)
+        assert len(made) == before + 1, (rows, size)
+    sinks.write_batches(spark.createDataFrame([(0, 0, "a")], "batch_id BIGINT, pos BIGINT, entry_id STRING"), path)
+    assert plan(first, 4) == ["a", "b", "c"]  # one without a fingerprint is not trusted
+    with pytest.raises(ValueError):
+        sinks.read_batches(spark, path, None, None, spark.createDataFrame(first, "entry_id STRING, length INT"))
+
+
 def test_concat_first_by_place(spark, rows):
     from termweave.operators import relational
 
