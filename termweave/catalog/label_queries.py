@@ -50,8 +50,17 @@ FROM (SELECT DISTINCT entry_id FROM annotations) e CROSS JOIN voc v LEFT JOIN hi
     hits="SELECT DISTINCT a.entry_id, v.idx FROM annotations a JOIN voc v ON v.term = a.term")
 def _(t):
     vocab = labels.vocabulary(t.annotations()).filter("aspect = 'P'")
-    hot = labels.multi_hot(t.annotations(), vocab)
-    return hot.select("entry_id", F.array_join(F.col("labels").cast("array<string>"), "").alias("labels"))
+    return labels.label_text(labels.label_indices(t.annotations(), vocab))
+
+
+@query("ag04_label_indices", "annotations", """
+SELECT e.entry_id, CAST((SELECT count(*) FROM voc) AS INT) AS size, coalesce(h.n, 0) AS n_on, coalesce(h.line, '') AS line FROM (SELECT DISTINCT entry_id FROM annotations) e
+LEFT JOIN (SELECT entry_id, count(*) AS n, string_agg(CAST(idx AS VARCHAR), ' ' ORDER BY idx) AS line FROM hits GROUP BY 1) h ON h.entry_id = e.entry_id
+""", voc="SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM (SELECT DISTINCT term FROM annotations WHERE aspect = 'C')",
+    hits="SELECT DISTINCT a.entry_id, v.idx FROM annotations a JOIN voc v ON v.term = a.term")
+def _(t):
+    sparse = labels.label_indices(t.annotations(), labels.vocabulary(t.annotations()).filter("aspect = 'C'"))
+    return sparse.select("entry_id", "size", F.size("indices").cast("bigint").alias("n_on"), F.array_join("indices", " ").alias("line"))
 
 
 _STRATUM = "SELECT entry_id, string_agg(aspect, '' ORDER BY aspect) AS stratum FROM (SELECT DISTINCT entry_id, aspect FROM annotations) GROUP BY entry_id"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order import global_rank
@@ -32,28 +32,45 @@ def vocabulary(df: DataFrame) -> DataFrame:
     return ranked.select("aspect", "term", (F.col("_r") - 1).alias("idx"))
 
 
-def multi_hot(df: DataFrame, vocab: DataFrame, entries: DataFrame | None = None) -> DataFrame:
-    """AG04: 0/1 array per entry over a vocabulary of ``term, idx`` (one aspect).
+def label_indices(df: DataFrame, vocab: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """AG04, as it is kept and joined: ``entry_id, size, indices`` over a vocabulary of ``term, idx`` (one aspect).
 
-    The array has one slot per vocabulary term and belongs at the sink; operators use the long form.
+    ``indices`` are the sorted positions of an entry's terms, so a row is as long as the entry has terms
+    and not as the vocabulary; :func:`dense_labels` and :func:`label_text` decode it where a sink needs all places.
     """
     size = vocab.agg(F.count(F.lit(1))).scalar()
     hits = df.select("entry_id", "term").distinct().join(vocab.select("term", "idx"), "term")
     sets = hits.groupBy("entry_id").agg(F.sort_array(F.collect_list("idx")).alias("_on"))
     everyone = (df if entries is None else entries).select("entry_id").distinct()
-    full = everyone.join(sets, "entry_id", "left").select(
-        "entry_id", F.coalesce("_on", F.array().cast("array<bigint>")).alias("_on"), size.cast("int").alias("_size")
+    return everyone.join(sets, "entry_id", "left").select(
+        "entry_id", size.cast("int").alias("size"), F.coalesce("_on", F.array().cast("array<bigint>")).alias("indices")
     )
-    # runs of zeros, each closed by a one, then the zeros after the last one
+
+
+def _zeros_between(indices: Column) -> tuple[Column, Column]:
+    """Zeros before each index, and behind the last one."""
+    gaps = F.transform(indices, lambda x, i: (x - F.coalesce(F.get(indices, i - 1), F.lit(-1)) - 1).cast("int"))
+    return gaps, F.col("size") - 1 - F.coalesce(F.get(indices, F.size(indices) - 1), F.lit(-1)).cast("int")
+
+
+def label_text(sparse: DataFrame) -> DataFrame:
+    """Labels of :func:`label_indices` as one text of 0 and 1 per entry."""
+    gaps, tail = _zeros_between(F.col("indices"))
+    ones = F.array_join(F.transform(gaps, lambda n: F.concat(F.repeat(F.lit("0"), n), F.lit("1"))), "")
+    return sparse.select("entry_id", F.concat(ones, F.repeat(F.lit("0"), tail)).alias("labels"))
+
+
+def dense_labels(sparse: DataFrame) -> DataFrame:
+    """Labels of :func:`label_indices` as one 0/1 array per entry."""
+    gaps, tail = _zeros_between(F.col("indices"))
     zero = F.lit(0)
-    runs = F.transform(
-        "_on",
-        lambda idx, i: F.concat(
-            F.array_repeat(zero, (idx - F.coalesce(F.get("_on", i - 1), F.lit(-1)) - 1).cast("int")), F.array(F.lit(1))
-        ),
-    )
-    tail = F.array_repeat(zero, F.col("_size") - 1 - F.coalesce(F.get("_on", F.size("_on") - 1), F.lit(-1)).cast("int"))
-    return full.select("entry_id", F.concat(F.flatten(runs), tail).alias("labels"))
+    runs = F.flatten(F.transform(gaps, lambda n: F.concat(F.array_repeat(zero, n), F.array(F.lit(1)))))
+    return sparse.select("entry_id", F.concat(runs, F.array_repeat(zero, tail)).alias("labels"))
+
+
+def multi_hot(df: DataFrame, vocab: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    """AG04 at the sink: 0/1 array per entry over a vocabulary of ``term, idx`` (one aspect)."""
+    return dense_labels(label_indices(df, vocab, entries))
 
 
 def stratum_key(df: DataFrame, entries: DataFrame | None = None) -> DataFrame:

@@ -89,6 +89,19 @@ def test_score_propagation_and_specific(spark, rows):
     assert rows(dag.most_specific(scores, dag.descendants(edges, terms))) == [("e", "2", 0.4), ("e", "3", 0.6), ("f", "1", 0.2)]
 
 
+def test_labels_decode_to_the_same_places(spark, rows):
+    vocab = spark.createDataFrame([(f"t{i}", i) for i in range(7)], "term STRING, idx BIGINT")
+    data = {"A": [0, 6], "B": [3], "C": [], "D": list(range(7))}
+    notes = spark.createDataFrame([(e, f"t{i}") for e, x in data.items() for i in [*x, *x]] + [("C", "unknown")], "entry_id STRING, term STRING")
+    sparse = labels.label_indices(notes, vocab)
+    assert rows(sparse) == [(e, 7, x) for e, x in data.items()]
+    places = {e: [int(i in x) for i in range(7)] for e, x in data.items()}
+    assert dict(rows(labels.dense_labels(sparse))) == places
+    assert dict(rows(labels.label_text(sparse))) == {e: "".join(map(str, x)) for e, x in places.items()}
+    nothing = labels.label_indices(notes, vocab.limit(0))
+    assert set(rows(nothing, "size", "indices")[0][1]) == set() and {r[1] for r in rows(labels.label_text(nothing))} == {""}
+
+
 def test_multi_hot(spark, rows):
     notes = spark.createDataFrame([("A", "GO:1"), ("A", "GO:2"), ("B", "GO:2")], "entry_id STRING, term STRING")
     vocab = spark.createDataFrame([("GO:1", 0), ("GO:2", 1), ("GO:3", 2)], "term STRING, idx BIGINT")
