@@ -2,12 +2,14 @@
 
 Both vocabularies cut a text at single blanks, at line ends and between a letter and a stop or comma
 before any merge, so a text's ids are the ids of its pieces one after the other. Arrow finds the distinct words of a slice; only words that the
-worker has not met are encoded. Texts whose blanks do not allow the cut are encoded as one.
+worker has not met are encoded. Texts whose blanks do not allow the cut, or that spell a special token,
+are encoded as one, as a plain call of the library does.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,11 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             layout = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.blank = layout["normalizer"] is None
+        #: Literals that the library takes for single ids; texts that hold one are encoded as one.
+        self.special = "|".join(f"(?:{re.escape(t['content'])})" for t in layout.get("added_tokens") or [])
         self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in layout["model"]["vocab"].items():
             self.edge[number] = token.startswith("\u0120") if self.blank else token.endswith("</w>")
@@ -89,10 +92,15 @@ class Encoder:
     def _cut(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, pa.LargeListArray]:
         """Which texts can't be cut, and the pieces of the others."""
         odd = np.zeros(len(texts), bool)
+        if self.special:
+            odd = np.array(pc.match_substring_regex(texts, self.special, ignore_case=True))
+        empty, line = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
         if self.blank:
-            odd = np.asarray(pc.match_substring_regex(texts, f"^{_WHITE}|{_WHITE}{_WHITE}|{_GLUE}"))
-            empty, line = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
-            cut = pc.replace_substring(pc.if_else(pa.array(odd), empty, texts), "\n", " \n")
+            odd |= np.asarray(pc.match_substring_regex(texts, f"^{_WHITE}|{_WHITE}{_WHITE}|{_GLUE}"))
+        if odd.any():
+            texts = pc.if_else(pa.array(odd), empty, texts)
+        if self.blank:
+            cut = pc.replace_substring(texts, "\n", " \n")
             cut = pc.replace_substring_regex(cut, "([a-z])([.,])", rf"\1 {_GLUE}\2")
             cut = pc.binary_join_element_wise(line, cut, empty)
         else:

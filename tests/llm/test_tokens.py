@@ -12,21 +12,20 @@ from termweave.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 HARD = [
-    None, "", " ", "\n", "a", " a", "a ", "a\n", "a\n\nb", "a  b", "it's  fine", "it's\n's x", "<|endoftext|> a", "a b   c", "É\x1cb",
+    None, "", " ", "\n", "a", " a", "a ", "a\n", "a\n\nb", "a  b", "it's  fine", "it's\n's x", "<|endoftext|> a", "b<|ENDOFTEXT|>", "x <|startoftext|>y\nz", "<|endoftext|>" * 3, "<|endo ftext|>", "a b   c", "É\x1cb",
     "x\x01y z.", "日本語 テキスト", "a\tb\n\tc", "Σας ΣΑΣ", "a ́b", "x.,y a,.b. c.,", "w" * 40_000,
 ]
 
 
 def library(name):
-    t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path(name))
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_words_give_the_ids_of_whole_texts(name, monkeypatch):
     rng = random.Random(2)
-    texts = HARD + ["".join(rng.choice("ab'st 1.,\n éS\t!\x85　") for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts = HARD + ["".join(rng.choice(["<|endoftext|>", "<|", "a", " ", ".", "|>", "é", "\n"]) for _ in range(9)) for _ in range(300)]
+    texts += ["".join(rng.choice("ab'st 1.,\n éS\t!\x85　") for _ in range(rng.randint(0, 40))) for _ in range(1500)]
     t, own = library(name), tokens.Encoder(P.path(name))
     for bound in (tokens.CACHE_WORDS, 50):
         monkeypatch.setattr(tokens, "CACHE_WORDS", bound)
