@@ -28,6 +28,9 @@ _ENCODERS: dict[str, Encoder] = {}
 class Encoder:
     """Ids of whole texts; ``blank`` tells that the vocabulary keeps blanks as part of words."""
 
+    #: Pattern of literals that the library takes for single ids; texts that hold one are encoded as one.
+    special = ""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -37,7 +40,6 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.blank = layout["normalizer"] is None
-        #: Literals that the library takes for single ids; texts that hold one are encoded as one.
         self.special = "|".join(f"(?:{re.escape(t['content'])})" for t in layout.get("added_tokens") or [])
         self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in layout["model"]["vocab"].items():
