@@ -46,6 +46,13 @@ def _members(characters: str) -> np.ndarray:
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _HEX = _members(_DIGIT + "abcdef")
 _TOKEN = _members(_LOWER + _UPPER + _DIGIT + "+/_=-")
+_VALUE = re.compile(rb"[A-Za-z0-9+/_-]+=*")
+_HEX_RUN = re.compile(rb"[0-9a-fA-F]+")
+_SEGMENT = re.compile(rb"[A-Za-z0-9]+|=+")
+#: A segment that a span does not grow over: a word, a name of several words, a number.
+_WORD = re.compile(rb"[A-Z]?[a-z]{2,}|[A-Z]{3,}|[0-9]{3,}")
+#: Segments that make no secret, however many stand in a row: words, names of several words, numbers.
+_PLAIN = re.compile(rb"(?:[A-Z]?[a-z]{2,})+|[A-Za-z]|[A-Z]+|[0-9]+|=+")
 _DIGITS, _LOWERS, _UPPERS = _members(_DIGIT), _members(_LOWER), _members(_UPPER)
 
 
@@ -84,21 +91,66 @@ def high_entropy(candidate: bytes, window: int, least: float) -> tuple[int, int]
     return None if first < 0 else (first, last)
 
 
-def _classes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """How many digits, lower and upper case letters each run holds."""
-    found = []
-    for lut in (_DIGITS, _LOWERS, _UPPERS):
-        sums = np.concatenate(([0], np.cumsum(lut[raw], dtype=np.int32)))
-        found.append(sums[ends] - sums[starts])
-    return tuple(found)
-
-
 def _mixed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which runs are more than a word or a number."""
-    digits, lowers, uppers = _classes(raw, starts, ends)
+    sums = [np.concatenate(([0], np.cumsum(lut[raw], dtype=np.int32))) for lut in (_DIGITS, _LOWERS, _UPPERS)]
+    return _varied(*(x[ends] - x[starts] for x in sums))
+
+
+def _varied(digits, lowers, uppers):
     return (digits > 0) & (lowers + uppers > 0) | (lowers > 2) & (uppers > 2)
 
 
+def _is_mixed(run: bytes) -> bool:
+    counts = (len(run) - len(run.translate(None, x)) for x in (_DIGIT.encode(), _LOWER.encode(), _UPPER.encode()))
+    return bool(_varied(*counts))
+
+
+def _grown(run: bytes, first: int, last: int) -> tuple[int, int]:
+    """The covered part, grown over the segments of the run beside it up to a plain word or number."""
+    segments = [m.span() for m in _SEGMENT.finditer(run)]
+    for a, b in segments:
+        if b >= last:
+            if a >= last and _WORD.fullmatch(run, a, b):
+                break
+            last = b
+    for a, b in reversed(segments):
+        if a <= first:
+            if b <= first and _WORD.fullmatch(run, a, b):
+                break
+            first = a
+    return first, last
+
+
+def class_spans(piece: bytes, window: int, hex_bits: float, base64_bits: float) -> list[tuple[str, int, int]]:
+    """Spans (kind, start, end) of a piece of token characters, with windows per character class.
+
+    The piece is cut behind each ``=`` (names before values; the padding of a value stays with it). A run of
+    hexadecimal digits in either case has windows of its own, judged by the limit of 16 characters, and
+    is reported whole; what is left has windows of the wide class. Paths and names that consist of plain words
+    and numbers alone are allowed.
+    """
+    spans = []
+    for part in _VALUE.finditer(piece):
+        at, rest = part.start(), []
+        for m in _HEX_RUN.finditer(piece, *part.span()):
+            if m.end() - m.start() < window or not _is_mixed(m[0]):
+                continue
+            if high_entropy(m[0].lower(), window, hex_bits):
+                spans.append(("entropy_hex", *m.span()))
+                rest.append((at, m.start()))
+                at = m.end()
+        rest.append((at, part.end()))
+        for a, b in rest:
+            run = piece[a:b]
+            if b - a >= window and _is_mixed(run) and (found := high_entropy(run, window, base64_bits)):
+                first, last = _grown(run, *found)
+                if all(_PLAIN.fullmatch(x) for x in _SEGMENT.findall(run, first, last)):
+                    continue
+                spans.append(("entropy_base64", a + first, a + last))
+    return spans
+
+
 def _without(
     raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, allowed: list[re.Pattern], window: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -151,11 +203,8 @@ def scan_texts(
     mixed = _mixed(raw, starts, ends)
     starts, ends = _without(raw, starts[mixed], ends[mixed], [re.compile(p) for p in allow], window)
     for k in np.flatnonzero(_mixed(raw, starts, ends)):
-        found = raw[starts[k] : ends[k]].tobytes()
-        lower = found.lower()
-        kind, bits = ("entropy_hex", hex_bits) if not lower.strip(b"0123456789abcdef") else ("entropy_base64", base64_bits)
-        if (at := high_entropy(lower if kind == "entropy_hex" else found, window, bits)) is not None:
-            add(kind, starts[k] + at[0], starts[k] + at[1])
+        for kind, a, b in class_spans(raw[starts[k] : ends[k]].tobytes(), window, hex_bits, base64_bits):
+            add(kind, starts[k] + a, starts[k] + b)
     for found in spans:
         found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return spans

@@ -88,3 +88,30 @@ def test_keys_beside_allowed_words_are_found():
         assert all(set(range(m.start(), m.end())) <= covered for m in re.finditer(key, text)), text
         assert not any(set(range(m.start(), m.end())) & covered for m in re.finditer("example|sample|dummy|123e4567", text)), text
     assert S.scan_texts(pa.array(["my-example-key-1", "xxxxxxxxxxxxxxxxxxxxxxxxAb1"])) == [[], []]
+
+
+def test_planted_keys_are_found_whole_and_prose_is_left_alone(spark):
+    rng = random.Random(11)
+    alphabets = {"lower": "0123456789abcdef", "upper": "0123456789ABCDEF", "wide": "+/" + "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))}
+    for name, letters in alphabets.items():
+        for before, after in (("", ""), ("api_id=", ""), ("API_ID=", ""), ("key_", ""), ("config/", ""), ("id: ", " end"), ("k=", "==")):
+            keys = ["".join(rng.choices(letters, k=32)) for _ in range(400)]
+            rows = S.scan_texts(pa.array([f"see {before}{k}{after}" for k in keys]))
+            at = 4 + len(before)
+            whole = sum(any(k.startswith("entropy") and a <= at and b >= at + 32 for k, a, b in found) for found in rows)
+            # a key whose windows all fall short of the limit is the method's miss
+            least = 0.95
+            assert whole >= least * len(keys), (name, before, whole)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null").collect()]
+    added = [(t, s) for t, x in zip(texts, S.scan_texts(pa.array(texts)), strict=True) for s in x if s[0] not in S.BASE_KINDS]
+    words = sum(len(t.split()) for t in texts)
+    assert all(any(c.isdigit() for c in t[a:b]) or not t[a:b].islower() for t, (_, a, b) in added)
+    assert len(added) < words / 1000
+    prose = ["https://example.org/wiki/The_Quick_Brown_Fox/Jumps-over-the-lazy-dog", "CamelCaseIdentifiersAreNoSecrets snake_case_identifiers_2024_01"]
+    assert S.scan_texts(pa.array(prose)) == [[], []]
+
+
+def test_a_span_stops_at_plain_words():
+    key = "h7Gk29sLqPz4Xw8VbNm3Tr6Y"
+    (found,) = S.scan_texts(pa.array([f"/static/assets/{key}/index/page"]))
+    assert [f"/static/assets/{key}/index/page"[a:b] for _, a, b in found][0].strip("/").startswith(("assets", key))
