@@ -1,12 +1,13 @@
 """Token-id files: independent zstandard frames, a trailing seek table and a checksum per frame.
 
 Layout of a file: frames of little-endian ids, each a zstandard frame of its own with content checksum;
-a skippable frame with the document index (ids, number of ids, first document of each frame); a
+a skippable frame with the document index (ids, number of ids, first document of each frame, null ids); a
 skippable frame with the seek table of the zstandard seekable format (compressed size, size and
 checksum of each frame). Any zstandard tool reads the ids as one stream; a reader that wants a few
 documents reads both tables from the end of the file and decompresses only the frames it needs.
 
-Documents are written in ascending id order, null ids first, ties by text. A null text has the end id
+Documents are written in ascending id order, null ids first, ties by the hash of the text. Files are cut by
+(id, hash, row), so many rows of one id, or without one, are spread over files like others. A null text has the end id
 alone, an empty table gives no file, repeated rows are written again, other columns are ignored.
 """
 
@@ -56,7 +57,7 @@ class TokenWriter:
         self.frame_ids, self.waiting, self.held = frame_ids, [], 0
         self.entries: list[tuple[int, int, int]] = []
         self.counts: list[int] = []
-        self.ids: list[int] = []
+        self.ids: list[int | None] = []
         self.firsts: list[int] = []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
@@ -67,7 +68,7 @@ class TokenWriter:
         self.waiting.append(ids)
         self.held += len(ids)
         self.counts.append(len(ids))
-        self.ids.append(-(1 << 63) if doc_id is None else doc_id)
+        self.ids.append(doc_id)
 
     def _flush(self) -> None:
         raw = np.concatenate(self.waiting).astype(self.kind).tobytes()
@@ -81,7 +82,10 @@ class TokenWriter:
             self._flush()
         index = struct.pack("<BQ", self.kind.itemsize, len(self.counts))
         index += zstandard.ZstdCompressor(level=3).compress(
-            np.array(self.ids, "<i8").tobytes() + np.array(self.counts, "<u4").tobytes() + np.array(self.firsts, "<u4").tobytes()
+            np.array([i or 0 for i in self.ids], "<i8").tobytes()
+            + np.array(self.counts, "<u4").tobytes()
+            + np.array(self.firsts, "<u4").tobytes()
+            + np.packbits(np.array([i is None for i in self.ids], bool)).tobytes()
         )
         self.stream.write(struct.pack("<II", SKIP_INDEX, len(index)) + index)
         seek = np.array(self.entries, _ENTRY).tobytes() + struct.pack("<I", len(index))
@@ -103,11 +107,13 @@ class TokenReader:
         index_size = struct.unpack("<I", raw[-4:])[0]
         index = self._at(table_at - 8 - index_size, index_size)
         width, docs = struct.unpack("<BQ", index[:9])
-        tables = zstandard.ZstdDecompressor().decompress(index[9:], max_output_size=docs * 12 + n * 4) if docs else b""
+        size = docs * 12 + n * 4 + -(-docs // 8)
+        tables = zstandard.ZstdDecompressor().decompress(index[9:], max_output_size=size) if docs else b""
         self.kind = np.dtype(f"<u{width}")
         self.ids = np.frombuffer(tables, "<i8", docs)
         self.counts = np.frombuffer(tables, "<u4", docs, docs * 8).astype(np.int64)
         self.firsts = np.append(np.frombuffer(tables, "<u4", n, docs * 12), docs).astype(np.int64)
+        self.nulls = np.unpackbits(np.frombuffer(tables, np.uint8, -(-docs // 8), docs * 12 + n * 4), count=docs).astype(bool)
         self.places = np.concatenate(([0], np.cumsum(self.entries["packed"], dtype=np.int64)))
 
     def _at(self, offset: int, size: int) -> bytes:
@@ -127,7 +133,7 @@ class TokenReader:
     def documents(self, wanted: set[int] | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Id, ids before it in the file and ids of all documents, or of the wanted ones."""
         starts = np.concatenate(([0], np.cumsum(self.counts)))
-        asked = None if wanted is None else np.isin(self.ids, np.array(sorted(wanted), np.int64))
+        asked = None if wanted is None else np.isin(self.ids, np.array(sorted(wanted), np.int64)) & ~self.nulls
         for number in range(len(self.entries)):
             first, stop = self.firsts[number], self.firsts[number + 1]
             if asked is not None and not asked[first:stop].any():
@@ -135,7 +141,7 @@ class TokenReader:
             ids = self.frame(number)
             for doc in range(first, stop):
                 if asked is None or asked[doc]:
-                    own = None if self.ids[doc] == -(1 << 63) else int(self.ids[doc])
+                    own = None if self.nulls[doc] else int(self.ids[doc])
                     at = starts[doc] - starts[first]
                     yield own, int(starts[doc]), ids[at : at + self.counts[doc]]
 
@@ -145,12 +151,14 @@ def write_token_files(
 ) -> DataFrame:
     """Encode all documents into token files below the shared folder; returns the files in order.
 
-    A range partition of the id is one file. The file's name is new in every attempt and becomes valid
+    A range partition of (id, hash of the text, row) is one file. The file's name is new in every attempt and becomes valid
     by its row in the returned manifest, so lost executors and second attempts leave no false data.
     """
     base = scratch_path(docs.sparkSession, "tokens")
     ranged = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranged = ranged.repartitionByRange("id").sortWithinPartitions("id", "text")
+    keys = [F.col("id"), F.xxhash64("text"), F.col("row")]
+    ranged = ranged.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ranged = ranged.drop("row")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sink, writer = encoder(tokenizer), None, None

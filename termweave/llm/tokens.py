@@ -9,6 +9,7 @@ are encoded as one, as a plain call of the library does.
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -30,6 +31,8 @@ class Encoder:
 
     #: Pattern of literals that the library takes for single ids; texts that hold one are encoded as one.
     special = ""
+    #: What all these literals begin with, whatever the case: a plain search that spares most texts the pattern.
+    mark = ""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -40,7 +43,9 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.blank = layout["normalizer"] is None
-        self.special = "|".join(f"(?:{re.escape(t['content'])})" for t in layout.get("added_tokens") or [])
+        literals = [t["content"] for t in layout.get("added_tokens") or []]
+        self.special = "|".join(f"(?:{re.escape(x)})" for x in literals)
+        self.mark = re.match("[^A-Za-z]*", os.path.commonprefix(literals))[0] if "".join(literals).isascii() else ""
         self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in layout["model"]["vocab"].items():
             self.edge[number] = token.startswith("\u0120") if self.blank else token.endswith("</w>")
@@ -95,7 +100,9 @@ class Encoder:
         """Which texts can't be cut, and the pieces of the others."""
         odd = np.zeros(len(texts), bool)
         if self.special:
-            odd = np.array(pc.match_substring_regex(texts, self.special, ignore_case=True))
+            some = np.flatnonzero(np.asarray(pc.match_substring(texts, self.mark)))
+            if len(some):
+                odd[some] = np.asarray(pc.match_substring_regex(texts.take(pa.array(some)), self.special, ignore_case=True))
         empty, line = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
         if self.blank:
             odd |= np.asarray(pc.match_substring_regex(texts, f"^{_WHITE}|{_WHITE}{_WHITE}|{_GLUE}"))

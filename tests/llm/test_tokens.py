@@ -146,3 +146,14 @@ def test_repeated_rows_are_spread_over_groups(spark):
     for r in got:
         groups[r.sequence_id >> 20] = groups.get(r.sequence_id >> 20, 0) + 1
     assert sum(groups.values()) == 600 and len(groups) > 30 and max(groups.values()) < 60
+
+
+def test_one_id_for_many_rows_is_spread_over_files(spark, docs):
+    rows = [(None, f"text {i}") for i in range(300)] + [(7, "same text")] * 300 + [(-(1 << 63), "x"), (8, None)]
+    manifest = token_files.write_token_files(docs(rows).repartition(6), P.path("byte_bpe_50k.json"))
+    assert manifest.count() > 2 and manifest.agg({"n_docs": "max"}).first()[0] < 400
+    back = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.start)
+    assert len(back) == len(rows)
+    ids = [r.doc_id for r in back]
+    assert ids == [None] * 300 + [-(1 << 63)] + [7] * 300 + [8]
+    assert [r.start for r in back] == list(np.cumsum([0, *(r.n_tokens for r in back)])[:-1])
