@@ -150,7 +150,11 @@ def test_repeated_rows_are_spread_over_groups(spark):
 
 def test_one_id_for_many_rows_is_spread_over_files(spark, docs):
     rows = [(None, f"text {i}") for i in range(300)] + [(7, "same text")] * 300 + [(-(1 << 63), "x"), (8, None)]
+    joined = "spark.sql.adaptive.coalescePartitions.enabled"  # small partitions stay, as large ones do
+    before = spark.conf.get(joined)
+    spark.conf.set(joined, "false")
     manifest = token_files.write_token_files(docs(rows).repartition(6), P.path("byte_bpe_50k.json"))
+    spark.conf.set(joined, before)
     assert manifest.count() > 2 and manifest.agg({"n_docs": "max"}).first()[0] < 400
     back = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.start)
     assert len(back) == len(rows)
