@@ -1,6 +1,7 @@
 """Readers and writers on small hand-made files."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -171,6 +172,36 @@ def test_weight_vector(spark, tmp_path, rows):
         tables.read_weight_vector(spark, str(tmp_path), vocab, "absent").collect()
 
 
+def test_large_lists_are_read_by_ranges(spark, tmp_path):
+    rng = random.Random(5)
+    pieces = ['"', "{", "}", "[", "]", "\\", "é", "\n", " ", '\\"', "a,b", "}{"]
+
+    def record(i):
+        tricky = "".join(rng.choices(pieces, k=rng.randint(0, 12)))
+        return {"entry_id": f"{i}{tricky}", "labels": [float(i)], "meta": {"x": [{"y": tricky}, {}]}, "lengths": [i] * rng.randint(0, 9)}
+
+    files = {"a.json": [record(i) for i in range(300)], "b.json": [], "c.json": [record(1)], "e.json": {"meta": {"k": "}]\"{"}, "records": [record(i) for i in range(40)]}}
+    for name, body in files.items():
+        (tmp_path / name).write_text(json.dumps(body, indent=rng.choice([None, 2]), ensure_ascii=False) + rng.choice(["", "\n"]))
+    settings = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    assert manifests.manifest_pieces(spark, str(tmp_path / "a.json")).select("block").distinct().count() > 20
+    ranged = sorted(map(str, manifests.read_manifest(spark, str(tmp_path)).drop("record_json").collect()))
+    cut = tmp_path.parent / f"{tmp_path.name}-cut"
+    cut.mkdir()
+    for k, end in enumerate((-1, -40, 200)):
+        broken = _write(cut / f"{k}.json", json.dumps(files["a.json"])[:end])
+        with pytest.raises(Exception, match="not a manifest"):
+            manifests.read_manifest(spark, broken).collect()
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    texts = spark.createDataFrame([(n, json.dumps(b)) for n, b in files.items()], "manifest STRING, text STRING")
+    assert ranged == sorted(map(str, manifests.parse_manifests(texts).drop("record_json").collect()))
+    assert len(ranged) == 341
+
+
 def test_manifest_keeps_unknown_fields(spark):
     df = spark.createDataFrame([("m", '[{"entry_id": "a", "prior": {"index": 3}}]')], "manifest STRING, text STRING")
     row = manifests.parse_manifests(df).collect()[0]
