@@ -124,7 +124,7 @@ class Encoder:
         firsts = np.asarray(lists.offsets).astype(np.int64)
         firsts = firsts - firsts[0]
         coded = lists.flatten().dictionary_encode()
-        codes, words = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        codes, words = np.asarray(coded.indices), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.blank:
             words = [w if w[:1] == "\n" else w[1:] if w[:1] == _GLUE else " " + w for w in words]
         if self.count + len(words) > CACHE_WORDS:
