@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import bind
 from ..schemas import FRAGMENT_ITEM
 
 
@@ -64,25 +63,17 @@ def fragment_bounds(item: Column) -> Column:
     """
 
     def first_whole(*names: str) -> Column:
-        numbers = F.array(*[item[n].try_cast("int") for n in names])
-        return F.get(F.filter(numbers, lambda v: v != 0), F.lit(0))
-
-    def bounds(given: Column) -> Column:
-        start, end, size = given["start"], given["end"], given["size"]
-        where = F.concat(start.cast("string"), F.lit(".."), end.cast("string"))
-        bad = F.raise_error(F.concat(F.lit("invalid fragment bounds "), where)).cast("int")
-        none = F.raise_error(F.lit("fragment has neither bounds nor sequence")).cast("int")
-        first = F.coalesce(start, F.lit(1))
-        span = end - start + 1
-        length = F.when(span > 0, span).when(span.isNotNull(), bad).when(size.isNull(), none).otherwise(size)
-        return F.struct(first.alias("start"), F.coalesce(end, first + size - 1).alias("end"), length.alias("length"))
-
-    given = F.struct(
-        first_whole("sequenceStart", "uniprotStart").alias("start"),
-        first_whole("sequenceEnd", "uniprotEnd").alias("end"),
-        F.length(item["sequence"]).alias("size"),
-    )
-    return bind(given, bounds)
+        return F.coalesce(*[F.nullif(item[n].try_cast("int"), F.lit(0)) for n in names])
+
+    start, end = first_whole("sequenceStart", "uniprotStart"), first_whole("sequenceEnd", "uniprotEnd")
+    size = F.length(item["sequence"])
+    where = F.concat(start.cast("string"), F.lit(".."), end.cast("string"))
+    bad = F.raise_error(F.concat(F.lit("invalid fragment bounds "), where)).cast("int")
+    none = F.raise_error(F.lit("fragment has neither bounds nor sequence")).cast("int")
+    first = F.coalesce(start, F.lit(1))
+    span = end - start + 1
+    length = F.when(span > 0, span).when(span.isNotNull(), bad).when(size.isNull(), none).otherwise(size)
+    return F.struct(first.alias("start"), F.coalesce(end, first + size - 1).alias("end"), length.alias("length"))
 
 
 def read_fragments(df: DataFrame, json_col: str = "metadata") -> DataFrame:
