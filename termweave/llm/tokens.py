@@ -64,11 +64,12 @@ class Encoder:
         """
         plain, others, parts, counts = [], [], [], []
         for w in words:
-            (plain if (w[1:].isalpha() and w[0] == " " if self.blank else w.isalpha()) else others).append(w)
+            (plain if (w[0] == " " and w[1:].isalpha() if self.blank else w.isalpha()) else others).append(w)
         done: list[str] = []
         for k in range(0, len(plain), 1024):
             chunk = plain[k : k + 1024]
-            ids = np.array(self.tokenizer.encode(("" if self.blank else " ").join(chunk), add_special_tokens=False).ids, np.int32)
+            text = ("" if self.blank else " ").join(chunk)  # the fast call keeps no offsets
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
             at = np.flatnonzero(self.edge[ids])
             if len(at) == len(chunk):
                 done += chunk
@@ -129,9 +130,11 @@ class Encoder:
             words = [w if w[:1] == "\n" else w[1:] if w[:1] == _GLUE else " " + w for w in words]
         if self.count + len(words) > CACHE_WORDS:
             self._reset()
-        if new := [w for w in words if w not in self.words]:
+        own = list(map(self.words.get, words))
+        if new := [w for w, place in zip(words, own, strict=True) if place is None]:
             self._remember(new)
-        own = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))[codes]
+            own = [self.words[w] if place is None else place for w, place in zip(words, own, strict=True)]
+        own = np.array(own, np.int64)[codes]
         starts, ends = self.starts[own], self.starts[own + 1]
         flat = self.ids[ragged(starts, ends - starts)]
         ends = np.concatenate(([0], np.cumsum(ends - starts)))[firsts]
