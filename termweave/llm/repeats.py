@@ -14,6 +14,11 @@ are compared only under their minimizer. Three passes over blocks of documents:
 A block sends each distinct string once, however often it stands there, so a passage that a third of
 all documents share is one row a block. Strings are compared byte by byte; hashes only propose.
 
+At the edges of a passage that many documents hold, one minimizer has a string of its own in nearly every
+document. Minimizers with more than ``hot`` strings (besides the first of each block) are therefore not
+compared in one bucket: a block cuts their segments into single windows, which are dealt by the hash of
+all their bytes. Equal windows still meet, with one row a block, and nothing else meets with them.
+
 Matches never cross documents. A null text is empty. Rows with equal ids never remove from each other;
 a row without id counts as later than all others. Repeated rows give repeated results; an empty table
 gives an empty result; other columns are kept, but for those with a result's name (see ``prefix``).
@@ -32,6 +37,8 @@ from .common import block_count, buffers, from_blocks, ragged, table, to_blocks
 
 LENGTH, SEED = 50, 26
 BLOCK_BYTES = 2 << 20
+#: Strings of one minimizer, beyond the first of each block, above which its windows are dealt one by one.
+HOT = 8192
 _LAST = np.iinfo(np.int64).max
 
 
@@ -66,10 +73,12 @@ class Segments:
     def __init__(self, offs: np.ndarray, raw: np.ndarray):
         empty = np.zeros(0, np.int64)
         self.start, self.count, self.doc, self.key = empty, empty, empty, np.zeros(0, np.uint64)
+        self.hashes = np.zeros(0, np.uint64)
         n = len(raw) - LENGTH + 1
         if n <= 0:
             return
-        least = sliding_least(seed_hashes(raw), LENGTH - SEED + 1)
+        self.hashes = seed_hashes(raw)
+        least = sliding_least(self.hashes, LENGTH - SEED + 1)
         valid = np.zeros(n + 1, bool)
         first, windows = offs[:-1], np.maximum(0, np.diff(offs) - LENGTH + 1)
         edge = np.zeros(n + 1, np.int8)
@@ -87,6 +96,10 @@ class Segments:
         self.doc = np.searchsorted(offs, self.start, side="right") - 1
         self.key = _mix(least[self.start] + np.uint64(0x632BE59BD9B4E019))
 
+    def marks(self, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """A hash of the strings of ``count`` windows from each start, by their two ends."""
+        return _mix(self.hashes[start] * np.uint64(0x9FB21C651E98DF25) + self.hashes[start + count + (LENGTH - 1 - SEED)])
+
 
 def _bucket(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and 32-bit name of each minimizer; equal names only propose."""
@@ -106,8 +119,13 @@ def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.diff(values[order], prepend=-1))
 
 
+_LISTED = [("block", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary()), ("twice", pa.binary()), ("extra", pa.binary())]
+_SHARED = [("block", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary()), ("hot", pa.binary())]
+
+
 def list_minimizers(docs: pa.Table, buckets: int) -> pa.Table:
-    """Pass 1: distinct minimizers of a block by bucket, and which of them two documents share."""
+    """Pass 1: distinct minimizers of a block by bucket, which of them two documents share, and how many
+    strings beyond the first each has there."""
     _, offs, raw, ids = _read(docs)
     own = Segments(offs, raw)
     bucket, name = _bucket(own.key, buckets)
@@ -117,15 +135,21 @@ def list_minimizers(docs: pa.Table, buckets: int) -> pa.Table:
     first = np.flatnonzero(np.concatenate(([True], full[1:] != full[:-1]))) if len(full) else np.zeros(0, np.int64)
     last = np.append(first[1:], len(full)) - 1
     twice = who[first] != who[last] if len(first) else np.zeros(0, bool)
-    distinct = full[first]
+    distinct, sizes = full[first], np.diff(first, append=len(full))
+    several = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    marks = own.marks(own.start, own.count)[order[several]]
+    by = np.lexsort((marks, full[several]))
+    named, marks = full[several][by], marks[by]
+    more = np.flatnonzero((named[1:] == named[:-1]) & (marks[1:] != marks[:-1]))
+    extra = np.bincount(np.searchsorted(distinct, named[more]), minlength=len(distinct))
     _, edges = _groups(distinct >> 32)
     block = docs.column("block")[0].as_py()
     rows = [
-        (block, int(part[0] >> 32), (part & 0xFFFFFFFF).astype("<u4").tobytes(), np.packbits(flags).tobytes())
-        for part, flags in zip(np.split(distinct, edges[1:]), np.split(twice, edges[1:]), strict=True)
+        (block, int(part[0] >> 32), (part & 0xFFFFFFFF).astype("<u4").tobytes(), np.packbits(flags).tobytes(), _pack(strings.astype("<u4")))
+        for part, flags, strings in zip(*(np.split(x, edges[1:]) for x in (distinct, twice, extra)), strict=True)
         if len(part)
     ]
-    return _table(rows, [("block", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary()), ("twice", pa.binary())])
+    return _table(rows, _LISTED)
 
 
 def _table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
@@ -133,42 +157,60 @@ def _table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table
     return pa.table([pa.array(list(c), k) for c, (_, k) in zip(columns, fields, strict=True)], pa.schema(fields))
 
 
-def shared_minimizers(lists: pa.Table) -> pa.Table:
-    """Between the passes: names of a bucket that stand in two documents, for each block that has them."""
+def shared_minimizers(lists: pa.Table, most: int) -> pa.Table:
+    """Between the passes: names of a bucket that stand in two documents, for each block that has them, and
+    which of them are hot: those with over ``most`` strings beyond the first of each block."""
     names = [np.frombuffer(x.as_buffer(), "<u4") for x in lists.column("names")]
     flags = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=len(n)) for x, n in zip(lists.column("twice"), names, strict=True)]
+    extra = [np.frombuffer(_unpack(x), "<u4") for x in lists.column("extra")]
     every, place = np.unique(np.concatenate(names), return_inverse=True)
     hits = np.bincount(place, minlength=len(every)) > 1
     hits[place[np.concatenate(flags) > 0]] = True
+    hot = np.bincount(place, weights=np.concatenate(extra), minlength=len(every)) > most
     rows, at = [], 0
     for block, bucket, own in zip(lists.column("block").to_pylist(), lists.column("bucket").to_pylist(), names, strict=True):
-        kept = own[hits[place[at : at + len(own)]]]
+        where = place[at : at + len(own)]
         at += len(own)
-        if len(kept):
-            rows.append((block, bucket, kept.tobytes()))
-    return _table(rows, [("block", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary())])
+        kept = hits[where]
+        if kept.any():
+            rows.append((block, bucket, own[kept].tobytes(), np.packbits(hot[where[kept]]).tobytes()))
+    return _table(rows, _SHARED)
 
 
-def _distinct(own: Segments, raw: np.ndarray, chosen: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """Distinct strings of the chosen segments in order of appearance, and the string of each."""
-    number: dict[bytes, int] = {}
-    whole = raw.tobytes()
-    starts = own.start[chosen].tolist()
-    ends = (own.start[chosen] + own.count[chosen] + LENGTH - 1).tolist()
-    return_ = [number.setdefault(whole[a:b], len(number)) for a, b in zip(starts, ends, strict=True)]
-    return list(number), np.array(return_, np.int64)
+class Chosen:
+    """A block's strings to compare: first window, windows, document, bucket and name of each.
 
+    Segments whose minimizer is ``wanted`` go whole to the minimizer's bucket. Those of a ``hot`` one go
+    window by window to buckets by the window's bytes, numbered behind the others.
+    """
 
-def _chosen(own: Segments, given: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segments whose minimizer is among the given names, with bucket and name of each."""
-    bucket, name = _bucket(own.key, buckets)
-    parts = [
-        np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) | (b << 32)
-        for b, x in zip(given.column("bucket").to_pylist(), given.column("names"), strict=True)
-    ]
-    wanted = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    chosen = np.flatnonzero(np.isin((bucket << 32) | name, wanted))
-    return chosen, bucket[chosen], name[chosen]
+    def __init__(self, own: Segments, wanted: np.ndarray, hot: np.ndarray, buckets: int):
+        bucket, name = _bucket(own.key, buckets)
+        full = (bucket << 32) | name
+        cut = np.isin(full, hot)
+        whole, parts = np.flatnonzero(np.isin(full, wanted) & ~cut), np.flatnonzero(cut)
+        windows = ragged(own.start[parts], own.count[parts])
+        single = np.ones(len(windows), np.int64)
+        dealt, called = _bucket(own.marks(windows, single), buckets)
+        self.start = np.concatenate((own.start[whole], windows))
+        self.count = np.concatenate((own.count[whole], single))
+        self.doc = np.concatenate((own.doc[whole], np.repeat(own.doc[parts], own.count[parts])))
+        self.bucket = np.concatenate((bucket[whole], dealt + buckets))
+        self.name = np.concatenate((name[whole], called))
+
+    def strings(self, raw: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Distinct strings in order of appearance, and the string of each."""
+        number: dict[bytes, int] = {}
+        whole = raw.tobytes()
+        ends = (self.start + self.count + LENGTH - 1).tolist()
+        which = [number.setdefault(whole[a:b], len(number)) for a, b in zip(self.start.tolist(), ends, strict=True)]
+        return list(number), np.array(which, np.int64)
+
+
+def _names(buckets: list[int], names: pa.ChunkedArray) -> np.ndarray:
+    """Bucket and name of all lists as one number each."""
+    parts = [np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) | (b << 32) for b, x in zip(buckets, names, strict=True)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def _pack(x: np.ndarray | bytes) -> bytes:
@@ -190,14 +232,19 @@ def send_segments(docs: pa.Table, given: pa.Table, buckets: int) -> pa.Table:
     if not docs.num_rows or not given.num_rows:
         return pa.schema(_SENT).empty_table()
     _, offs, raw, ids = _read(docs)
-    own = Segments(offs, raw)
-    chosen, bucket, name = _chosen(own, given, buckets)
-    strings, number = _distinct(own, raw, chosen)
+    wanted = _names(given.column("bucket").to_pylist(), given.column("names"))
+    flags = [np.unpackbits(np.frombuffer(h.as_buffer(), np.uint8), count=len(n.as_buffer()) // 4) for h, n in zip(given.column("hot"), given.column("names"), strict=True)]
+    hot = wanted[np.concatenate(flags) > 0]
+    chosen = Chosen(Segments(offs, raw), wanted, hot, buckets)
+    bucket, name = chosen.bucket, chosen.name
+    strings, number = chosen.strings(raw)
     first = np.unique(number, return_index=True)[1]
     least = np.full(len(strings), _LAST)
-    np.minimum.at(least, number, ids[own.doc[chosen]])
+    np.minimum.at(least, number, ids[chosen.doc])
     order, edges = _groups(bucket[first])
-    block, rows = docs.column("block")[0].as_py(), []
+    block = docs.column("block")[0].as_py()
+    # the hot names come back to the block under a bucket of its own
+    rows = [(block, -1 - block, hot.astype("<i8").tobytes(), b"", b"", b"")] if len(hot) else []
     for part in np.split(order, edges[1:]):
         if len(part):
             texts = [strings[i] for i in part.tolist()]
@@ -296,6 +343,8 @@ _ANSWER = [("block", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary())
 
 def resolve_bucket(sent: pa.Table) -> pa.Table:
     """Smallest documents of all windows in a bucket's segments, for each block in the order it sent them."""
+    if sent.column("bucket")[0].as_py() < 0:
+        return _table([(r["block"], r["bucket"], r["names"], b"") for r in sent.select(["block", "bucket", "names"]).to_pylist()], _ANSWER)
     number: dict[bytes, int] = {}
     least: list[int] = []
     names: list[int] = []
@@ -318,11 +367,12 @@ def resolve_bucket(sent: pa.Table) -> pa.Table:
     strings, smallest = list(number), np.array(least, np.int64)
     _, place, count = np.unique(np.array(names), return_inverse=True, return_counts=True)
     found: list[np.ndarray | None] = [None] * len(strings)
-    several = np.flatnonzero(count[place] > 1)
+    shared = (count[place] > 1) & (max(map(len, strings)) > LENGTH)  # different strings of one window share none
+    several = np.flatnonzero(shared)
     if len(several):
         for i, x in zip(several.tolist(), window_least([strings[i] for i in several.tolist()], smallest[several]), strict=True):
             found[i] = x
-    for i in np.flatnonzero(count[place] == 1).tolist():
+    for i in np.flatnonzero(~shared).tolist():
         found[i] = np.full(len(strings[i]) - LENGTH + 1, smallest[i])
     rows = [(block, bucket, name, _pack(np.concatenate([found[i] for i in own]))) for block, bucket, name, own in told]
     return _table(rows, _ANSWER)
@@ -333,9 +383,13 @@ def mark_bytes(docs: pa.Table, answers: pa.Table, buckets: int) -> tuple[pa.Tabl
     rows, offs, raw, ids = _read(docs)
     gone = np.zeros(len(raw) + 1, np.int64)
     if answers.num_rows:
-        own = Segments(offs, raw)
-        chosen, bucket, _ = _chosen(own, answers, buckets)
-        strings, number = _distinct(own, raw, chosen)
+        told = answers.column("bucket").to_pylist()
+        hot = [np.frombuffer(x.as_buffer(), "<i8") for b, x in zip(told, answers.column("names"), strict=True) if b < 0]
+        answers = answers.filter(pc.greater_equal(answers.column("bucket"), 0))
+        wanted = _names(answers.column("bucket").to_pylist(), answers.column("names"))
+        chosen = Chosen(Segments(offs, raw), wanted, np.concatenate(hot) if hot else np.zeros(0, np.int64), buckets)
+        bucket = chosen.bucket
+        strings, number = chosen.strings(raw)
         windows = np.fromiter(map(len, strings), np.int64, len(strings)) - LENGTH + 1
         first = np.unique(number, return_index=True)[1]
         order, edges = _groups(bucket[first])
@@ -349,21 +403,22 @@ def mark_bytes(docs: pa.Table, answers: pa.Table, buckets: int) -> tuple[pa.Tabl
                 parts.append(values)
                 held += len(values)
         least = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        count = own.count[chosen]
-        place = ragged(own.start[chosen], count)
-        out = place[least[ragged(starts[number], count)] < np.repeat(ids[own.doc[chosen]], count)]
+        count = chosen.count
+        place = ragged(chosen.start, count)
+        out = place[least[ragged(starts[number], count)] < np.repeat(ids[chosen.doc], count)]
         np.add.at(gone, out, 1)
         np.add.at(gone, out + LENGTH, -1)
     return rows, offs, raw, np.cumsum(gone[:-1]) > 0
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, prefix: str = ""
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False, prefix: str = "", hot: int = HOT
 ) -> DataFrame:
     """All columns of each row, its ``n_bytes``, ``n_removed``, ``n_spans`` and the ``kept`` bytes.
 
     ``whole_characters``: a character goes only if all its bytes go, so that ``kept`` is text again.
     ``prefix`` stands before the names of the four results; a column that has such a name is replaced.
+    ``hot``: how many strings of one minimizer may meet in a bucket; the result does not depend on it.
     """
     results = [prefix + c for c in ("n_bytes", "n_removed", "n_spans", "kept")]
     columns = [id_col, text_col, *(c for c in docs.columns if c not in (id_col, text_col, *results))]
@@ -375,6 +430,9 @@ def remove_repeats(
     def first(docs_: pa.Table) -> pa.Table:
         return list_minimizers(docs_, n)
 
+    def between(lists_: pa.Table) -> pa.Table:
+        return shared_minimizers(lists_, hot)
+
     def second(docs_: pa.Table, given: pa.Table) -> pa.Table:
         return send_segments(docs_, given, n)
 
@@ -401,8 +459,8 @@ def remove_repeats(
             [*rows.column_names, *results],
         )
 
-    lists = blocks.groupBy("block").applyInArrow(first, "block int, bucket int, names binary, twice binary")
-    shared = lists.groupBy("bucket").applyInArrow(shared_minimizers, "block int, bucket int, names binary")
+    lists = blocks.groupBy("block").applyInArrow(first, "block int, bucket int, names binary, twice binary, extra binary")
+    shared = lists.groupBy("bucket").applyInArrow(between, "block int, bucket int, names binary, hot binary")
     sent = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(
         second, "block int, bucket int, names binary, sizes binary, strings binary, least binary"
     )

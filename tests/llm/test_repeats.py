@@ -64,6 +64,17 @@ def test_planted_passages(docs, prose, monkeypatch, block):
     assert result(R.remove_repeats(docs(rows))) == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [-1, 0, 5, 40])
+def test_hot_minimizers_go_window_by_window(docs, prose, monkeypatch, hot):
+    """A passage in all documents, with edges of their own; small bounds make many or few minimizers hot."""
+    monkeypatch.setattr(R, "BLOCK_BYTES", 4000)
+    rng = random.Random(5)
+    passage = prose(900, 30)
+    rows = [(i, prose(i, rng.randint(0, 40)) + passage[rng.randint(0, 9) :] + prose(50 + i, rng.randint(1, 30))) for i in range(60)]
+    rows += [(70, passage[:49]), (71, "a" * 200), (72, "b" + "a" * 120), (None, rows[4][1]), (3, rows[3][1]), (73, None)]
+    assert result(R.remove_repeats(docs(rows), hot=hot)) == brute(rows)
+
+
 def test_whole_characters(docs):
     text = "é" * 60
     rows = R.remove_repeats(docs([(1, text), (2, "x" + text + "ß")]), whole_characters=True).collect()
