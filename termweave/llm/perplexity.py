@@ -9,9 +9,12 @@ bounded by its own distinct trigrams.
 A document's score is its mean negative log probability, drawn to the median of its language by
 ``prior_chars`` characters, so that a few characters alone prove nothing. The limit of a language is
 the ``quantile`` of its trusted documents' held-out scores: ids are dealt into folds, and each fold is
-scored by the model of the others, as documents that the model has not seen. Languages with fewer
-than ``least_trusted`` trusted documents, and documents without language, use the limit of all.
-Documents above the limit are rejected. If one fold has all trusted text, scores are not held out.
+scored by the model of the others, as documents that the model has not seen. Median and limit of a
+language with c trusted documents are w of its own and 1 - w of those of all, with w = c^2 / (c^2 +
+``pooled``^2); documents without language use those of all. Documents above the limit are rejected. If
+one fold has all trusted text, scores are not held out.
+
+Joins by language are salted, so a language that most documents have is spread over ``SALTS`` groups.
 
 A null text is empty; empty texts have the median score and are kept. Without trusted text everything
 is kept with a null perplexity limit. Repeated rows count and are scored one by one; a null id has no
@@ -31,8 +34,10 @@ from .common import block_count, block_of, buffers, from_blocks, save, table, to
 BLOCK_BYTES = 3 << 20
 #: Stands before the first character; no code point.
 START = 0x110000
-#: Folds of the trusted documents: a few when they are many, more when a part of them makes a poor model.
-FOLDS, FEW_FOLDS, FEW = 2, 5, 2000
+#: Folds of the trusted documents.
+FOLDS = 3
+#: Groups that the documents of a language are dealt to in joins.
+SALTS = 64
 _BITS = 21
 _DENSE = 1 << 23
 
@@ -183,6 +188,14 @@ def score_blocks(blocks: DataFrame, known: DataFrame, folds: int) -> DataFrame:
     )
 
 
+def by_language(rows: DataFrame, languages: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their language in ``languages``, which has one row each, as ``_name``."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    named = languages.select(*(F.col(c).alias(f"_{c}") for c in languages.columns), salts)
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))
+    return rows.join(named, (F.col("lang") == F.col("_lang")) & (salt == F.col("_salt")), how)
+
+
 def classify(
     docs: DataFrame,
     labels: DataFrame,
@@ -191,7 +204,8 @@ def classify(
     lang_col: str = "lang",
     quantile: float = 0.99,
     prior_chars: int = 200,
-    least_trusted: int = 20,
+    pooled: int = 20,
+    folds: int = FOLDS,
 ) -> DataFrame:
     """Perplexity, limit and verdict of every row. ``labels``: (doc_id, quality), 1 is trusted."""
     slim = docs.select(
@@ -200,7 +214,6 @@ def classify(
     n = block_count(slim, "text", BLOCK_BYTES)
     blocks = to_blocks(slim, ["id", "text", "lang"], n, "id", "text")
     trusted = labels.filter(F.col("quality") == 1).select(F.col("doc_id").cast("long").alias("id")).dropna().distinct()
-    folds = FOLDS if trusted.count() >= FEW else FEW_FOLDS
     pairs = count_trigrams(blocks, trusted.select(block_of(F.col("id"), n).alias("block"), "id"), folds)
     pairs = save(pairs, "kn-pairs")
     each = [f"n{k}" for k in range(folds)]
@@ -229,10 +242,13 @@ def classify(
             F.lit(None).cast("double").alias("most_perplexity"), F.lit(True).alias("kept"),
         )
     most = sure.agg(high(F.lit(overall))).first()["high"]
-    own = sure.groupBy("lang").agg(median, F.count("*").alias("c")).filter((F.col("c") >= least_trusted) & F.col("lang").isNotNull())
-    own = own.select("lang", "mid").join(sure, "lang").groupBy("lang", "mid").agg(high(F.col("mid")))
-    own = own.toDF("_lang", "_mid", "_high")
-    both = scores.join(own, F.col("lang") == F.col("_lang"), "left")
+    middle = sure.filter("lang IS NOT NULL").groupBy("lang").agg(median, F.count("*").cast("double").alias("c"))
+    weight = F.col("c") * F.col("c") / (F.col("c") * F.col("c") + float(pooled) ** 2)
+    middle = middle.select("lang", weight.alias("w"), (weight * F.col("mid") + (1 - weight) * overall).alias("mid"))
+    middle = save(middle, "kn-languages")
+    limits = by_language(sure, middle).groupBy("_lang", "_w", "_mid").agg(high(F.col("_mid")))
+    limits = limits.select(F.col("_lang").alias("lang"), F.col("_mid").alias("mid"), (F.col("_w") * F.col("high") + (1 - F.col("_w")) * most).alias("high"))
+    both = by_language(scores, save(limits, "kn-limits"), "left")
     limit = F.coalesce("_high", F.lit(most))
     drawn = draw(F.col("nll"), F.coalesce("_mid", F.lit(overall)))
     return both.select(

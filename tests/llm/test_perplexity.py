@@ -119,3 +119,10 @@ def test_query_separates_most_labels(spark):
     got = QUERIES["op2_quality_classifier"](spark, sf).join(labels, "doc_id")
     rate = {r.quality: r.rate for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("rate")).collect()}
     assert rate[1] > 0.98 and rate[0] < 0.05
+
+
+def test_salted_join_by_language(spark):
+    rows = spark.createDataFrame([("de", k) for k in range(300)] + [("fr", 1), ("fr", 1), ("xx", 2), (None, 3)], "lang string, k long")
+    languages = spark.createDataFrame([("de", 1.0), ("fr", 2.0), ("it", 3.0)], "lang string, mid double")
+    got = P.by_language(rows, languages, "left").groupBy("lang", "_mid").count().collect()
+    assert sorted((r["lang"] or "", r["_mid"], r["count"]) for r in got) == [("", None, 1), ("de", 1.0, 300), ("fr", 2.0, 2), ("xx", None, 1)]
