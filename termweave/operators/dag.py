@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import written
@@ -103,35 +103,85 @@ def vocab_closure(adjacency: DataFrame) -> DataFrame:
     return reach(adjacency.filter(F.col("weight") > 0).select("child", "parent"))
 
 
+def _above(closure: DataFrame) -> DataFrame:
+    """term, _up: all ancestors of a term as one array."""
+    # a struct, as the list would drop a NULL
+    listed = closure.groupBy("term").agg(F.collect_list(F.struct("ancestor")).alias("_up"))
+    return listed.select("term", F.col("_up.ancestor").alias("_up"))
+
+
+def _with_ancestors(rows: DataFrame, closure: DataFrame) -> DataFrame:
+    """``rows`` with the array ``_up`` of their term's ancestors, dealt by entry.
+
+    The arrays travel, not a row for each ancestor; what an entry's rows say about one term meets inside the
+    entry, so that nothing is shuffled or hashed once for each (entry, ancestor).
+    """
+    held = rows.join(_above(closure), "term", "left")
+    none = F.array().cast(_above(closure).schema["_up"].dataType)
+    return held.withColumn("_up", F.coalesce("_up", none)).repartition("entry_id")
+
+
+def _largest(rows: DataFrame, pairs: Callable[[Column], Column], name: str, k: int | None = None) -> DataFrame:
+    """Largest value of each term of an entry -> entry_id, term and the value as ``name``.
+
+    ``pairs`` gives the array of (term, value) structs of one element of the rows' struct ``_s``; they are
+    sorted inside the entry. With ``k`` only the first k terms by (-value, term) stay.
+    """
+    packed = rows.groupBy("entry_id").agg(F.collect_list("_s").alias("_s"))
+    ordered = packed.select("entry_id", F.sort_array(F.flatten(F.transform("_s", pairs)), asc=False).alias("_p"))
+    first = lambda x, i: (i == 0) | ~x["term"].eqNullSafe(F.get("_p", i - 1)["term"])
+    kept = ordered.select("entry_id", F.filter("_p", first).alias("_p"))
+    if k is not None:
+        best = F.slice(F.sort_array(F.transform("_p", lambda x: F.struct((-x["value"]).alias("value"), x["term"].alias("term")))), 1, k)
+        kept = kept.select("entry_id", F.transform(best, lambda x: F.struct(x["term"].alias("term"), (-x["value"]).alias("value"))).alias("_p"))
+    return kept.select("entry_id", F.inline("_p")).withColumnRenamed("value", name)
+
+
 def propagate_labels(labels: DataFrame, closure: DataFrame) -> DataFrame:
     """GR05: every vocabulary ancestor of a positive term becomes positive."""
-    own = labels.select("entry_id", "term").distinct()
-    above = own.join(closure, "term").select("entry_id", F.col("ancestor").alias("term"))
-    return own.union(above).distinct()
+    own = _with_ancestors(labels.select("entry_id", "term").distinct(), closure)
+    rows = own.select("entry_id", F.concat(F.array("term"), "_up").alias("_t"))
+    sets = rows.groupBy("entry_id").agg(F.collect_list("_t").alias("_t"))
+    return sets.select("entry_id", F.explode(F.array_distinct(F.flatten("_t"))).alias("term"))
 
 
-def propagate_scores(scores: DataFrame, closure: DataFrame) -> DataFrame:
+def propagate_scores(scores: DataFrame, closure: DataFrame, k: int | None = None) -> DataFrame:
     """GR06/GR08: every ancestor gets at least the largest score below it, also terms absent before.
 
     One join with the closure replaces the fixpoint. Which ancestors count is decided by the
     closure: the vocabulary's (GR06) or the whole ontology's within an aspect (GR08).
+
+    With ``k`` only the k best of an entry by (-score, term) are returned. A score then travels with the k
+    smallest of its terms alone: any other has k terms before it that score at least as much.
     """
-    own = scores.select("entry_id", "term", "score")
-    above = own.join(closure, "term").select("entry_id", F.col("ancestor").alias("term"), "score")
-    return own.union(above).groupBy("entry_id", "term").agg(F.max("score").alias("score"))
+    own = _with_ancestors(scores.select("entry_id", "term", "score"), closure)
+    terms = F.concat(F.array("term"), "_up")
+    if k is not None:
+        terms = F.slice(F.sort_array(F.array_distinct(terms)), 1, k)
+    rows = own.select("entry_id", F.struct("score", terms.alias("terms")).alias("_s"))
+
+    def pairs(s: Column) -> Column:
+        return F.transform(s["terms"], lambda t: F.struct(t.alias("term"), s["score"].alias("value")))
+
+    return _largest(rows, pairs, "score", k)
 
 
 def propagate_targets(targets: DataFrame, closure: DataFrame) -> DataFrame:
     """GR07: 0/1 targets; an ancestor of a positive target is positive."""
-    own = targets.select("entry_id", "term", "label")
-    positive = own.filter(F.col("label") > 0)
-    above = positive.join(closure, "term").select("entry_id", F.col("ancestor").alias("term"), F.lit(1).alias("label"))
-    return own.union(above).groupBy("entry_id", "term").agg(F.max("label").alias("label"))
+    own = _with_ancestors(targets.select("entry_id", "term", "label"), closure)
+    above = F.when(F.col("label") > 0, F.col("_up")).otherwise(F.slice("_up", 1, 0))
+    rows = own.select("entry_id", F.struct("term", "label", above.alias("above")).alias("_s"))
+
+    def pairs(s: Column) -> Column:
+        positive = F.transform(s["above"], lambda t: F.struct(t.alias("term"), F.lit(1).alias("value")))
+        return F.concat(F.array(F.struct(s["term"].alias("term"), s["label"].alias("value"))), positive)
+
+    return _largest(rows, pairs, "label")
 
 
-def propagate_ontology(scores: DataFrame, closure: DataFrame) -> DataFrame:
+def propagate_ontology(scores: DataFrame, closure: DataFrame, k: int | None = None) -> DataFrame:
     """GR08: propagation over the whole ontology; ``closure`` comes from :func:`ancestors`."""
-    return propagate_scores(scores, closure)
+    return propagate_scores(scores, closure, k)
 
 
 def most_specific(scores: DataFrame, below: DataFrame) -> DataFrame:

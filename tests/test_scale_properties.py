@@ -264,3 +264,29 @@ def test_missing_score_counts_as_zero(spark):
     got = metrics.term_ranking(df, 4).collect()[0]
     assert got["ap"] == pytest.approx(0.5 * 1 + 0.5 * 2 / 4)
     assert got["auc"] == pytest.approx((2 + 0.5) / 4)
+
+
+def _deals(df, *keys):
+    """Exchanges of a plan that deal by exactly these columns."""
+    import re
+
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return len(re.findall(r"hashpartitioning\(" + ", ".join(rf"{k}#\d+L?" for k in keys) + r", \d+\)", plan))
+
+
+def test_propagation_deals_no_row_per_ancestor(spark):
+    closure = spark.createDataFrame([(3, 2), (3, 1), (2, 1), (9, 1)], "term BIGINT, ancestor BIGINT")
+    scores = spark.createDataFrame([(1, 3, 0.5), (1, 2, 0.75), (1, 3, 0.25), (2, 9, float("nan")), (2, 3, None), (None, 2, 0.5)], "entry_id BIGINT, term BIGINT, score DOUBLE")
+    up = dag.propagate_scores(scores, closure)
+    got = sorted(((r[0] or 0, r[1], repr(r[2])) for r in up.collect()))
+    assert got == [(0, 1, "0.5"), (0, 2, "0.5"), (1, 1, "0.75"), (1, 2, "0.75"), (1, 3, "0.5"), (2, 1, "nan"), (2, 2, "None"), (2, 3, "None"), (2, 9, "nan")]
+    targets = scores.select("entry_id", "term", F.coalesce((F.col("score") > 0.3).cast("int"), F.lit(0)).alias("label"))
+    marked = dag.propagate_targets(targets, closure)
+    assert sorted(tuple(r) for r in marked.filter("entry_id = 1").collect()) == [(1, 1, 1), (1, 2, 1), (1, 3, 1)]
+    for df in (up, marked):
+        assert _deals(df, "entry_id", "term") == 0 and _deals(df, "entry_id") == 1
+    # the k best of an entry, with ties by term, from the k smallest terms of each score
+    ranked = sorted((r for r in up.filter("entry_id = 1").collect()), key=lambda r: (-r["score"], r["term"]))
+    for k in (1, 2, 3, 4):
+        best = dag.propagate_scores(scores.filter("entry_id = 1"), closure, k).collect()
+        assert sorted((r["term"], r["score"]) for r in best) == sorted((r["term"], r["score"]) for r in ranked[:k])
