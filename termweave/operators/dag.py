@@ -103,6 +103,13 @@ def vocab_closure(adjacency: DataFrame) -> DataFrame:
     return reach(adjacency.filter(F.col("weight") > 0).select("child", "parent"))
 
 
+def chained(first: DataFrame, then: DataFrame) -> DataFrame:
+    """Ancestors by ``first``, by ``then``, and by ``then`` of those by ``first``."""
+    onward = then.select(F.col("term").alias("ancestor"), F.col("ancestor").alias("_next"))
+    both = first.join(onward, "ancestor").select("term", F.col("_next").alias("ancestor"))
+    return first.select("term", "ancestor").union(then.select("term", "ancestor")).union(both).distinct()
+
+
 def _above(closure: DataFrame) -> DataFrame:
     """term, _up: all ancestors of a term as one array."""
     # a struct, as the list would drop a NULL

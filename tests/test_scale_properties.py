@@ -290,3 +290,15 @@ def test_propagation_deals_no_row_per_ancestor(spark):
     for k in (1, 2, 3, 4):
         best = dag.propagate_scores(scores.filter("entry_id = 1"), closure, k).collect()
         assert sorted((r["term"], r["score"]) for r in best) == sorted((r["term"], r["score"]) for r in ranked[:k])
+
+
+def test_scores_travel_once_through_vocabulary_and_ontology(spark):
+    from termweave.plans.pipelines import finalize_predictions
+
+    edges = spark.createDataFrame([(4, 3), (3, 2), (2, 1)], "child BIGINT, parent BIGINT")
+    terms = spark.createDataFrame([(1, "C"), (2, "C"), (3, "P"), (4, "P")], "term BIGINT, aspect STRING")
+    within = spark.createDataFrame([(3, 2)], "term BIGINT, ancestor BIGINT")  # leads from one aspect to the other
+    scores = spark.createDataFrame([(1, 4, 0.5), (1, 3, 0.25)], "entry_id BIGINT, term BIGINT, score DOUBLE")
+    done = finalize_predictions(scores, terms, edges, k=10, vocab_closure=within)
+    assert sorted((r["term"], r["score"]) for r in done.collect()) == [(1, 0.25), (2, 0.25), (3, 0.5), (4, 0.5)]
+    assert _deals(done, "entry_id", "term") + _deals(done, "entry_id") == 2
