@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import written
@@ -195,17 +195,23 @@ def most_specific(scores: DataFrame, below: DataFrame) -> DataFrame:
     """GR09: keep a term unless a scored descendant reaches its score.
 
     ``below`` comes from :func:`descendants`. Absent descendants count as 0, so a term with
-    descendants needs a positive score. Only scored descendants are joined: the pair
-    (entry, ancestor) is produced from the descendant's side and reduced by a partial maximum.
+    descendants needs a positive score. An entry's scores meet inside the entry: a score goes on only to
+    those ancestors that the entry scores, too.
     """
-    inner = below.select("term").distinct().withColumn("_inner", F.lit(True))
-    up = below.select(F.col("descendant").alias("term"), F.col("term").alias("_top"))
-    best = (
-        scores.select("entry_id", "term", "score")
-        .join(up, "term")
-        .groupBy("entry_id", F.col("_top").alias("term"))
-        .agg(F.max("score").alias("_best"))
-    )
-    judged = scores.join(best, ["entry_id", "term"], "left").join(inner, "term", "left")
+    up = below.select(F.inline(F.array(
+        F.struct(F.col("descendant").alias("term"), F.col("term").alias("_top"), F.lit(False).alias("_inner")),
+        F.struct("term", F.lit(None).cast(below.schema["term"].dataType).alias("_top"), F.lit(True).alias("_inner")),
+    )))
+    known = up.groupBy("term").agg(F.collect_list("_top").alias("_up"), F.max("_inner").alias("_inner"))
+    dealt = scores.select("entry_id", "term", "score").join(known, "term", "left").repartition("entry_id")
+    scored = F.collect_set("term").over(Window.partitionBy("entry_id"))
+    met = dealt.withColumn("_up", F.array_intersect("_up", scored))
+    none = F.array().cast(known.schema["_up"].dataType)
+    own = F.struct("term", F.lit(True).alias("_own"), "score")
+    tops = F.transform(F.coalesce("_up", none), lambda t: F.struct(t.alias("term"), F.lit(False).alias("_own"), F.col("score")))
+    rows = met.select("entry_id", "_inner", F.inline(F.concat(F.array(own), tops)))
+    best = F.max(F.when(~F.col("_own"), F.col("score"))).over(Window.partitionBy("entry_id", "term"))
+    judged = rows.withColumn("_best", best).filter("_own")
     floor = F.greatest(F.coalesce(F.col("_best"), F.lit(0.0)), F.lit(0.0))
-    return judged.filter(F.col("_inner").isNull() | (F.col("score") > floor)).select("entry_id", "term", "score")
+    outer = ~F.coalesce("_inner", F.lit(False))
+    return judged.filter(outer | (F.col("score") > floor)).select("entry_id", "term", "score")

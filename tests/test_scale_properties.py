@@ -302,3 +302,13 @@ def test_scores_travel_once_through_vocabulary_and_ontology(spark):
     done = finalize_predictions(scores, terms, edges, k=10, vocab_closure=within)
     assert sorted((r["term"], r["score"]) for r in done.collect()) == [(1, 0.25), (2, 0.25), (3, 0.5), (4, 0.5)]
     assert _deals(done, "entry_id", "term") + _deals(done, "entry_id") == 2
+
+
+def test_most_specific_sends_scores_to_scored_ancestors_only(spark):
+    below = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (8, 9)], "term BIGINT, descendant BIGINT")
+    scores = spark.createDataFrame(
+        [(1, 1, 0.5), (1, 3, 0.5), (1, 1, 0.75), (2, 2, 0.0), (2, 3, -1.0), (3, 9, 0.0), (4, 1, 0.1), (4, 7, None)], "entry_id BIGINT, term BIGINT, score DOUBLE"
+    )
+    left = dag.most_specific(scores, below)
+    assert sorted((r[0], r[1], r[2] is not None and r[2]) for r in left.collect()) == [(1, 1, 0.75), (1, 3, 0.5), (2, 3, -1.0), (3, 9, 0.0), (4, 1, 0.1), (4, 7, False)]
+    assert _deals(left, "entry_id", "term") == 0 and _deals(left, "entry_id") == 1
