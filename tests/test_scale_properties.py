@@ -312,3 +312,15 @@ def test_most_specific_sends_scores_to_scored_ancestors_only(spark):
     left = dag.most_specific(scores, below)
     assert sorted((r[0], r[1], r[2] is not None and r[2]) for r in left.collect()) == [(1, 1, 0.75), (1, 3, 0.5), (2, 3, -1.0), (3, 9, 0.0), (4, 1, 0.1), (4, 7, False)]
     assert _deals(left, "entry_id", "term") == 0 and _deals(left, "entry_id") == 1
+
+
+def test_stream_state_holds_arrived_terms_only(spark, tmp_path):
+    from termweave.streaming.incremental import read_finished
+
+    schema = "entry_id BIGINT, term BIGINT, score DOUBLE"
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    closure = spark.createDataFrame([(100, a) for a in range(50)], "term BIGINT, ancestor BIGINT")
+    spark.createDataFrame([(1, 100, 0.5), (2, 100, 0.25)], schema).coalesce(1).write.parquet(src)
+    ended = incremental_finalize(spark, src, out, str(tmp_path / "state"), closure, schema)
+    assert sum(op["numRowsTotal"] for op in ended.recentProgress[0]["stateOperators"]) == 2
+    assert read_finished(spark, out).count() == 102
