@@ -324,3 +324,11 @@ def test_stream_state_holds_arrived_terms_only(spark, tmp_path):
     ended = incremental_finalize(spark, src, out, str(tmp_path / "state"), closure, schema)
     assert sum(op["numRowsTotal"] for op in ended.recentProgress[0]["stateOperators"]) == 2
     assert read_finished(spark, out).count() == 102
+
+
+def test_a_hot_token_sends_short_lists(spark):
+    # all sets share token 0 alone; sets of two tokens come first, then by id
+    sets = [(e, 0) for e in range(300)] + [(e, 1000 + 10 * e + i) for e in range(300) for i in range(1 + e % 3)]
+    reps, _ = similarity._groups(spark.createDataFrame(sets, "entry_id INT, token INT"))
+    lists = {r["a"]: [x["b"] for x in r["near"]] for r in similarity._by_one_token(similarity._ordered(reps), 3).collect()}
+    assert len(lists) == 300 and lists[299] == [0, 3, 6, 9] and lists[3] == [0, 6, 9, 12]
