@@ -99,12 +99,19 @@ def symmetrise_union(edges: DataFrame, a: str = "src", b: str = "dst") -> DataFr
 
 
 def symmetrise_mean(contacts: DataFrame, a: str = "i", b: str = "j", w: str = "p") -> DataFrame:
-    """ST02: half the sum of both directions, a missing direction counts 0."""
+    """ST02: half the sum of both directions, a missing direction counts 0.
+
+    Both directions meet under the ordered pair, so each contact travels once; the result is mirrored afterwards.
+    """
     rest = [c for c in contacts.columns if c not in (a, b, w)]
-    both = F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(b).alias("a"), F.col(a).alias("b")))
-    turned = contacts.select(*rest, w, F.explode(both).alias("_e"))
-    keyed = turned.select(*rest, F.col("_e.a").alias(a), F.col("_e.b").alias(b), w)
-    return keyed.groupBy(*rest, a, b).agg((F.sum(w) / 2).alias(w)).select(*contacts.columns)
+    forward = F.col(a).isNull() | (F.col(a) <= F.col(b))
+    low, high = F.when(forward, F.col(a)).otherwise(F.col(b)), F.when(forward, F.col(b)).otherwise(F.col(a))
+    met = contacts.select(*rest, low.alias("_lo"), high.alias("_hi"), w).groupBy(*rest, "_lo", "_hi").agg(F.sum(w).alias("_s"))
+    own = F.col("_lo").eqNullSafe(F.col("_hi"))
+    pair = lambda x, y: F.struct(F.col(x).alias(a), F.col(y).alias(b))
+    both = F.when(own, F.array(pair("_lo", "_hi"))).otherwise(F.array(pair("_lo", "_hi"), pair("_hi", "_lo")))
+    half = F.when(own, F.col("_s")).otherwise(F.col("_s") / 2).alias(w)
+    return met.select(*rest, half, F.inline(both)).select(*contacts.columns)
 
 
 def unit_loops(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -378,3 +378,43 @@ def test_grams_are_counted_inside_the_row(spark, monkeypatch, n):
     got = {(r["entry_id"], r["gram"]): r["w"] for r in similarity.gram_vector(df, n, 5).collect()}
     norm = lambda i: sum(c * c for (e, _), c in hashed.items() if e == i) ** 0.5
     assert got == pytest.approx({(i, b): c / norm(i) for (i, b), c in hashed.items()})
+
+
+def test_mean_of_contacts_sends_each_contact_once(spark, tmp_path):
+    from termweave.catalog.registry import Inputs
+    from termweave.operators import graph
+
+    data = [(1, 0, 1, 0.4), (1, 1, 0, 0.2), (1, 2, 2, 0.5), (1, 3, 1, 0.6), (1, None, 2, 0.8), (None, 4, 5, 0.1), (1, 6, 7, None)]
+    df = spark.createDataFrame(data, "entry_id INT, i INT, j INT, p DOUBLE")
+    got = {(r["entry_id"], r["i"], r["j"]): r["p"] for r in graph.symmetrise_mean(df).collect()}
+    want = {(1, 2, 2): 0.5, (1, 1, 3): 0.3, (1, 3, 1): 0.3, (1, None, 2): 0.4, (1, 2, None): 0.4, (None, 4, 5): 0.05, (None, 5, 4): 0.05}
+    want |= {(1, 0, 1): 0.3, (1, 1, 0): 0.3, (1, 6, 7): None, (1, 7, 6): None}
+    assert got.keys() == want.keys()
+    assert all(got[k] is None if v is None else got[k] == pytest.approx(v) for k, v in want.items())
+    contacts = Inputs(spark, "/root/testdata/sf0.001").contacts()
+    made = graph.contact_graph(contacts, contacts.select("entry_id").distinct().withColumn("length", F.lit(64)), mutual=False)
+    plan = graph.symmetrise_mean(contacts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and made.count() > 0
+
+
+def test_rows_are_dealt_into_as_many_partitions_as_they_ask_for(spark):
+    from termweave.sources.tables import dealt_by
+
+    df = spark.range(10_000).select((F.col("id") % 500).alias("k"))
+    assert dealt_by(df, "k", 300).rdd.getNumPartitions() == 34
+
+
+def test_top_p_of_short_and_long_rows_agree(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = [(e, int(i), j, float(rng.integers(0, 6)) / 2) for e in (1, 2, None) for i in rng.integers(0, 4, 3) for j in range(int(rng.integers(1, 30)))]
+    data += [(3, 0, 1, None), (3, 0, 2, float("nan"))]
+    df = spark.createDataFrame(data, "entry_id INT, src INT, dst INT, weight DOUBLE").dropDuplicates(["entry_id", "src", "dst"])
+    df = spark.createDataFrame(df.collect(), df.schema)
+    found = {}
+    for limit in (0, 8, 1000):
+        monkeypatch.setattr(ranking, "ROW_EDGES", limit)
+        got = ranking.top_p(df, 0.6)
+        found[limit] = {(r["entry_id"], r["src"], r["dst"]): round(r["weight"], 9) for r in got.collect()}
+    assert found[0] == found[8] == found[1000] and len(found[0]) > 20
+    plan = ranking.top_p(df, 0.6)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
