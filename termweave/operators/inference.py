@@ -6,17 +6,30 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .metrics import average_precision
 from .relational import not_in
 
 
+BATCH_VALUES = 1 << 22  # numbers of the embeddings that are returned at once
+
+
 def _chunks(frame: pd.DataFrame, size: int) -> Iterator[pd.DataFrame]:
     for start in range(0, len(frame), size):
         yield frame.iloc[start : start + size]
 
 
+def _matrices(arrays: Sequence[np.ndarray]) -> pa.Array:
+    """Matrices as lists of rows, from their numbers as they lie in memory."""
+    ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    widths = [np.full(a.shape[0], a.shape[1]) for a in arrays]
+    numbers = pa.array(np.concatenate([a.ravel() for a in arrays]), pa.float64())
+    rows = pa.ListArray.from_arrays(ends(np.concatenate(widths)), numbers)
+    return pa.ListArray.from_arrays(ends([a.shape[0] for a in arrays]), rows)
+
+
 def embed(
     df: DataFrame,
     make_fn: Callable[[], Callable[[Sequence[str]], Sequence[np.ndarray]]],
@@ -32,21 +45,27 @@ def embed(
     if cached is not None:
         pending = not_in(pending, cached.select("entry_id"))
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = df.schema["entry_id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make_fn()
-        for frame in frames:
-            for part in _chunks(frame, batch_size):
-                texts = part["sequence"].tolist()
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_size):
+                part = batch.slice(start, batch_size)
+                texts = part["sequence"].to_pylist()
                 arrays = [np.asarray(a, dtype=float) for a in fn(texts)]
                 for entry, text, a in zip(part["entry_id"], texts, arrays):
                     if a.shape[0] != len(text):
                         raise ValueError(f"embedding of {entry} has {a.shape[0]} rows for {len(text)} residues")
-                yield pd.DataFrame(
-                    {"entry_id": part["entry_id"].values, "length": [len(t) for t in texts], "vec": [list(a) for a in arrays]}
-                )
-
-    kind = df.schema["entry_id"].dataType.simpleString()
-    return pending.mapInPandas(work, f"entry_id {kind}, length bigint, vec array<array<double>>")
+                # few enough numbers for the 32-bit offsets of a list
+                filled = np.cumsum([a.size for a in arrays]) // BATCH_VALUES
+                edges = [0, *(np.flatnonzero(np.diff(filled)) + 1), len(arrays)]
+                for low, high in zip(edges, edges[1:]):
+                    lengths = pa.array([len(t) for t in texts[low:high]], pa.int64())
+                    columns = [part["entry_id"].slice(low, high - low), lengths, _matrices(arrays[low:high])]
+                    yield pa.RecordBatch.from_arrays(columns, ["entry_id", "length", "vec"])
+
+    return pending.mapInArrow(work, f"entry_id {kind}, length bigint, vec array<array<double>>")
 
 
 def score(
