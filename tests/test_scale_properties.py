@@ -418,3 +418,35 @@ def test_top_p_of_short_and_long_rows_agree(spark, monkeypatch):
     assert found[0] == found[8] == found[1000] and len(found[0]) > 20
     plan = ranking.top_p(df, 0.6)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_embeddings_leave_python_as_whole_columns(spark, monkeypatch):
+    from termweave.operators import inference
+
+    monkeypatch.setattr(inference, "BATCH_VALUES", 16)
+
+    def make():
+        return lambda texts: [np.arange(len(t) * 3, dtype=np.float32).reshape(-1, 3) for t in texts]
+
+    texts = ["abcd", "", "x", "abcdefghij", "yz"]
+    df = spark.createDataFrame(list(enumerate(texts)), "entry_id INT, sequence STRING").coalesce(1)
+    made = inference.embed(df, make, batch_size=3, cached=df.filter("entry_id = 2"))
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    got = {r["entry_id"]: (r["length"], r["vec"]) for r in made.collect()}
+    assert got == {i: (len(t), np.arange(len(t) * 3, dtype=float).reshape(-1, 3).tolist()) for i, t in enumerate(texts) if i != 2}
+
+
+def test_only_usable_atoms_of_structures_are_grouped(spark, monkeypatch):
+    from termweave.plans import pipelines
+
+    held = {}
+    keep = pipelines.written
+    monkeypatch.setattr(pipelines, "written", lambda df, name: held.setdefault(name, keep(df, name)))
+    entries = spark.createDataFrame([(1, 2), (2, 9)], "entry_id INT, length INT")
+    frags = spark.createDataFrame([(1, "1-a", "m1", 1, 2), (1, "1-b", "m2", 1, 5), (2, "2-a", "m3", 1, 3)], "entry_id INT, accession STRING, model_id STRING, start INT, length INT")
+    atoms = spark.createDataFrame([(m, k, 3.8 * k, 0.0, 0.0, 50.0) for m, n in (("m1", 2), ("m2", 5), ("m3", 3)) for k in range(n)], "model_id STRING, pos INT, x DOUBLE, y DOUBLE, z DOUBLE, conf DOUBLE")
+    edges = spark.createDataFrame([(2, 0, 1, 0.5)], "entry_id INT, src INT, dst INT, weight DOUBLE")
+    nodes = spark.createDataFrame([(2, 0, 0.5)], "entry_id INT, pos INT, conf DOUBLE")
+    done = pipelines.structure_graphs(entries, frags, atoms, edges, nodes)
+    assert sorted(tuple(r) for r in done.edges.collect()) == [(1, 0, 1, 0.5), (1, 1, 0, 0.5), (2, 0, 1, 0.5)]
+    assert {r["model_id"] for r in held["atoms"].collect()} == {"m1"}
