@@ -450,3 +450,12 @@ def test_only_usable_atoms_of_structures_are_grouped(spark, monkeypatch):
     done = pipelines.structure_graphs(entries, frags, atoms, edges, nodes)
     assert sorted(tuple(r) for r in done.edges.collect()) == [(1, 0, 1, 0.5), (1, 1, 0, 0.5), (2, 0, 1, 0.5)]
     assert {r["model_id"] for r in held["atoms"].collect()} == {"m1"}
+
+
+def test_annotations_are_dealt_once_for_labels(spark):
+    vocab = spark.createDataFrame([(10, 0), (20, 1), (30, 2)], "term BIGINT, idx BIGINT")
+    notes = spark.createDataFrame([(1, 30), (1, 10), (1, 30), (2, 7), (3, None), (None, 10)], "entry_id BIGINT, term BIGINT")
+    sparse = labels.label_indices(notes, vocab)
+    assert _deals(sparse, "entry_id", "term") == 0 and _deals(sparse, "entry_id") == 1
+    got = {r["entry_id"]: (r["size"], r["indices"]) for r in sparse.collect()}
+    assert got == {1: (3, [0, 2]), 2: (3, []), 3: (3, []), None: (3, [])}
