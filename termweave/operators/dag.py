@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..lineage import written
 from .ranking import top_terms
 
+LEVELS = 32  # levels that a vocabulary climbs one by one
+
 
 def reach(edges: DataFrame) -> DataFrame:
     """All (term, ancestor) pairs of a DAG given ``child, parent`` rows.
@@ -36,16 +38,20 @@ def reach(edges: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame, terms: DataFrame, same_aspect: bool = True) -> DataFrame:
     """GR01: reachable parents. The walk passes through nodes of other aspects but emits only
     nodes of the term's own aspect; parents missing from ``terms`` stop the walk."""
-    known = terms.select("term")
-    walkable = edges.join(known.withColumnRenamed("term", "parent"), "parent", "left_semi").join(
-        known.withColumnRenamed("term", "child"), "child", "left_semi"
-    )
-    pairs = reach(walkable)
+    pairs = reach(_walkable(edges, terms))
     if not same_aspect:
         return pairs
     return _same_aspect(pairs, terms, "term", "ancestor")
 
 
+def _walkable(edges: DataFrame, terms: DataFrame) -> DataFrame:
+    """Edges between known terms."""
+    known = terms.select("term")
+    return edges.join(known.withColumnRenamed("term", "parent"), "parent", "left_semi").join(
+        known.withColumnRenamed("term", "child"), "child", "left_semi"
+    )
+
+
 def _same_aspect(pairs: DataFrame, terms: DataFrame, a: str, b: str) -> DataFrame:
     left = terms.select(F.col("term").alias(a), F.col("aspect").alias("_aa"))
     right = terms.select(F.col("term").alias(b), F.col("aspect").alias("_ab"))
@@ -68,15 +74,38 @@ def close_vocabulary(
 ) -> DataFrame:
     """GR03: per aspect the ``top_k`` most frequent known terms and their same-aspect ancestors.
 
-    ``frequencies`` has ``term, n``; the aspect is the ontology's. ``top_k`` may differ by aspect.
+    ``frequencies`` has ``term, n``; the aspect is the ontology's. ``top_k`` may differ by aspect. Without a
+    ``closure`` the chosen terms climb level by level, so only what lies above them is looked at.
     """
     known = frequencies.select("term", "n").join(terms, "term")
     chosen = top_terms(known, top_k).select("aspect", "term")
-    closure = ancestors(edges, terms) if closure is None else closure
+    if closure is None:
+        return _climbed(chosen, edges, terms)
     above = chosen.join(closure, "term").select("aspect", F.col("ancestor").alias("term"))
     return chosen.union(above).distinct()
 
 
+def _climbed(chosen: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFrame:
+    """The chosen ``aspect, term`` rows and their same-aspect ancestors, reached through terms of any aspect.
+
+    A level is a join of the terms found last with the edges; there are at most as many rows as terms for each
+    aspect. What lies above ``LEVELS`` levels comes from the closure.
+    """
+    links = written(_walkable(edges, terms).select("child", "parent").distinct(), "links")
+    first = written(chosen.distinct(), "climbed")
+    fresh = seen = first.filter("aspect IS NOT NULL")
+    for _ in range(LEVELS):
+        up = fresh.join(links, F.col("term") == F.col("child")).select("aspect", F.col("parent").alias("term")).distinct()
+        fresh = written(up.join(seen, ["aspect", "term"], "left_anti"), "climbed")
+        if not fresh.limit(1).count():
+            break
+        seen = seen.unionByName(fresh)
+    else:
+        far = fresh.join(reach(links), "term").select("aspect", F.col("ancestor").alias("term"))
+        seen = seen.unionByName(far)
+    return first.union(seen.join(terms.select("aspect", "term"), ["aspect", "term"], "left_semi")).distinct()
+
+
 def vocab_adjacency(vocab: DataFrame, edges: DataFrame) -> DataFrame:
     """GR04: parent-to-child edges inside the vocabulary, no self edge, each parent's row sums to 1."""
     members = vocab.select("aspect", "term").distinct()

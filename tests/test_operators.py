@@ -327,3 +327,27 @@ def test_cosine_distance_shape(spark):
     assert similarity.cosine_graph(df, method="identity").count() == 3
     with pytest.raises(ValueError):
         similarity.cosine_graph(df, method="other")
+
+
+def test_a_vocabulary_climbs_as_far_as_the_closure(spark, rows, monkeypatch):
+    aspects = {i: "CFP"[i % 7 % 3] for i in range(60)} | {3: None}
+    terms = spark.createDataFrame(list(aspects.items()), "term BIGINT, aspect STRING")
+    links = [(i, i - 1) for i in range(1, 60)] + [(i, i // 3) for i in range(1, 60)] + [(0, 59), (8, 99), (99, 2), (5, None)]
+    edges = spark.createDataFrame(links, "child BIGINT, parent BIGINT")
+    freq = spark.createDataFrame([(i, i % 5) for i in range(0, 60, 3)] + [(99, 9)], "term BIGINT, n BIGINT")
+    whole = dag.ancestors(edges, terms)
+    order = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    for top_k in (None, 1, {"C": 2, "F": 1}):
+        want = order(dag.close_vocabulary(freq, edges, terms, top_k, whole))
+        for levels in (2, 32):
+            monkeypatch.setattr(dag, "LEVELS", levels)
+            with monkeypatch.context() as m:
+                if levels == 32:  # nothing but what lies above the chosen terms
+                    m.setattr(dag, "ancestors", None)
+                assert order(dag.close_vocabulary(freq, edges, terms, top_k)) == want
+
+
+def test_limits_by_aspect_drop_terms_before_they_are_dealt(spark):
+    freq = spark.createDataFrame([("C", i, i % 4) for i in range(9)], "aspect STRING, term BIGINT, n BIGINT")
+    plan = ranking.top_terms(freq, {"C": 3, "F": 1})._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
