@@ -459,3 +459,12 @@ def test_annotations_are_dealt_once_for_labels(spark):
     assert _deals(sparse, "entry_id", "term") == 0 and _deals(sparse, "entry_id") == 1
     got = {r["entry_id"]: (r["size"], r["indices"]) for r in sparse.collect()}
     assert got == {1: (3, [0, 2]), 2: (3, []), 3: (3, []), None: (3, [])}
+
+
+def test_vectors_of_a_centroid_are_added_up_before_they_travel(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["abcabd", "bcab", None, "", "aüß中x", "abc"])], "entry_id INT, sequence STRING").coalesce(1)
+    want = {}
+    for r in similarity.gram_vector(df).collect():
+        want[r["gram"]] = want.get(r["gram"], 0.0) + r["w"]
+    sums = similarity._gram_sums(df, 3, None).collect()
+    assert len(sums) == len(want) and {r["gram"]: r["w"] for r in sums} == pytest.approx(want)
