@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import written
+from ..lineage import shuffled, written
 from .ranking import top_terms
 
 LEVELS = 32  # levels that a vocabulary climbs one by one
@@ -23,14 +23,14 @@ def reach(edges: DataFrame) -> DataFrame:
     """
     links = edges.select(F.col("child").alias("term"), F.col("parent").alias("ancestor")).distinct()
     inner = links.select(F.col("term").alias("ancestor")).distinct().withColumn("_up", F.lit(True))
-    fresh = written(links.join(inner, "ancestor", "left").select("term", "ancestor", F.coalesce("_up", F.lit(False)).alias("_up")), "closure")
+    fresh = written(links.join(shuffled(inner), "ancestor", "left").select("term", "ancestor", F.coalesce("_up", F.lit(False)).alias("_up")), "closure")
     pairs = fresh
     while fresh.count():
         onward = pairs.select(F.col("term").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("_up").alias("_on"))
-        longer = fresh.filter("_up").drop("_up").join(onward, "ancestor").select(
+        longer = fresh.filter("_up").drop("_up").join(shuffled(onward), "ancestor").select(
             "term", F.col("_next").alias("ancestor"), F.col("_on").alias("_up")
         )
-        fresh = written(longer.distinct().join(pairs.select("term", "ancestor"), ["term", "ancestor"], "left_anti"), "closure")
+        fresh = written(longer.distinct().join(shuffled(pairs.select("term", "ancestor")), ["term", "ancestor"], "left_anti"), "closure")
         pairs = pairs.unionByName(fresh)
     return pairs.select("term", "ancestor")
 
@@ -46,7 +46,7 @@ def ancestors(edges: DataFrame, terms: DataFrame, same_aspect: bool = True) -> D
 
 def _walkable(edges: DataFrame, terms: DataFrame) -> DataFrame:
     """Edges between known terms."""
-    known = terms.select("term")
+    known = shuffled(terms.select("term"))
     return edges.join(known.withColumnRenamed("term", "parent"), "parent", "left_semi").join(
         known.withColumnRenamed("term", "child"), "child", "left_semi"
     )
@@ -55,7 +55,7 @@ def _walkable(edges: DataFrame, terms: DataFrame) -> DataFrame:
 def _same_aspect(pairs: DataFrame, terms: DataFrame, a: str, b: str) -> DataFrame:
     left = terms.select(F.col("term").alias(a), F.col("aspect").alias("_aa"))
     right = terms.select(F.col("term").alias(b), F.col("aspect").alias("_ab"))
-    joined = pairs.join(left, a).join(right, b)
+    joined = pairs.join(shuffled(left), a).join(shuffled(right), b)
     return joined.filter(F.col("_aa") == F.col("_ab")).select(a, b)
 
 

@@ -468,3 +468,25 @@ def test_vectors_of_a_centroid_are_added_up_before_they_travel(spark):
         want[r["gram"]] = want.get(r["gram"], 0.0) + r["w"]
     sums = similarity._gram_sums(df, 3, None).collect()
     assert len(sums) == len(want) and {r["gram"]: r["w"] for r in sums} == pytest.approx(want)
+
+
+def _tree(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def _small_files(spark, folder):
+    """An ontology of a few rows, in files that are far below the size up to which Spark broadcasts."""
+    spark.createDataFrame([(i, i // 2) for i in range(2, 60)], "child BIGINT, parent BIGINT").write.parquet(f"{folder}/edges")
+    spark.createDataFrame([(i, "CP"[i % 3 == 0]) for i in range(1, 60)], "term BIGINT, aspect STRING").write.parquet(f"{folder}/terms")
+    return spark.read.parquet(f"{folder}/edges"), spark.read.parquet(f"{folder}/terms")
+
+
+def test_ontology_and_closure_are_not_broadcast(spark, monkeypatch, tmp_path):
+    edges, terms = _small_files(spark, tmp_path)
+    rounds, keep = [], dag.written
+    monkeypatch.setattr(dag, "written", lambda df, name: (rounds.append(_tree(df)), keep(df, name))[1])
+    above, below = dag.ancestors(edges, terms), dag.descendants(edges, terms)
+    assert len(rounds) > 6 and not [p for p in [*rounds, _tree(above), _tree(below)] if "Broadcast" in p]
+    aspect = lambda i: "CP"[i % 3 == 0]
+    want = {(i, i >> k) for i in range(2, 60) for k in range(1, 6) if i >> k and aspect(i) == aspect(i >> k)}
+    assert {tuple(r) for r in above.collect()} == want
