@@ -77,7 +77,7 @@ def close_vocabulary(
     ``frequencies`` has ``term, n``; the aspect is the ontology's. ``top_k`` may differ by aspect. Without a
     ``closure`` the chosen terms climb level by level, so only what lies above them is looked at.
     """
-    known = frequencies.select("term", "n").join(terms, "term")
+    known = frequencies.select("term", "n").join(shuffled(terms), "term")
     chosen = top_terms(known, top_k).select("aspect", "term")
     if closure is None:
         return _climbed(chosen, edges, terms)
@@ -103,12 +103,12 @@ def _climbed(chosen: DataFrame, edges: DataFrame, terms: DataFrame) -> DataFrame
     else:
         far = fresh.join(reach(links), "term").select("aspect", F.col("ancestor").alias("term"))
         seen = seen.unionByName(far)
-    return first.union(seen.join(terms.select("aspect", "term"), ["aspect", "term"], "left_semi")).distinct()
+    return first.union(seen.join(shuffled(terms.select("aspect", "term")), ["aspect", "term"], "left_semi")).distinct()
 
 
 def vocab_adjacency(vocab: DataFrame, edges: DataFrame) -> DataFrame:
     """GR04: parent-to-child edges inside the vocabulary, no self edge, each parent's row sums to 1."""
-    members = vocab.select("aspect", "term").distinct()
+    members = shuffled(vocab.select("aspect", "term").distinct())
     inside = (
         edges.select("child", "parent")
         .distinct()

@@ -490,3 +490,16 @@ def test_ontology_and_closure_are_not_broadcast(spark, monkeypatch, tmp_path):
     aspect = lambda i: "CP"[i % 3 == 0]
     want = {(i, i >> k) for i in range(2, 60) for k in range(1, 6) if i >> k and aspect(i) == aspect(i >> k)}
     assert {tuple(r) for r in above.collect()} == want
+
+
+def test_a_vocabulary_meets_the_ontology_without_broadcasting_it(spark, monkeypatch, tmp_path):
+    edges, terms = _small_files(spark, tmp_path)
+    links, keep = [], dag.written
+    monkeypatch.setattr(dag, "written", lambda df, name: (links.append((name, _tree(df))), keep(df, name))[1])
+    counts = spark.createDataFrame([(48, 5), (45, 4), (50, 3)], "term BIGINT, n BIGINT")
+    vocab = dag.close_vocabulary(counts, edges, terms, 1)
+    fixed = [p for name, p in links if name == "links"] + [links[1][1], _tree(vocab)]  # the ontology's own rows, the first terms, the result
+    assert len(fixed) == 3 and links[1][0] == "climbed" and not [p for p in fixed if "Broadcast" in p]
+    assert {tuple(r) for r in vocab.collect()} == {("P", 48), ("P", 24), ("P", 12), ("P", 6), ("P", 3), ("C", 50), ("C", 25), ("C", 1)}
+    inside = _tree(dag.vocab_adjacency(vocab, edges))
+    assert inside.count("SortMergeJoin") >= 2
