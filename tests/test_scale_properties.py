@@ -503,3 +503,18 @@ def test_a_vocabulary_meets_the_ontology_without_broadcasting_it(spark, monkeypa
     assert {tuple(r) for r in vocab.collect()} == {("P", 48), ("P", 24), ("P", 12), ("P", 6), ("P", 3), ("C", 50), ("C", 25), ("C", 1)}
     inside = _tree(dag.vocab_adjacency(vocab, edges))
     assert inside.count("SortMergeJoin") >= 2
+
+
+def test_batches_of_a_stream_share_one_written_closure(spark, monkeypatch, tmp_path):
+    from termweave.streaming import incremental
+
+    schema = "entry_id BIGINT, term BIGINT, score DOUBLE"
+    held, plans, keep, spread = [], [], incremental.written, dag.propagate_scores
+    monkeypatch.setattr(incremental, "written", lambda df, name: held.append(name) or keep(df, name))
+    monkeypatch.setattr(dag, "propagate_scores", lambda rows, closure: (plans.append(_tree(out := spread(rows, closure))), out)[1])
+    spark.createDataFrame([(e, 48, e / 8.0) for e in range(1, 5)], schema).repartition(2).write.parquet(str(tmp_path / "in"))
+    edges, terms = _small_files(spark, tmp_path)
+    incremental_finalize(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), dag.ancestors(edges, terms), schema, max_files=1)
+    assert held == ["closure"] and len(plans) == 2 and not [p for p in plans if "Broadcast" in p]
+    done = incremental.read_finished(spark, str(tmp_path / "out")).collect()
+    assert {(r["entry_id"], r["term"], r["score"]) for r in done} == {(e, t, e / 8.0) for e in range(1, 5) for t in (48, 24, 12, 6, 3)}
