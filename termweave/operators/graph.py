@@ -44,40 +44,33 @@ def vector_sum(df: DataFrame, keys: Sequence[str], vec: Column, dim: int | None
 def pairs_within(coords: DataFrame, cutoff: float, carry: Sequence[str] = ()) -> DataFrame:
     """JN11: ordered residue pairs of one entry at most ``cutoff`` apart -> entry_id, i, j, dist.
 
-    The distance join becomes an equi-join on grid cells of side ``cutoff``: one side offers its own
-    cell, the other the half of the neighbouring cells that meets every unordered pair once.
+    The distance join becomes a grouping by grid cells of side ``cutoff``: a residue offers itself to its own
+    cell and to the half of the neighbouring cells that meets every unordered pair once; whom a cell holds meets whom it was
+    offered. A grouping, unlike a join, leaves rows that were dealt by entry where they are.
     ``carry`` columns come along as ``<name>_i`` and ``<name>_j``.
     """
     axes = ("x", "y", "z")
-    cell = [F.floor(F.col(a) / F.lit(float(cutoff))).cast("bigint") for a in axes]
+    cell = [F.floor(F.col(a) / F.lit(float(cutoff))).cast("bigint").alias(f"h{a}") for a in axes]
     half = [o for o in product((-1, 0, 1), repeat=3) if o >= (0, 0, 0)]
     offsets = F.array(*[F.struct(*[F.lit(v).alias(f"d{a}") for v, a in zip(o, axes)]) for o in half])
-    held = coords.select("entry_id", "pos", *axes, *carry)
-    left = held.select(
-        "entry_id",
-        *[F.col(c).alias(f"{c}_i") for c in ("pos", *axes, *carry)],
-        *[c.alias(f"c{a}") for c, a in zip(cell, axes)],
+    residue = F.struct("pos", *axes, *carry).alias("_a")
+    held = coords.select("entry_id", residue, *cell).dropna(subset=["entry_id", "hx", "hy", "hz"])
+    offered = held.select("entry_id", "_a", "hx", "hy", "hz", F.explode(offsets).alias("_o")).select(
+        "entry_id", "_a", *[(F.col(f"h{a}") - F.col(f"_o.d{a}")).alias(f"c{a}") for a in axes],
+        ((F.col("_o.dx") == 0) & (F.col("_o.dy") == 0) & (F.col("_o.dz") == 0)).alias("_same"),
+    )
+    cells = offered.groupBy("entry_id", "cx", "cy", "cz").agg(
+        F.collect_list(F.when(F.col("_same"), F.col("_a"))).alias("_i"), F.collect_list(F.struct("_same", "_a")).alias("_j")
     )
-    right = held.select(
-        "entry_id",
-        *[F.col(c).alias(f"{c}_j") for c in ("pos", *axes, *carry)],
-        *[c.alias(f"h{a}") for c, a in zip(cell, axes)],
-        F.explode(offsets).alias("_o"),
-    )
-    same = (F.col("_o.dx") == 0) & (F.col("_o.dy") == 0) & (F.col("_o.dz") == 0)
-    right = right.select(
-        "entry_id",
-        *[F.col(f"{c}_j") for c in ("pos", *axes, *carry)],
-        *[(F.col(f"h{a}") - F.col(f"_o.d{a}")).alias(f"c{a}") for a in axes],
-        same.alias("_same"),
-    )
-    square = sum((F.col(f"{a}_i") - F.col(f"{a}_j")) * (F.col(f"{a}_i") - F.col(f"{a}_j")) for a in axes)
-    met = left.join(right, ["entry_id", "cx", "cy", "cz"]).withColumn("dist", F.sqrt(square))
-    met = met.filter((F.col("dist") <= cutoff) & (~F.col("_same") | (F.col("pos_i") < F.col("pos_j"))))
+    met = cells.filter(F.size("_i") > 0).select("entry_id", F.explode("_i").alias("_i"), "_j").select("entry_id", "_i", F.inline("_j"))
+    of = {"i": F.col("_i"), "j": F.col("_a")}
+    square = sum((of["i"][a] - of["j"][a]) * (of["i"][a] - of["j"][a]) for a in axes)
+    met = met.withColumn("dist", F.sqrt(square))
+    met = met.filter((F.col("dist") <= cutoff) & (~F.col("_same") | (of["i"]["pos"] < of["j"]["pos"])))
 
     def view(a: str, b: str) -> Column:
-        swapped = [F.col(f"{c}_{a}").alias(f"{c}_i") for c in carry] + [F.col(f"{c}_{b}").alias(f"{c}_j") for c in carry]
-        return F.struct(F.col(f"pos_{a}").alias("i"), F.col(f"pos_{b}").alias("j"), "dist", *swapped)
+        swapped = [of[a][c].alias(f"{c}_i") for c in carry] + [of[b][c].alias(f"{c}_j") for c in carry]
+        return F.struct(of[a]["pos"].alias("i"), of[b]["pos"].alias("j"), "dist", *swapped)
 
     return met.select("entry_id", F.inline(F.array(view("i", "j"), view("j", "i"))))
 

@@ -518,3 +518,34 @@ def test_batches_of_a_stream_share_one_written_closure(spark, monkeypatch, tmp_p
     assert held == ["closure"] and len(plans) == 2 and not [p for p in plans if "Broadcast" in p]
     done = incremental.read_finished(spark, str(tmp_path / "out")).collect()
     assert {(r["entry_id"], r["term"], r["score"]) for r in done} == {(e, t, e / 8.0) for e in range(1, 5) for t in (48, 24, 12, 6, 3)}
+
+
+def test_residues_dealt_by_entry_meet_where_they_are(spark):
+    from termweave.operators import graph
+
+    rng = np.random.default_rng(5)
+    rows = [(e, k, *(float(x) for x in rng.normal(0, 9, 3))) for e in range(4) for k in range(40)]
+    rows += [(1, 7, *rows[47][2:]), (2, None, 0.0, 0.0, 0.0), (None, 1, 0.0, 0.0, 0.0), (None, 2, 0.0, 0.0, 0.0), (3, 99, None, 0.0, 0.0)]
+    coords = spark.createDataFrame(rows, "entry_id INT, pos INT, x DOUBLE, y DOUBLE, z DOUBLE").repartition(3, "entry_id")
+    pairs = graph.pairs_within(coords, 6.0)
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # that of the repartition
+    whole = [r for r in rows if None not in r]
+    near = lambda a, b: sum((u - v) ** 2 for u, v in zip(a[2:], b[2:])) ** 0.5 <= 6.0
+    want = sorted((a[0], a[1], b[1]) for a, b in itertools.product(whole, whole) if a[0] == b[0] and a[1] != b[1] and near(a, b))
+    got = [(r["entry_id"], r["i"], r["j"]) for r in pairs.collect()]
+    assert sorted(r for r in got if None not in r) == want and not [r for r in got if r[0] is None]
+
+
+def test_a_sieve_keeps_every_key_and_few_others(spark, tmp_path):
+    from termweave.operators import relational
+
+    rows = spark.range(20000).select(F.col("id").cast("string").alias("name"), (F.col("id") % 3).alias("part"), F.lit(1).alias("v"))
+    rows.filter("name LIKE '%77'").select("name", "part").write.parquet(str(tmp_path / "keys"))
+    keys = spark.read.parquet(str(tmp_path / "keys"))
+    kept = relational.sieved(rows, keys, ["name", "part"])
+    assert kept.columns == rows.columns and "Exchange hashpartitioning(name" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.join(keys, ["name", "part"], "left_semi").count() == keys.count() == 200
+    assert kept.count() < 200 + 20000 * 0.1
+    assert relational.sieved(rows, keys.limit(0), ["name"]).count() == 0
+    other = keys.select(F.col("part").cast("int").alias("part"))  # hashes differ by type
+    assert relational.sieved(rows, other, ["part"]).count() == 20000
