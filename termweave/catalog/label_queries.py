@@ -50,7 +50,7 @@ FROM (SELECT DISTINCT entry_id FROM annotations) e CROSS JOIN voc v LEFT JOIN hi
     hits="SELECT DISTINCT a.entry_id, v.idx FROM annotations a JOIN voc v ON v.term = a.term")
 def _(t):
     vocab = labels.vocabulary(t.annotations()).filter("aspect = 'P'")
-    return labels.label_text(labels.label_indices(t.annotations(), vocab))
+    return labels.label_text(labels.side_by_side(labels.label_indices(t.annotations(), vocab)))
 
 
 @query("ag04_label_indices", "annotations", """

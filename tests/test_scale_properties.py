@@ -549,3 +549,22 @@ def test_a_sieve_keeps_every_key_and_few_others(spark, tmp_path):
     assert relational.sieved(rows, keys.limit(0), ["name"]).count() == 0
     other = keys.select(F.col("part").cast("int").alias("part"))  # hashes differ by type
     assert relational.sieved(rows, other, ["part"]).count() == 20000
+
+
+def test_equal_labels_are_written_once_a_file(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(labels, "TASK_TEXT", 1 << 23)
+    width = 60000
+    # a third of the entries have no label, 64 sets belong to some 10 entries each, and 30 to one alone
+    sets = {e: [] if e % 3 == 0 else [e % 64, 64 + e % 64] for e in range(960)} | {1000 + e: [200 + e] for e in range(30)} | {None: []}
+    sparse = spark.createDataFrame([(e, width, x) for e, x in sets.items()], "entry_id INT, size INT, indices ARRAY<BIGINT>")
+    dealt = labels.side_by_side(sparse)
+    assert dealt.columns == sparse.columns
+    assert {r["entry_id"]: list(r["indices"]) for r in dealt.collect()} == sets and dealt.count() == len(sets)
+    at = [(r["p"], tuple(r["indices"])) for r in dealt.filter("entry_id < 1000").select(F.spark_partition_id().alias("p"), "indices").collect()]
+    tasks = {s: len({p for p, x in at if x == s}) for _, s in at}
+    assert max(n for s, n in tasks.items() if s) == 1 and 1 < tasks[()] <= 3  # 321 times 60,000 bytes
+    for name, rows in (("before", sparse.repartition(2)), ("now", dealt)):
+        labels.label_text(rows).write.parquet(str(tmp_path / name))
+    size = {name: sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet")) for name in ("before", "now")}
+    assert size["now"] < size["before"] / 3
+    assert labels.side_by_side(sparse.limit(0)).count() == 0
