@@ -568,3 +568,29 @@ def test_equal_labels_are_written_once_a_file(spark, monkeypatch, tmp_path):
     size = {name: sum(f.stat().st_size for f in (tmp_path / name).glob("*.parquet")) for name in ("before", "now")}
     assert size["now"] < size["before"] / 3
     assert labels.side_by_side(sparse.limit(0)).count() == 0
+
+
+def test_places_travel_as_gaps():
+    rng = np.random.default_rng(3)
+    for top, n in ((50, 40), (1 << 28, 1000), (1 << 28, 3)):
+        places = np.unique(np.concatenate([rng.integers(0, top, n), [0, 65534, 65535, 65536, 131070]])).astype(np.uint64)
+        sent = similarity._coded(places)
+        assert similarity._decoded(sent).tolist() == places.tolist()
+    assert len(similarity._coded(np.arange(0, 1 << 20, 300, dtype=np.uint64))) == 2 * len(range(0, 1 << 20, 300))
+    assert len(similarity._decoded(similarity._coded(np.zeros(0, np.uint64)))) == 0
+
+
+def test_texts_are_verified_without_sending_their_tokens(spark, monkeypatch):
+    held = {}
+    keep = similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df, name: held.setdefault(name, keep(df, name)))
+    words = ["".join(np.random.default_rng(k).choice(list("abcdefgh"), 400)) for k in range(12)]
+    rows = list(enumerate(words + [w[:350] + w[::-1][:60] for w in words[:6]] + [None, "", words[0]])) + [(None, words[1])]
+    df = spark.createDataFrame(rows, "entry_id INT, sequence STRING")
+    similar, members = similarity.text_representatives(df, lambda x: similarity.shingle_sets(x, 8), 0.5)
+    assert {(r["entry_id_a"], r["entry_id_b"]) for r in held["candidates"].collect()} >= {(k, 12 + k) for k in range(6)}
+    assert "_x" not in "".join(line for line in similar._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+    sets = {k: {t[i : i + 8].lower() for i in range(len(t) - 7)} for k, t in rows if t and k is not None}
+    want = {(k, 12 + k): len(sets[k] & sets[12 + k]) / len(sets[k] | sets[12 + k]) for k in range(6)}
+    assert {(r["a"], r["b"]): r["weight"] for r in similar.collect()} == pytest.approx(want)
+    assert held["ordered"].schema["tokens"].dataType.simpleString() == "array<int>"
